@@ -17,18 +17,21 @@ rows; null ids are kept; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import n_partitions, text_or_empty, written
 
-BLOCK_BYTES = 4 << 20  # text of a block
+BLOCK_BYTES = 8 << 20  # text of a block
 CACHE_WORDS = 400_000
+LEVEL = 6
 
 _CUT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
@@ -78,42 +81,61 @@ def loaded(path: str) -> Pieces:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Small non-negative numbers: 16 low bits of each and, apart, those that need more."""
+    big = np.flatnonzero(a > 0xFFFF)
+    low = a.astype("<u2").view(np.uint8).reshape(-1, 2)
+    raw = b"".join((np.array([len(a), len(big)], "<u4").tobytes(), low[:, 0].tobytes(), low[:, 1].tobytes(), big.astype("<u4").tobytes(), (a[big] >> 16).astype("<u4").tobytes()))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    low = np.frombuffer(raw, np.uint8, 2 * n, 8).reshape(2, n).astype(np.int64)
+    out = low[0] | low[1] << 8
+    big, high = (np.frombuffer(raw, "<u4", m, 8 + 2 * n + k * 4 * m).astype(np.int64) for k in (0, 1))
+    out[big] |= high << 16
+    return out
 
 
 def _block_row(ids: list, n_bytes: list[int], texts: list[str], buckets: int) -> dict:
+    """Words stand by falling number of documents, then by name, so that gaps between a document's words are small."""
     order: dict[str, int] = {}
-    lists = [np.fromiter((order.setdefault(w, len(order)) for w in words), np.int64, len(words)) for words in map(pre_tokens, texts)]
+    found = []
+    for text in texts:
+        words = pre_tokens(text)
+        found.append(np.unique(np.fromiter((order.setdefault(w, len(order)) for w in words), np.int64, len(words)), return_counts=True))
     words = list(order)
-    of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-    by = np.argsort(of, kind="stable")
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
-    found = [np.unique(place[x], return_counts=True) for x in lists]
-    cat = lambda k, t: np.concatenate([x[k] for x in found]).astype(t) if found else np.zeros(0, t)
-    gaps = np.concatenate([np.diff(x[0], prepend=0) for x in found]) if found else np.zeros(0)
+    df = np.bincount(np.concatenate([f[0] for f in found]), minlength=len(words)) if words else np.zeros(0, np.int64)
+    rank = sorted(range(len(words)), key=lambda k: (-df[k], words[k]))
+    place = np.empty(len(words), np.int64)
+    place[rank] = np.arange(len(words))
+    words = [words[k] for k in rank]
+    bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+    gaps, freq = [], []
+    for w, n in found:
+        at = np.argsort(place[w])
+        gaps.append(np.diff(place[w][at], prepend=0))
+        freq.append(n[at])
+    by = np.argsort(bucket, kind="stable")
+    ends = np.flatnonzero(np.diff(bucket[by], append=-1)) + 1
+    none = [np.zeros(0, np.int64)]
     return {
         "ids": ids,
         "n_bytes": n_bytes,
-        "sizes": [len(x[0]) for x in found],
-        "gaps": _pack(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy() if len(gaps) else gaps.astype("<u4")),
-        "freq": _pack(cat(1, "<u4").view(np.uint8).reshape(-1, 4).T.copy() if len(gaps) else gaps.astype("<u4")),
-        "words": [{"bucket": int(b), "list": [words[k] for k in by[lo:hi]]} for b, lo, hi in _runs(of[by])],
+        "sizes": [len(f[0]) for f in found],
+        "gaps": _pack(np.concatenate(gaps or none)),
+        "freq": _pack(np.concatenate(freq or none)),
+        "buckets": _pack(bucket),
+        "words": [{"bucket": int(bucket[by[lo]]), "blob": _words([words[k] for k in by[lo:hi]])} for lo, hi in zip([0, *ends[:-1]], ends)],
     }
 
 
-def _runs(sorted_values: np.ndarray):
-    at = np.flatnonzero(np.diff(sorted_values, prepend=-1))
-    for lo, hi in zip(at, [*at[1:], len(sorted_values)]):
-        yield sorted_values[lo], lo, hi
-
-
-def _unpack(blob: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return raw.reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64) if n else np.zeros(0, np.int64)
+def _words(words: list[str]) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(json.dumps(words, ensure_ascii=False).encode())
 
 
-_BLOCK = "block string, ids array<long>, n_bytes array<long>, sizes array<int>, gaps binary, freq binary, words array<struct<bucket: int, list: array<string>>>"
+_BLOCK = "block string, ids array<long>, n_bytes array<long>, sizes array<int>, gaps binary, freq binary, buckets binary, words array<struct<bucket: int, blob: binary>>"
 _COUNTS = "block string, bucket int, counts array<int>"
 
 
@@ -121,7 +143,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     """Per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
     n = n_partitions(spark)
-    arrow = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("gaps", pa.binary()), ("freq", pa.binary()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("list", pa.list_(pa.string()))])))])
+    arrow = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("gaps", pa.binary()), ("freq", pa.binary()), ("buckets", pa.binary()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())])))])
 
     def blocks(batches):
         import uuid
@@ -152,9 +174,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
         pieces = loaded(path)
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "bucket": row["bucket"], "counts": pieces.count(row["list"])}], schema=pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("counts", pa.list_(pa.int32()))]))
+                words = json.loads(zstandard.ZstdDecompressor().decompress(row["blob"]))
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "bucket": row["bucket"], "counts": pieces.count(words)}], schema=pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("counts", pa.list_(pa.int32()))]))
 
-    asked = table.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.list")
+    asked = table.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.blob")
     counted = asked.repartition(n, "bucket").mapInArrow(count, _COUNTS)
 
     def total(batches):
@@ -166,11 +189,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
                 if (counts := row.column("counts")[0]).is_valid:
                     got.append(counts.values.to_numpy())
                     continue
-                per_word = np.concatenate([np.zeros(0, np.int64), *got])
+                per_word = np.zeros(sum(map(len, got)), np.int64)
+                per_word[np.argsort(_unpack(row.column("buckets")[0].as_py()), kind="stable")] = np.concatenate([np.zeros(0, np.int64), *got])
                 got = []
                 sizes = row.column("sizes")[0].values.to_numpy().astype(np.int64)
                 m = int(sizes.sum())
-                gaps, freq = _unpack(row.column("gaps")[0].as_py(), m), _unpack(row.column("freq")[0].as_py(), m)
+                gaps, freq = _unpack(row.column("gaps")[0].as_py()), _unpack(row.column("freq")[0].as_py())
                 sums = np.cumsum(gaps)
                 first = np.cumsum(sizes) - sizes
                 base = np.repeat(np.where(first > 0, np.concatenate([[0], sums])[first], 0), sizes)
@@ -180,7 +204,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
                 )
 
     none = lambda t: F.lit(None).cast(t)
-    left = counted.select("block", "bucket", "counts", none("array<long>").alias("ids"), none("array<long>").alias("n_bytes"), none("array<int>").alias("sizes"), none("binary").alias("gaps"), none("binary").alias("freq"))
-    right = table.select("block", F.lit(1 << 30).alias("bucket"), none("array<int>").alias("counts"), "ids", "n_bytes", "sizes", "gaps", "freq")
+    left = counted.select("block", "bucket", "counts", none("array<long>").alias("ids"), none("array<long>").alias("n_bytes"), none("array<int>").alias("sizes"), *[none("binary").alias(c) for c in ("gaps", "freq", "buckets")])
+    right = table.select("block", F.lit(1 << 30).alias("bucket"), none("array<int>").alias("counts"), "ids", "n_bytes", "sizes", "gaps", "freq", "buckets")
     joined = left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(total, "id long, n_bytes long, n_tokens long")
     return joined.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
