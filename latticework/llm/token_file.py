@@ -100,7 +100,7 @@ class Encoder:
         self.chunk.encode_special_tokens = True
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.chunk)
 
     def bits(self, end_id: int) -> int:
         return max(1, max(self.size - 1, end_id).bit_length())
@@ -109,26 +109,32 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers, and ``tail``."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, parts = self.known, []
+        look, out = self.known.__getitem__, []
         for text in texts:
             if self.odd.search(text) or any(s in text for s in self.special):
-                parts.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + tail)
                 continue
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            parts.append(text.lower().split())
-        fresh: set[str] = set()
-        for p in parts:
-            if type(p) is list:
-                fresh.update(p)
-        fresh.difference_update(known)
-        new = list(fresh)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.chunk.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        look = known.__getitem__
-        return [(b"".join(map(look, p)) if type(p) is list else p) + tail for p in parts]
+            out.append(b"".join(map(look, text.lower().split())) + tail)
+        return out
+
+
+class Known(dict):
+    """Ids of chunks seen; a chunk that is new is encoded, as its word and its mark where a mark ends a word of letters."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.ids = tokenizer.encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # always two pre-tokens
+            got = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = self.ids(chunk, add_special_tokens=False).ids
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        self[chunk] = got
+        return got
 
 
 _LOADED: dict[str, Encoder] = {}
