@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import components, shrink_edges, text_or_empty, written
+from latticework.llm.common import components, n_partitions, shrink_edges, text_or_empty, written
 
 HEAVY = 48  # members of a variant from which the second signature is used
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -59,7 +59,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
+            parts = (batch.column(1).slice(at, 256).to_pylist() for at in range(0, batch.num_rows, 256))
+            fps = np.array([fingerprint(t) for texts in parts for t in texts], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, fp long")
@@ -109,7 +110,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, fingerprint (16 lowercase hex digits) and component_id, the smallest id of its component."""
     rows, _ = written(fingerprints(docs, id_col, text_col), "fingerprints")
     first = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    comps = components(shrink_edges(links(first.select("fp"))))
+    # few bytes a row before it becomes 64 rows: without a count of its own it would be packed into too few tasks
+    comps = components(shrink_edges(links(first.select("fp").repartition(n_partitions(docs.sparkSession), "fp"))))
     # the component of a fingerprint is named by its smallest fingerprint first, by its smallest document at last
     joined = first.join(comps, first.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
