@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import bpe, mixing, pii, simhash, token_count, token_file, toxicity
+from latticework.llm import bpe, embedding_dedup, mixing, pii, simhash, token_count, token_file, toxicity
 
 
 #: The queries' key; a deployment gives its own secret.
@@ -28,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,8 +53,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_file, op3_token_counts, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op4_embeddings": embedding_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
