@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latticework.llm import bpe, embedding_dedup, mixing, pii, simhash, token_count, token_file, toxicity
+from latticework.llm import bpe, embedding_dedup, mixing, pii, search, simhash, token_count, token_file, toxicity
 
 
 #: The queries' key; a deployment gives its own secret.
@@ -52,9 +53,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing, op10_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": embedding_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op4_embeddings": embedding_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op10_search": search.ORACLE}
