@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import bpe, embedding_dedup, mixing, pii, search, simhash, token_count, token_file, toxicity
+from latticework.llm import bpe, embedding_dedup, licenses, mixing, pii, search, simhash, token_count, token_file, toxicity
 
 
 #: The queries' key; a deployment gives its own secret.
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     _, at = token_file.write_tokens(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -58,7 +62,7 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing, op10_search)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing, op10_search)}
 
 
 def oracle_sql() -> dict[str, str]:
