@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from latticework.llm.common import text_or_empty
+from latticework.llm.common import kept, text_or_empty
 
 CACHE_WORDS = 700_000
 WIDE = 128  # longer pre-tokens are merged one at a time
@@ -237,14 +237,8 @@ class Bpe:
         return raw
 
 
-_LOADED: dict[tuple[str, str], Bpe] = {}
-
-
 def loaded(path: str, pattern: str) -> Bpe:
-    """One per worker process, kept between tasks."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Bpe(path, pattern)
-    return _LOADED[path, pattern]
+    return kept(("bpe", path, pattern), lambda: Bpe(path, pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

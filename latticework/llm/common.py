@@ -46,6 +46,34 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What an operator keeps in a worker process between tasks. Only one operator's is kept: workers are
+    reused, and the tables of a stage that has ended must not take the next one's memory."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latticework.llm.common import kept
+
 ROUNDS = 10
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -272,7 +274,7 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     schema = T.StructType([*given.schema.fields[:-1], T.StructField("_text", T.StringType()), T.StructField("spans", spans_type)])
 
     def run(batches):
-        p = Pseudonyms(key)
+        p = kept(("pii", key), lambda: Pseudonyms(key))
         for batch in batches:
             done = [(None, []) if t is None else pseudonymise(t, p) for t in batch.column(batch.num_columns - 1).to_pylist()]
             texts = pa.array([t for t, _ in done], pa.string())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import components, n_partitions, shrink_edges, text_or_empty, written
+from latticework.llm.common import components, kept, n_partitions, shrink_edges, text_or_empty, written
 
 HEAVY = 48  # members of a variant from which the second signature is used
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (id, fp): fp the fingerprint as a signed long."""
 
     def run(batches):
+        kept("simhash", list)  # frees what another operator has kept
         for batch in batches:
             parts = (batch.column(1).slice(at, 256).to_pylist() for at in range(0, batch.num_rows, 256))
             fps = np.array([fingerprint(t) for texts in parts for t in texts], np.uint64).astype(np.int64)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import n_partitions, text_or_empty, written
+from latticework.llm.common import kept, n_partitions, text_or_empty, written
 
 BLOCK_BYTES = 8 << 20  # text of a block
 CACHE_WORDS = 400_000
@@ -71,13 +71,8 @@ class Pieces:
         return list(map(self.known.__getitem__, words))
 
 
-_MODELS: dict[str, Pieces] = {}
-
-
 def loaded(path: str) -> Pieces:
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    return kept(("pieces", path), lambda: Pieces(path))
 
 
 def _pack(a: np.ndarray) -> bytes:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from latticework.llm.common import n_partitions, text_or_empty, written
+from latticework.llm.common import kept, n_partitions, text_or_empty, written
 
 SEGMENT_TOKENS = 1 << 20
 CACHE_WORDS = 700_000
@@ -137,16 +137,11 @@ class Known(dict):
         return got
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def loaded(path: str) -> Encoder:
-    if path not in _LOADED:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 _TABLE = "bucket int, segment int, doc_ids array<long>, n_tokens long, payload binary"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import text_or_empty
+from latticework.llm.common import kept, text_or_empty
 
 Z = (2.0, 3.0, 4.5, 7.0)
 FOLDS = 3
@@ -235,13 +235,6 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select(*[scored[c] for c in rest], held.alias("held_out"), "score", predicted.alias("predicted")) if keep else scored.select(F.col(id_col).cast("long").alias(id_col), held.alias("held_out"), "score", predicted.alias("predicted"))
 
 
-_LOADED: dict[bytes, Model] = {}
-
-
 def loaded(model: Model) -> Model:
     """The model with this worker's table of known windows, kept between tasks."""
-    key = model.toxic + b"\x00" + model.ordinary + repr(sorted(model.cells.items())).encode()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = model
-    return _LOADED[key]
+    return kept(("toxicity", model.toxic, model.ordinary, repr(sorted(model.cells.items()))), lambda: model)
