@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,19 @@ def query(sql: str | None = None):
     return put
 
 
+_MODULES = ("linear",)
+
+
+def _load() -> None:
+    for m in _MODULES:
+        importlib.import_module(f"latticework.plans.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    _load()
+    return dict(_SQL)
