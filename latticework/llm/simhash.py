@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, _ = written(fingerprints(docs, id_col, text_col), "fingerprints")
     first = rows.groupBy("fp").agg(F.min("id").alias("first"))
     # few bytes a row before it becomes 64 rows: without a count of its own it would be packed into too few tasks
-    comps = components(shrink_edges(links(first.select("fp").repartition(n_partitions(docs.sparkSession), "fp"))))
+    comps = components(shrink_edges(links(first.select("fp").repartition(n_partitions(docs.sparkSession), F.xxhash64("fp")))))
     # the component of a fingerprint is named by its smallest fingerprint first, by its smallest document at last
     joined = first.join(comps, first.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
