@@ -30,7 +30,7 @@ from latticework.llm.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
-ROWS_A_BUCKET = 4096
+ROWS_A_BUCKET = 512
 
 
 def n_words(text: str = "text") -> Column:
