@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return put
 
 
-_MODULES = ("linear",)
+_MODULES = ("linear", "points", "grids", "blocks")
 
 
 def _load() -> None:
