@@ -349,27 +349,38 @@ def _rank_one(w: np.ndarray, z: np.ndarray, rho: float, q: np.ndarray) -> tuple[
     out_w, out_q = w.copy(), q.copy()
     if len(live):
         d, y = w[live], z[live]
+        m = len(d)
         ends = np.append(d[1:], d[-1] + rho * (y @ y) * (1 + 1e-12) + 1e-300)
-        shift = np.zeros(len(d))
-        for _ in range(120):  # offsets from d keep the small differences exact
-            lo, hi = (np.zeros(len(d)), ends - d) if not shift.any() else (lo, hi)
+
+        def differences(origin: np.ndarray, shift: np.ndarray) -> np.ndarray:
+            """Root k less pole j, exact for small offsets from the origin's pole."""
+            gap = (d[origin][:, None] - d[None, :]) + shift[:, None]
+            return np.where(gap == 0, 1e-300, gap)
+
+        def secular(origin: np.ndarray, shift: np.ndarray) -> np.ndarray:
+            return 1.0 - rho * (y[None, :] ** 2 / differences(origin, shift)).sum(1)
+
+        # each root is an offset from its nearer pole: the right one where the middle lies left of the root
+        left = np.arange(m)
+        origin = np.where((secular(left, (ends - d) / 2) < 0) & (left < m - 1), left + 1, left)
+        base = d[origin]
+        lo, hi = d - base, ends - base
+        for _ in range(1100):  # to the last bit, also of tiny offsets
             shift = 0.5 * (lo + hi)
-            gap = d[:, None] - d[None, :] + shift[:, None]
-            gap = np.where(gap == 0, 1e-300, gap)
-            f = 1.0 - rho * (y[None, :] ** 2 / gap).sum(1)
+            if ((shift == lo) | (shift == hi)).all():
+                break
+            f = secular(origin, shift)
             lo, hi = np.where(f < 0, shift, lo), np.where(f < 0, hi, shift)
-        gap = d[:, None] - d[None, :] + shift[:, None]
-        gap = np.where(gap == 0, 1e-300, gap)
-        # weights that make the computed values exact (so vectors stay orthogonal)
-        num = (d[None, :] + shift[None, :]) - d[:, None]
-        ratio = np.ones(len(d))
-        for k in range(len(d)):
-            other = np.r_[0:k, k + 1 : len(d)]
-            ratio[k] = num[k, k] * np.prod(num[k, other] / (d[other] - d[k])) / rho
+        gap = differences(origin, shift)
+        # weights for which the computed roots are exact, so that vectors stay orthogonal
+        ratio = np.ones(m)
+        for k in range(m):
+            other = np.r_[0:k, k + 1 : m]
+            ratio[k] = gap[k, k] * np.prod(gap[other, k] / (d[other] - d[k])) / rho
         fixed = np.sign(y) * np.sqrt(np.abs(ratio))
-        vec = fixed[None, :] / -gap
+        vec = fixed[None, :] / gap
         vec /= np.linalg.norm(vec, axis=1)[:, None]
-        out_w[live] = d + shift
+        out_w[live] = base + shift
         out_q[:, live] = q[:, live] @ vec.T
     order = np.argsort(out_w, kind="stable")
     return out_w[order], out_q[:, order]
