@@ -53,8 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     levels = limits.withColumn("level", level)
     free = F.col("cap") / F.col("weight") > F.col("level")  # not capped at this level
-    # the level at the first source that isn't capped, which is the least one
-    found = levels.withColumn("level", F.coalesce(F.min_by(F.when(free, F.col("level")), F.when(free, F.col("cap") / F.col("weight"))).over(every), F.lit(float("inf"))))
+    # the level at the first source in this order that isn't capped; sources with equal caps a weight go by their number
+    first = F.min(F.when(free, F.struct((F.col("cap") / F.col("weight")).alias("limit"), F.col("k"), F.col("level")))).over(every)
+    found = levels.withColumn("level", F.coalesce(first["level"], F.lit(float("inf"))))
     target = F.least(F.col("cap").cast("double"), F.round(F.col("level") * F.col("weight"), 6))
     return found.select(_source_key(F.col("source")).alias("key"), "source", "weight", "source_size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("take"))
 
@@ -139,7 +140,7 @@ WITH sizes AS (
   FROM limits WINDOW before AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goals AS (
   SELECT source, source_size,
-         least(cap, round(coalesce((SELECT arg_min(level, cap / weight) FROM levels WHERE cap / weight > level), 'inf'::DOUBLE) * weight, 6)) AS target
+         least(cap, round(coalesce((SELECT level FROM levels WHERE cap / weight > level ORDER BY cap / weight, k LIMIT 1), 'inf'::DOUBLE) * weight, 6)) AS target
   FROM levels
 ), placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS take,
