@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from latticework.llm.common import components, kept, n_partitions, shrink_edges, text_or_empty, written
 
@@ -72,36 +73,39 @@ def _bit_removed(value: Column, bit: Column) -> Column:
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(fp, seg, bit, key): 64 rows a fingerprint, seg 0 the low and 1 the high 32 bits."""
+    """(fp, variant): 64 rows a fingerprint. A variant is (32 seg + bit) in the high and the segment without the bit in the
+    low 32 bits of one number; seg 0 are the low and 1 the high 32 bits of the fingerprint."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     wide = fps.select("fp", F.posexplode(F.array(low, high)).alias("seg", "value"))
-    return wide.select("fp", "seg", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).select("fp", "seg", "bit", _bit_removed(F.col("value"), F.col("bit")).alias("key"))
+    bits = wide.select("fp", "seg", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
+    place = (F.col("seg") * 32 + F.col("bit")).cast("long")
+    return bits.select("fp", F.shiftleft(place, 32).bitwiseOR(_bit_removed(F.col("value"), F.col("bit"))).alias("variant"))
 
 
+_SEG, _BIT = "shiftright(a.variant, 37)", "(shiftright(a.variant, 32) & 31)"
 _DIFF = "(a.fp ^ b.fp)"
 # A pair is kept at one variant: the one of its differing bit in the segment, or bit 0 where there is none; and in
 # the second segment only if the first one doesn't fit.
-_IN = f"(case when a.seg = 0 then {_DIFF} & 4294967295L else shiftrightunsigned({_DIFF}, 32) end)"
-_OWN = f"(({_IN} = 0 and a.bit = 0) or {_IN} = shiftleft(1L, a.bit)) and (a.seg = 0 or bit_count({_DIFF} & 4294967295L) > 1)"
+_IN = f"(case when {_SEG} = 0 then {_DIFF} & 4294967295L else shiftrightunsigned({_DIFF}, 32) end)"
+_OWN = f"(({_IN} = 0 and {_BIT} = 0) or {_IN} = shiftleft(1L, cast({_BIT} as int))) and ({_SEG} = 0 or bit_count({_DIFF} & 4294967295L) > 1)"
 _LINKED = f"a.fp < b.fp and bit_count({_DIFF}) <= 3"
 
 
 def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Pairs (u, v), u < v, of distinct fingerprints (column fp, no repeats) at distance 3 or less, each once or twice."""
-    keyed = _variants(fps)
-    counted = keyed.groupBy("seg", "bit", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted, _ = written(counted, "variants")  # few: most variants have one member
-    held = keyed.join(counted, ["seg", "bit", "key"])
-    small = held.where(F.col("n") <= heavy).select("seg", "bit", "key", "fp")
-    one = small.alias("a").join(small.alias("b"), F.expr(f"a.seg = b.seg and a.bit = b.bit and a.key = b.key and {_LINKED} and {_OWN}"))
+    # one shuffle of all variants; only those with company go on
+    alone = F.count(F.lit(1)).over(W.partitionBy("variant"))
+    held, _ = written(_variants(fps).withColumn("n", alone).where("n > 1"), "variants")
+    small = held.where(F.col("n") <= heavy).select("variant", "fp")
+    one = small.alias("a").join(small.alias("b"), F.expr(f"a.variant = b.variant and {_LINKED} and {_OWN}"))
     large = held.where(F.col("n") > heavy)
-    other = F.when(F.col("seg") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    halves = large.select("seg", "bit", "key", "fp", F.posexplode(F.array(other.bitwiseAND(F.lit(0xFFFF)), F.shiftright(other, 16))).alias("half", "value"))
-    second = halves.select("seg", "bit", "key", "fp", "half", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("bit2"), "value").withColumn("key2", _bit_removed(F.col("value"), F.col("bit2"))).drop("value")
-    out = f"(case when a.seg = 0 then shiftrightunsigned({_DIFF}, 32) else {_DIFF} & 4294967295L end)"
+    other = F.when(F.shiftright("variant", 37) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    halves = large.select("variant", "fp", F.posexplode(F.array(other.bitwiseAND(F.lit(0xFFFF)), F.shiftright(other, 16))).alias("half", "value"))
+    second = halves.select("variant", "fp", "half", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("bit2"), "value").withColumn("key2", _bit_removed(F.col("value"), F.col("bit2"))).drop("value")
+    out = f"(case when {_SEG} = 0 then shiftrightunsigned({_DIFF}, 32) else {_DIFF} & 4294967295L end)"
     d2 = f"(case when a.half = 0 then {out} & 65535L else shiftright({out}, 16) end)"
     own2 = f"(({d2} = 0 and a.bit2 = 0) or {d2} = shiftleft(1L, a.bit2))"
-    keys = " and ".join(f"a.{c} = b.{c}" for c in ("seg", "bit", "key", "half", "bit2", "key2"))
+    keys = " and ".join(f"a.{c} = b.{c}" for c in ("variant", "half", "bit2", "key2"))
     two = second.alias("a").join(second.alias("b"), F.expr(f"{keys} and {_LINKED} and {_OWN} and {own2}"))
     pairs = [x.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")) for x in (one, two)]
     return pairs[0].unionByName(pairs[1])
