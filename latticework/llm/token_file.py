@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from latticework.llm.common import kept, n_partitions, text_or_empty, written
 
 SEGMENT_TOKENS = 1 << 20
+BROADCAST_SEGMENTS = 100_000
 CACHE_WORDS = 700_000
 HEAD = struct.Struct("<4sB3xIQ")
 MAGIC = b"LWT1"
@@ -207,6 +208,8 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", keep_ids
     starts = sizes.select("bucket", F.coalesce(F.sum("size").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("bucket_start"))
     within = table.select("bucket", "segment", F.coalesce(F.sum("n_tokens").over(in_bucket), F.lit(0)).alias("before"))
     placed = within.join(starts, "bucket").select("bucket", "segment", (F.col("before") + F.col("bucket_start")).alias("base"))
+    if table.count() <= BROADCAST_SEGMENTS:  # three numbers a segment; more of them are joined by a shuffle
+        placed = F.broadcast(placed)
 
     def out(batches):
         for batch in batches:
