@@ -40,7 +40,7 @@ LETTERS = re.compile(r"[^\W\d_]{1,48}")
 TOP = 3
 REPEAT = 3
 PAD = b"\n" * 16  # the last bytes of a dictionary aren't indexed
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 
 def windows(text: str) -> set[str]:
@@ -226,7 +226,8 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m = loaded(model)
         for batch in batches:
-            scores = [m.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1)
+            scores = [m.score(t) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     scored = given.mapInArrow(run, out)
