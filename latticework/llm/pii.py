@@ -276,7 +276,8 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     def run(batches):
         p = kept(("pii", key), lambda: Pseudonyms(key))
         for batch in batches:
-            done = [(None, []) if t is None else pseudonymise(t, p) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1)
+            done = [(None, []) if t is None else pseudonymise(t, p) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist()]
             texts = pa.array([t for t, _ in done], pa.string())
             spans = pa.array([[dict(zip(("start", "end", "kind"), s)) for s in found] for _, found in done], pa.list_(span))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts, spans], names=[*batch.schema.names, "spans"])
