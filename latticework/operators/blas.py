@@ -123,9 +123,27 @@ def small_gram(df: DataFrame, columns: list[str], other: str) -> DataFrame:
     return df.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Running sum in a total order without a task that sees all rows: rows are dealt into ranges of the order and written,
+    ranges' sums are added up (a row for each), and each range adds its own rows to what comes before it."""
+    from latticework.tables import cut
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy("_p").agg(F.sum(value).alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    within = F.sum(value).over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(before, "_p").withColumn(out, within + F.col("_b")).drop("_p", "_b")
+
+
 def equal_split(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """Rows in order dealt into equal runs, the first ones with the remainder: column ``part`` from 1."""
-    return df.withColumn("part", F.ntile(parts).over(W.orderBy(order)))
+    """Rows in order (no ties) dealt into equal runs, the first ones with the remainder: column ``part`` from 1."""
+    ranked = running_total(df.withColumn("_one", F.lit(1)), [order], "_one", "_r")
+    total = ranked.agg(F.count(F.lit(1))).first()[0]
+    size, rest = divmod(total, parts)
+    at = F.col("_r") - 1
+    part = F.when(at < (size + 1) * rest, F.floor(at / (size + 1))).otherwise(rest + F.floor((at - (size + 1) * rest) / max(1, size)))
+    return ranked.withColumn("part", (part + 1).cast("int")).drop("_one", "_r")
 
 
 def fetch_and_add(df: DataFrame, counter: str, order: str, base: int = 0) -> DataFrame:
@@ -136,5 +154,4 @@ def fetch_and_add(df: DataFrame, counter: str, order: str, base: int = 0) -> Dat
 def lower_bound(sorted_values: DataFrame, queries: DataFrame) -> DataFrame:
     """Per query (q) the number of values (v) below it: one sort of the union, no pair of a query and a value."""
     both = sorted_values.select(F.col("v"), F.lit(1).alias("n"), F.lit(1).alias("kind")).unionByName(queries.select(F.col("q").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("kind")))
-    ranked = both.withColumn("position", F.sum("n").over(W.orderBy("v", "kind").rowsBetween(W.unboundedPreceding, 0)))
-    return ranked.where("kind = 0").select(F.col("v").alias("q"), "position")
+    return running_total(both, ["v", "kind"], "n", "position").where("kind = 0").select(F.col("v").alias("q"), "position")
