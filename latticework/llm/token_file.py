@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from latticework.llm.common import kept, n_partitions, text_or_empty, written
+from latticework.llm.common import kept, n_partitions, release, text_or_empty, written
 
 SEGMENT_TOKENS = 1 << 20
 BROADCAST_SEGMENTS = 100_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 HEAD = struct.Struct("<4sB3xIQ")
 MAGIC = b"LWT1"
 
@@ -169,6 +169,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
                     [part.column(0), pa.array([len(f) for f in flat], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array([pack(f, bits) for f in flat], pa.binary())],
                     names=["id", "n", "crc", "packed"],
                 )
+        release()
 
     def gather(batches):
         bits = loaded(path).bits(end_id)
