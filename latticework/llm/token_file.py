@@ -32,7 +32,7 @@ from latticework.llm.common import kept, n_partitions, release, text_or_empty, w
 
 SEGMENT_TOKENS = 1 << 20
 BROADCAST_SEGMENTS = 100_000
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
 HEAD = struct.Struct("<4sB3xIQ")
 MAGIC = b"LWT1"
 
