@@ -498,6 +498,19 @@ def test_licences_are_found(spark, licence_model, nothing):
     assert licenses.scan(nothing, licence_model).count() == 0
 
 
+def test_short_and_wrapped_notices(spark, licence_model):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'
+    gpl = "This program is free software: you can redistribute\n  it and/or modify it under the terms of the GNU\n  General Public License, either version 3 of the\n  License, or any later version."
+    rows = [
+        (1, "some words\nAll rights reserved.\nmore words"), (2, "MIT License\n\nCopyright (c) 2019 the authors"), (3, "# SPDX-License-Identifier: MIT\nimport os"), (4, "prose that goes on\n\n" + mit), (5, mit.replace(" ", "\r\n")),
+        (6, gpl), (7, "This work is licensed\n\nunder a roof, said the General"), (8, "Copyright 2001 by us. All rights reserved.\n\nReleased under the BSD License."), (9, "a gift to all:\nSPDX-License-Identifier:\nGPL-2.0"), (10, "All members of the club have reserved\nseats and the rights of any licensed driver."),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows), licence_model).collect()}
+    want = {1: "Proprietary", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT", 6: "GPL-3.0", 7: "unknown", 8: "BSD", 9: "GPL-2.0", 10: "unknown"}
+    assert {k: r["licence"] for k, r in got.items()} == want
+    assert got[1]["n_candidates"] == got[1]["n_confirmed"] == 1 and got[8]["families"] == ["BSD", "Proprietary"]
+
+
 # ---- pipeline ----
 
 
