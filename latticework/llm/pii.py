@@ -156,12 +156,17 @@ class Pseudonyms:
         return refill(m.group(), body + luhn_digit(body))
 
     def iban(self, m: re.Match) -> str | None:
-        flat = m.group().replace(" ", "").upper()
-        country, check, bban = flat[:2], flat[2:4], flat[4:]
-        if not 11 <= len(bban) <= 30 or iban_check(country, bban) != check:
-            return None
-        bban = self.characters("iban" + country, bban)
-        return refill(m.group(), country + iban_check(country, bban) + bban)
+        """For the match or, where words that follow are in it, its beginning up to a space: the end that the country's length
+        asks for, else the last one with a valid check."""
+        text = m.group()
+        ends = [len(text), *[k for k in range(len(text) - 1, 0, -1) if text[k] == " "]]
+        for end in sorted(ends, key=lambda k: k - text.count(" ", 0, k) != IBAN_LENGTH.get(text[:2])):
+            flat = text[:end].replace(" ", "")
+            country, check, bban = flat[:2], flat[2:4], flat[4:]
+            if 11 <= len(bban) <= 30 and iban_check(country, bban) == check:
+                bban = self.characters("iban" + country, bban)
+                return refill(text[:end], country + iban_check(country, bban) + bban)
+        return None
 
     def ssn(self, m: re.Match) -> str | None:
         area, group, serial = map(int, m.groups()[-3:])
@@ -208,6 +213,18 @@ class Pseudonyms:
         return m.group()[:at] + plain + m.group()[at + len(value) :]
 
 
+# fixed values: characters of an IBAN by country
+_LENGTHS = (
+    "15 NO 16 BE 18 DK FI FK FO GL NL SD 19 MK SI 20 AT BA EE KZ LT LU MN XK 21 CH HR LI LV 22 BG BH CR DE GB GE IE ME RS VA 23 AE GI IL IQ OM SO TL "
+    "24 AD CZ ES MD PK RO SA SE SK TN VG 25 LY PT ST 26 IS TR 27 BI DJ FR GR IT MC MR SM 28 AL AZ BY CY DO GT HU LB NI PL SV 29 BR EG PS QA UA 30 JO KW MU YE 31 MT SC 32 LC 33 RU"
+)
+IBAN_LENGTH: dict[str, int] = {}
+for _w in _LENGTHS.split():
+    if _w.isdigit():
+        _n = int(_w)
+    else:
+        IBAN_LENGTH[_w] = _n
+
 # fixed values: the patterns of the kinds, in the order in which ties are broken
 KINDS: list[tuple[str, str]] = [
     ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,200})"),
@@ -218,10 +235,10 @@ KINDS: list[tuple[str, str]] = [
     ("ssn", r"(?<![\w\-])(\d{3})-(\d{2})-(\d{4})(?![\w\-])"),
     ("card", r"(?<![\w.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\w\-])"),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
-    ("date", r"(?<![\w.\-/])(?:(\d{4})([\-/.])(\d{2})([\-/.])(\d{2})|(?P<d>\d{2})(?P<s>[\-/.])(?P<m>\d{2})(?P<t>[\-/.])(?P<y>\d{4}))(?![\w\-/]|\.\d)"),
+    ("date", r"(?<![\w.\-/])(?:(\d{4})([\-/.])(\d{2})([\-/.])(\d{2})|(?P<d>\d{2})(?P<s>[\-/.])(?P<m>\d{2})(?P<t>[\-/.])(?P<y>\d{4}))(?:(?=[Tt]\d{2})|(?![\w\-/]|\.\d))"),
 ]
 _PATTERNS = [(k, re.compile(p)) for k, p in KINDS]
-_SIGN = re.compile(r"[0-9@=:]")
+_SIGN = re.compile(r"[0-9@=:]|(?i:AKIA|ASIA)")
 
 
 def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, str]]]:
@@ -231,9 +248,12 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, st
     found: list[tuple[int, int, int, str]] = []
     digits = re.search(r"\d", text) is not None
     for k, (kind, pattern) in enumerate(_PATTERNS):
-        if (kind == "email" and "@" not in text) or (kind not in ("email", "secret") and not digits):
+        if (kind == "email" and "@" not in text) or (kind not in ("email", "secret", "key_id") and not digits):
             continue
         make: Callable = getattr(p, kind)
+        if kind == "iban":
+            found += [(m.start(), -m.start() - len(new), k, new) for m, new in _shortening(pattern, text, make)]
+            continue
         for m in pattern.finditer(text):
             if kind == "date":
                 m = _Date(m)
@@ -251,6 +271,17 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, st
     return "".join([*out, text[at:]]), spans
 
 
+def _shortening(pattern: re.Pattern, text: str, make: Callable):
+    """Matches and replacements where a value may end before the match does: the search goes on where the value ends, or within a match
+    without a value."""
+    at = 0
+    while (m := pattern.search(text, at)) is not None:
+        new = make(m)
+        if new is not None:
+            yield m, new
+        at = m.start() + (1 if new is None else len(new))
+
+
 class _Date:
     """A date match with its five parts, whichever notation it is in."""
 
