@@ -52,6 +52,14 @@ def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column],
     return swept.select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(F.sum("c.v").alias("v"))
 
 
+def symmetric_vector_sum(left: DataFrame, right: DataFrame, kernel=kernels.rpy, blocks: int = 4) -> DataFrame:
+    """As symmetric_sum for a symmetric 3 x 3 kernel, which is even in the separation: rows (side, id, vx, vy, vz)."""
+    a, b = _position("a"), _position("b")
+    sides = [("left", "a", kernel(a, b, [F.col(f"b.q{c}") for c in "xyz"])), ("right", "b", kernel(a, b, [F.col(f"a.q{c}") for c in "xyz"]))]
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{p}.id").alias("id"), *[v.alias(f"v{c}") for v, c in zip(out, "xyz")]) for side, p, out in sides])
+    return pairs(left, right, blocks).select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(*[F.sum(f"c.v{c}").alias(f"v{c}") for c in "xyz"])
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Of two coordinate arrays of any equal length."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

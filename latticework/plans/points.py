@@ -100,3 +100,25 @@ def stokes_matrix(spark, sf_dir):
     e = [F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")]
     p = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"), *e)
     return rounded(nbody.stokes_matrix(p), "v", digits=8)
+
+
+@query()
+def stokes_matrix_whole(spark, sf_dir):
+    """The kernel matrix of all points."""
+    return rounded(nbody.stokes_matrix(points(spark, sf_dir)), "v", digits=8)
+
+
+def _symmetric_vectors(spark, sf_dir, kernel):
+    p = points(spark, sf_dir)
+    return rounded(nbody.symmetric_vector_sum(p.where("id % 2 = 0"), p.where("id % 2 = 1"), kernel), "vx", "vy", "vz", digits=6)
+
+
+@query()
+def nbody_rpy_symm(spark, sf_dir):
+    """Even and odd points as the two sets."""
+    return _symmetric_vectors(spark, sf_dir, kernels.rpy)
+
+
+@query()
+def nbody_stokes_symm(spark, sf_dir):
+    return _symmetric_vectors(spark, sf_dir, kernels.stokes)

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.functions import scalar
+from latticework.functions import kernels, scalar
 from latticework.operators import blas, coo, mixed, nbody, redist, sparse
+from latticework.plans import blocks, points
 from latticework.sources import generators, matrix_market, raw
 
 
@@ -97,6 +98,44 @@ def test_coincident_points(spark):
     assert got == pytest.approx({0: 0.4, 1: 0.4, 2: 0.4})
 
 
+@pytest.mark.parametrize("kernel", ["rpy", "stokes"])
+def test_symmetric_vector_sweep(spark, kernel):
+    rng = np.random.default_rng(4)
+    rows = [(k, *map(float, rng.uniform(0, 1, 6))) for k in range(24)]
+    rows[7] = (7, *rows[2][1:4], *rows[7][4:])  # coincident, one in each set
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double, qx double, qy double, qz double")
+    left, right, f = p.where("id % 2 = 0"), p.where("id % 2 = 1"), getattr(kernels, kernel)
+    got = {(r["side"], r["id"]): (r["vx"], r["vy"], r["vz"]) for r in nbody.symmetric_vector_sum(left, right, f).collect()}
+    want = {(s, r["id"]): (r["vx"], r["vy"], r["vz"]) for s, x, y in (("left", left, right), ("right", right, left)) for r in nbody.vector_sum(x, y, f).collect()}
+    assert len(got) == 24 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-10) for k in want)
+
+
+def test_whole_tables_meet(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    lines = [(int(o), int(rng.integers(1, 400)), int(rng.integers(1, 9))) for o in (1, 1, 300, 301, 5000, 5000, 14000, 14001, 20000, 20000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    a, b = {}, {}
+    for o, p, s in lines:
+        a[o], b[s] = (min(a.get(o, (p, p))[0], p), max(a.get(o, (p, p))[1], p)), min(b.get(s, p), p)
+    want = {(o, s, max(lo, at), min(hi, at + 20)) for o, (lo, hi) in a.items() for s, at in b.items() if lo <= at + 20 and at <= hi}
+    got = [tuple(r) for r in blocks.interval_overlap_whole(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {o for o, *_ in got} > {301, 5000}
+    vectors = [(k, [float(x) for x in rng.uniform(-1, 1, 6)], k % 5) for k in range(9)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    m = np.zeros((27, 27))
+    for r in points.stokes_matrix_whole(spark, str(tmp_path)).collect():
+        m[r["i"], r["j"]] = r["v"]
+    x = np.array([v[:3] for _, v, _ in vectors], np.float32).astype(float)
+    c = 1 / (6 * np.pi * 0.25 * 0.5)
+    for i in range(9):
+        for j in range(9):
+            d = x[i] - x[j]
+            r = np.linalg.norm(d)
+            block = c * np.eye(3) if i == j else c * 0.25 * 0.75 / r * (np.eye(3) + np.outer(d, d) / r**2)
+            assert m[3 * i : 3 * i + 3, 3 * j : 3 * j + 3] == pytest.approx(block, abs=1e-7)
+
+
 def test_box_overlap_edges(spark):
     box = "rank long, r0 long, r1 long, c0 long, c1 long"
     a = spark.createDataFrame([(0, 0, 9, 0, 9), (1, 20, 29, 0, 9)], box)
