@@ -18,6 +18,15 @@ def tall(spark, sf_dir):
     return factor.tall(e, "vec_id", "w")
 
 
+def whole(spark, sf_dir):
+    """All entries of the embeddings."""
+    return factor.tall(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def width_of(rows) -> int:
+    return rows.agg(F.max(F.size("v"))).first()[0]
+
+
 def product_of(q, r: np.ndarray):
     """Q R and Q'Q - I of rows and a small factor, as (name, i, j, v)."""
     from latticework.operators.sparse import gram_rows
@@ -66,7 +75,7 @@ def eigh_topk(spark, sf_dir):
     """The largest ten eigenvalues of A'A with the residuals of their vectors."""
     from latticework.operators.sparse import gram_rows
 
-    rows = tall(spark, sf_dir)
+    rows = whole(spark, sf_dir)
     g = factor.small(gram_rows(rows, "v"))
     w, v = factor.eigh_gram(rows)
     return spark.createDataFrame([(k, round(float(w[k]), 6), round(float(np.linalg.norm(g @ v[:, k] - w[k] * v[:, k])), 6)) for k in range(10)], "k long, eigenvalue double, residual double")
@@ -74,8 +83,8 @@ def eigh_topk(spark, sf_dir):
 
 @query()
 def pivoted_qr(spark, sf_dir):
-    r, order, rank = factor.tall_pivoted(tall(spark, sf_dir))
-    return spark.createDataFrame([(k, order[k], round(float(abs(r[k, k])), 6), rank) for k in range(WIDTH)], "k long, column long, diagonal double, rank long")
+    r, order, rank = factor.tall_pivoted(whole(spark, sf_dir))
+    return spark.createDataFrame([(k, order[k], round(float(abs(r[k, k])), 6), rank) for k in range(len(order))], "k long, column long, diagonal double, rank long")
 
 
 @query()
@@ -84,7 +93,7 @@ def dense_kernels(spark, sf_dir):
     divide and conquer, the generalized eigenproblem."""
     from latticework.operators.sparse import gram_rows
 
-    g = factor.small(gram_rows(tall(spark, sf_dir), "v"))
+    g = factor.small(gram_rows(whole(spark, sf_dir), "v"))
     n = len(g)
     g = g / np.abs(g).max() + np.eye(n)
     b = np.diag(1.0 + np.arange(n) / n)
@@ -99,6 +108,43 @@ def dense_kernels(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(np.abs(x).max()), 8)) for k, x in found.items()], "kernel string, residual double")
 
 
+# ---- the same over all entries ----
+
+
+_ALL = "SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings"
+_QR_ALL = f"""WITH a AS ({_ALL}), k AS (SELECT DISTINCT j FROM a)
+  SELECT 'qr' AS name, i, j, round(v, 6) AS v FROM a UNION ALL SELECT 'orthogonality', x.j, y.j, 0.0 FROM k x CROSS JOIN k y"""
+
+
+@query(_QR_ALL)
+def cholqr_whole(spark, sf_dir):
+    return product_of(*factor.cholesky_qr2(whole(spark, sf_dir)))
+
+
+@query(_QR_ALL)
+def qr_residual_whole(spark, sf_dir):
+    return product_of(*factor.tall_qr(whole(spark, sf_dir)))
+
+
+@query(_QR_ALL)
+def block_mgs_whole(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return product_of(*factor.block_gram_schmidt(rows, width_of(rows), 16))
+
+
+@query(f"SELECT i, j, round(v, 6) AS v FROM ({_ALL})")
+def randomized_xr_whole(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    q, r = factor.randomized_xr(rows, width_of(rows))
+    return factor.times(q, r).select("i", F.posexplode("v").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH a AS ({_ALL}) SELECT round(sum(v * v), 4) AS sum_of_eigenvalues FROM a""")
+def eigh_sum_whole(spark, sf_dir):
+    w, _ = factor.eigh_gram(whole(spark, sf_dir))
+    return spark.createDataFrame([(round(float(w.sum()), 4),)], "sum_of_eigenvalues double")
+
+
 # ---- mixed precision ----
 
 

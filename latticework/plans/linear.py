@@ -80,6 +80,13 @@ def gram_coo(spark, sf_dir):
     return rounded(sparse.gram(e.select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))), "v", digits=6)
 
 
+@query("""WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
+  SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2""")
+def gram_coo_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return rounded(sparse.gram(e.select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))), "v", digits=6)
+
+
 @query("SELECT vec_id AS i, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: embedding[k]::DOUBLE * k)), 6) AS v FROM embeddings")
 def gemv(spark, sf_dir):
     """Dense rows times the vector 1, 2, ..."""

@@ -169,3 +169,21 @@ def test_ring_flags_turn(spark):
     rows = channel.produce(spark.range(12).select(F.col("id").alias("issue_idx"), F.lit(1.0).alias("value")), 2).orderBy("issue_idx").collect()
     assert [r["slot"] for r in rows] == [0, 1, 2, 3] * 3
     assert [r["flag"] for r in rows] == [1] * 4 + [0] * 4 + [1] * 4
+
+
+def test_dense_queries_take_whole_vectors(spark, tmp_path):
+    """Forty columns, of which the last depends on two others."""
+    from latticework.plans import dense
+
+    x = np.random.default_rng(6).normal(size=(120, 40)).astype(np.float32)
+    x[:, 39] = x[:, 3] + x[:, 30]
+    x = x.astype(float)
+    spark.createDataFrame([(k, list(map(float, r))) for k, r in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = np.sort(np.linalg.svd(x, compute_uv=False) ** 2)[::-1]
+    top = dense.eigh_topk(spark, str(tmp_path)).orderBy("k").collect()
+    assert [r["eigenvalue"] for r in top] == pytest.approx(want[:10], rel=1e-6) and all(r["residual"] < 1e-6 for r in top)
+    assert dense.eigh_sum_whole(spark, str(tmp_path)).first()[0] == pytest.approx(want.sum(), abs=1e-3)
+    r = dense.pivoted_qr(spark, str(tmp_path)).collect()
+    assert sorted(q["column"] for q in r) == list(range(40)) and np.prod([q["diagonal"] for q in r[:39]]) > 0 and r[39]["diagonal"] < 1e-6
+    kernels = {q["kernel"]: q["residual"] for q in dense.dense_kernels(spark, str(tmp_path)).collect()}
+    assert len(kernels) == 7 and max(kernels.values()) < 1e-6
