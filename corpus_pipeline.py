@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from latticework.llm import bpe, mixing, pii, simhash, toxicity
 from latticework.llm.common import written
@@ -23,13 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document whose id names it; of rows that repeat that id, one. Documents without an
-    id name no component and stay unless all of them are copies of documents with one."""
-    found = simhash.near_duplicates(docs).where("component_id is null or doc_id = component_id").select("doc_id", F.col("component_id").isNull().alias("_free"))
-    kept = found.groupBy("doc_id").agg(F.max("_free").alias("_free")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")))
-    repeated = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang")
-    return joined.withColumn("_n", F.row_number().over(repeated)).where("_n = 1 or doc_id is null").select(*docs.columns)
+    """Keeps exactly one row of each component, that of its smallest id; ids may be repeated or null."""
+    return simhash.one_of_each(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

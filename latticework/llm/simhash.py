@@ -55,17 +55,19 @@ def fingerprint(text: str, words_per_shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > m, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp): fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Rows (id, fp) and, with ``key_col``, its long as key: fp is the fingerprint as a signed long."""
+    keys = [] if key_col is None else [F.col(key_col).cast("long").alias("key")]
 
     def run(batches):
         kept("simhash", list)  # frees what another operator has kept
         for batch in batches:
             parts = (batch.column(1).slice(at, 256).to_pylist() for at in range(0, batch.num_rows, 256))
             fps = np.array([fingerprint(t) for texts in parts for t in texts], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *keys)
+    return given.mapInArrow(run, "id long, fp long" + (", key long" if keys else ""))
 
 
 def _bit_removed(value: Column, bit: Column) -> Column:
@@ -111,14 +113,31 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
+def _with_components(first: DataFrame) -> DataFrame:
+    """``first`` (distinct fingerprints, fp and first) with the smallest fingerprint of its component as component."""
+    # few bytes a row before it becomes 64 rows: without a count of its own it would be packed into too few tasks
+    comps = components(shrink_edges(links(first.select("fp").repartition(n_partitions(first.sparkSession), F.xxhash64("fp")))))
+    return first.join(comps, first.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, fingerprint (16 lowercase hex digits) and component_id, the smallest id of its component."""
     rows, _ = written(fingerprints(docs, id_col, text_col), "fingerprints")
     first = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    # few bytes a row before it becomes 64 rows: without a count of its own it would be packed into too few tasks
-    comps = components(shrink_edges(links(first.select("fp").repartition(n_partitions(docs.sparkSession), F.xxhash64("fp")))))
     # the component of a fingerprint is named by its smallest fingerprint first, by its smallest document at last
-    joined = first.join(comps, first.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    joined = _with_components(first)
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named, _ = written(joined.join(least, "component").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of ``docs`` from each component: that of its smallest id, rows without an id coming last. Rows count, not
+    ids: each has the hash of all its columns for a key, so only rows that agree in everything share one."""
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    rows, _ = written(fingerprints(keyed, id_col, text_col, "_key"), "fingerprints")
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("free"), "id", "key")).alias("first"))
+    chosen = _with_components(first).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_chosen")).distinct()
+    same = W.partitionBy("_key", id_col, text_col).orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
+    joined = keyed.join(chosen, F.col("_key") == F.col("_chosen"))
+    return joined.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)

@@ -569,6 +569,22 @@ def test_pipeline_is_brute_force(spark, tmp_path):
     assert sorted(map(tuple, pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, stages[4]["rows"]))
 
 
+def test_one_row_of_each_component(spark):
+    """Repeated ids with unrelated texts, null ids alone, with copies of each other and with copies of documents with an id."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(16)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(500)}" for _ in range(300)) for _ in range(6))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, d), (3, d), (None, e), (4, f), (5, f + " end"), (6, a), (None, None), (None, ""), (None, c)]
+    full = [(k, t, "en", f"s{n % 2}", 1) for n, (k, t) in enumerate(rows)]
+    docs = spark.createDataFrame([*full, full[0], full[4]], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"] or "") for r in got.collect())
+    near = 4 if (brute_fingerprint(f) ^ brute_fingerprint(f + " end")).bit_count() <= 3 else None
+    want = [(1, a), (1, b), (None, c), (3, d), (None, e), (4, f), (None, "")] + ([(5, f + " end")] if near is None else [])
+    assert found == Counter(want)
+
+
 def test_targets_of_sources_with_equal_caps(spark):
     sizes = spark.createDataFrame([("a", 3000), ("b", 3000), ("c", 3000), ("d", 3000), ("e", 63)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
