@@ -3,7 +3,8 @@
 Vectors are compared when their labels (and lengths) are equal. Equal vectors of a label are one representative with a
 count, so exact copies never meet pair by pair. A label's representatives are dealt by hash into shards of about
 ``shard_rows``; each shard's graph is built once and written. Each shard is then searched with the vectors of
-itself and of the label's later shards (links are symmetric), a block of vectors against a shard in one task.
+itself and of the label's later shards (links are symmetric: what one end finds counts for both, and a pair of shards is
+searched in one direction), a block of vectors against a shard in one task.
 The search starts with a beam of ``beam``; an audit compares ``audit`` queries of the block with all of the shard,
 and the beam doubles until the audit finds every link (a beam as wide as the shard is a scan of it). Cosines of what
 was found are taken anew in double precision. A block returns sums a vector and a spanning forest of its links, so
@@ -54,6 +55,12 @@ def audited(graph: Hnsw, exact: np.ndarray, queries: np.ndarray, least: float, b
     return r[keep], c[keep]
 
 
+def mirrored(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places below n in both directions, each once: what one end has found counts for both."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return np.divmod(np.unique(np.concatenate([a * n + b, b * n + a])), n)
+
+
 def near_duplicates(vectors: DataFrame, min_cosine: float = 0.98, shard_rows: int = SHARD_ROWS, beam: int = 32, audit: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per vector: id, n_links, component_id, kept (id = component_id)."""
     spark = vectors.sparkSession
@@ -104,6 +111,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.98, shard_rows: in
                 ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 counts, q_counts = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["q_counts"], np.int64)
                 a, b = audited(Hnsw.of(r["graph"]), exact, queries, min_cosine, beam, audit)
+                if r["block"] == r["shard"]:
+                    a, b = mirrored(a, b, len(ids))
                 other = q_ids[a] != ids[b]
                 a, b = a[other], b[other]
                 sums = [(q_ids, np.bincount(a, counts[b], len(q_ids)))]

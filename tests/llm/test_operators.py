@@ -273,6 +273,11 @@ def test_embeddings_are_brute_force(spark):
     assert got == want
 
 
+def test_links_within_a_shard_count_for_both_ends():
+    a, b = embedding_dedup.mirrored(np.array([0, 1, 2, 4], np.int32), np.array([1, 0, 3, 4], np.int32), 5)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, 1), (1, 0), (2, 3), (3, 2), (4, 4)]
+
+
 def test_embeddings_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
