@@ -1,49 +1,13 @@
-"""What several training-data operators share: the shared folder, written tables, partition counts and components."""
+"""What several training-data operators share: tables kept in workers, components, and the library's written tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests, local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
+from latticework.tables import drop_path, n_partitions, shared_dir, written
 
-def _drop_all() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
-            return
-
-
-atexit.register(_drop_all)
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder and that table's path: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
+__all__ = ["components", "drop_path", "kept", "local_forest", "n_partitions", "release", "shared_dir", "shrink_edges", "text_or_empty", "written"]
 
 
 _KEPT: dict = {}
@@ -74,10 +38,6 @@ def release() -> None:
         trim(0)
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -595,3 +595,37 @@ def test_targets_of_sources_with_equal_caps(spark):
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
     assert got["e"] == 189 and sum(got.values()) == pytest.approx(12063, abs=1e-4)
     assert got["a"] == got["d"] == pytest.approx(5 / 13 * 11874, abs=1e-4)
+
+
+def test_every_character_like_the_library():
+    """Each code point inside a word, alone and before a mark."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORD), token_file.Encoder(WORD)
+    for low in range(0, 0x110000, 8192):
+        texts = [f"Ab{c}cD {c} {c}. X{c}" for c in map(chr, range(low, low + 8192)) if not "\ud800" <= c <= "\udfff"]
+        for t, got, want in zip(texts, own.encode(texts, b""), lib.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
+
+
+def test_long_texts_in_pieces_like_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_file, "PIECE_CHARS", 50)
+    lib, own = Tokenizer.from_file(WORD), token_file.Encoder(WORD)
+    for t in ("The quick brown fox. " * 40, "x" * 300, "ab cd  \n " * 30 + "Ende", "naïve ΑΣ é " * 25, "a b <|endoftext|> c " * 20):
+        assert np.frombuffer(own.encode([t], b"")[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_token_file_stays_and_reads_by_id_and_range(spark, awkward, tmp_path, monkeypatch):
+    out = str(tmp_path / "tokens")
+    monkeypatch.setattr(token_file, "SEGMENT_TOKENS", 300)
+    _, path = token_file.write_tokens(awkward, WORD, 2, out=out)
+    assert path == out
+    whole = sorted((tuple(r) for r in token_file.read_tokens(spark, out).collect()), key=lambda r: r[1])
+    some = sorted((tuple(r) for r in token_file.read_tokens(spark, out, first=4, last=9).collect()), key=lambda r: r[1])
+    assert some == [r for r in whole if r[0] is not None and 4 <= r[0] <= 9] and len(some) == 7
+    assert {r["doc_id"] for r in token_file.read_tokens(spark, out, last=1).collect()} == {0, 1}
+    stream = [t for r in whole for t in r[4]]
+    got = sorted(tuple(r) for r in token_file.read_range(spark, out, 37, len(stream) - 11).collect())
+    assert len(got) > 2 and got[0][0] == 37 and [t for _, ids in got for t in ids] == stream[37 : len(stream) - 11]
