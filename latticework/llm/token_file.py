@@ -34,7 +34,8 @@ from latticework.llm.common import kept, n_partitions, release, text_or_empty, w
 
 SEGMENT_TOKENS = 1 << 20
 BROADCAST_SEGMENTS = 100_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000  # some 200 bytes each
+TEXTS_AT_ONCE = 128
 PIECE_CHARS = 1 << 20
 HEAD = struct.Struct("<4sB3xIQ")
 MAGIC = b"LWT1"
@@ -225,8 +226,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     def encode(batches):
         coder, tail = loaded(path, wire), np.array([end_id], wire).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
                 coded = coder.encode(part.column(1).to_pylist(), tail)
                 ids = part.column(0)
                 found = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
