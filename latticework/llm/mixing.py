@@ -4,20 +4,24 @@ Targets: sources by code point, null last, get the weights in turn; together the
 stops at ``max_repeats`` times its source's words and the rest is shared again by weight until none is above: the capped
 sources are those with the least cap a weight, so the fixed point is read off two running sums.
 
-Schedule: a source's documents in order of a keyed hash are a stream of words, repeated where the target asks for
-more, and cut into blocks of ``block_words`` words (the last one where the target ends). The source needs n(s) blocks,
-N in all; slot i of the 2^m >= N slots of the schedule has the van der Corput point v(i) / 2^m (the bits of i
-reversed). The running sums of n(s) cut [0, N) into a range for each source: slot i belongs to the source whose range
-holds v(i) and its rank among that source's slots, by point, is v(i) less the range's start. Points at or above N are
-unused slots. Every stretch of the schedule holds the sources in nearly their proportions. Blocks join slots on (source,
-rank); a document takes the words of its blocks that have a slot.
-
-Positions in a stream are prefix sums in two steps (buckets of the hash, documents within a bucket), so a source with a
-third of all rows is spread over many tasks. Slots find their source by an equality join on cells of the slot axis.
-
-Defined cases: null texts have size 0; documents of size 0 take 0 words; a null source is a source of its own and comes
-last; null and repeated ids are rows of their own; with no words at all every target is 0; an empty table gives
-an empty result; other columns are not read by ``mix`` and pass through ``mixed_documents``.
+Schedule: the targets, one after the other, make an axis of words, which N slots of ``block_words`` words share out (the last
+slot may have fewer). The slots come in the order of a van der Corput sequence: slot i has the point v(i), the m bits of i
+reversed (2^m >= N; points at or above N are unused), and the words from v(i) block_words on. The running
+sums of the targets say whose words these are: the source whose range holds them gets the slot, and a slot on the border of two gets some
+of each. A slot's rank in its source is its point's, so a source has as many slots as points fall to it.
+Every stretch of the schedule holds the sources in nearly their proportions.
+
+Blocks: a source's documents in order of a keyed hash are a stream of words, repeated where the schedule asks for
+more, and cut where its slots are. Blocks join slots on (source, rank); a document takes the words that its blocks have in
+the slots that they met.
+
+Positions in a stream are prefix sums in three steps (ranges of buckets of the hash, buckets, documents within a bucket), so a source
+with a third of all rows is spread over many tasks. Slots find their source by an equality join on cells of the slot axis.
+
+Defined cases: null texts have size 0; documents of size 0 take 0 words and have no slot; a null source is a source of its own and comes
+last; null and repeated ids are rows of their own (null ids are ordered by their texts); with no words at all every target is 0; an empty table gives
+an empty result; very long texts are counted whole and may cover many slots; other columns are not read by ``mix`` and pass
+through ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,64 +69,96 @@ def _reversed_bits(x: Column, bits: int) -> Column:
 
 
 def schedule(goals: DataFrame, block_words: int) -> DataFrame:
-    """Slots (key, rank, slot): slot is the place in the mix, rank the block of the source that stands there."""
+    """Slots (key, rank, slot, begin, end): slot is the place in the mix, rank the block of the source that stands there, begin and end
+    that block's words in the source's stream."""
     spark = goals.sparkSession
     running = W.orderBy("key").rowsBetween(W.unboundedPreceding, -1)  # as many rows as sources
-    ranges = goals.withColumn("n", F.ceil(F.col("take") / F.lit(block_words)).cast("long")).where("n > 0")
-    ranges = ranges.select("key", "n", F.coalesce(F.sum("n").over(running), F.lit(0)).cast("long").alias("start"))
-    total = ranges.agg(F.sum("n")).first()[0] or 0
+    ranges = goals.where("take > 0").select("key", "take", F.coalesce(F.sum("take").over(running), F.lit(0)).cast("long").alias("offset"))
+    words = ranges.agg(F.sum("take")).first()[0] or 0
+    total = -(-words // block_words)
     bits = max(1, (total - 1).bit_length()) if total else 1
     cell = max(1, -(-total // CELLS))
-    cells = ranges.select("key", "start", "n", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("n") - 1) / cell))).alias("cell"))
+    first, last = F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("take") - 1) / block_words)
+    ranges = ranges.select("key", "take", "offset", first.alias("first"), last.alias("last"))
+    cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))))
     points = spark.range(1 << bits).select(F.col("id").alias("slot"), _reversed_bits(F.col("id"), bits).alias("point")).where(F.col("point") < total)
-    held = points.withColumn("cell", F.floor(F.col("point") / cell)).join(cells, "cell").where("point >= start and point < start + n")
-    return held.select("key", (F.col("point") - F.col("start")).alias("rank"), "slot")
+    held = points.withColumn("cell", F.floor(F.col("point") / cell)).join(cells, "cell").where("point between first and last")
+    begin = F.greatest(F.col("point") * block_words - F.col("offset"), F.lit(0))
+    end = F.least((F.col("point") + 1) * block_words - F.col("offset"), "take")
+    return held.select("key", (F.col("point") - F.col("first")).alias("rank"), "slot", begin.alias("begin"), end.alias("end"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, block_words: int = 1024, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: id, size, source_size, target (its source's), taken, first_slot (null if not taken), and two columns
-    that tell rows of one id apart: text_hash and occurrence (1, 2, ... among equal id, source and text)."""
-    spark = docs.sparkSession
+def _buckets_before(hashed: DataFrame, bits: int) -> DataFrame:
+    """(key, bucket, bucket_start): the words of a source's buckets before each, by running sums within and over ranges of buckets."""
+    sums = hashed.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn("range", F.shiftright("bucket", max(0, bits - 12)))
+    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    within = sums.withColumn("inner", F.coalesce(F.sum("bucket_size").over(before("key", "range", "bucket")), F.lit(0)))
+    ranges = sums.groupBy("key", "range").agg(F.sum("bucket_size").alias("range_size"))  # 4096 a source at most
+    starts = ranges.select("key", "range", F.coalesce(F.sum("range_size").over(before("key", "range")), F.lit(0)).alias("outer"))
+    return within.join(starts, ["key", "range"]).select("key", "bucket", (F.col("inner") + F.col("outer")).alias("bucket_start"))
+
+
+_ROW = ["key", "bucket", "row", "id", "size", "source_size", "target", "text_hash", "occurrence"]
+
+
+def _pieces(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int, block_words: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row a piece of a document's copy that met a slot (copy, slot, words), and at least one row a document."""
     sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     sizes, _ = written(sizes, "sizes")  # texts are read once
     rows = sizes.count()
     bits = max(0, (rows // ROWS_A_BUCKET).bit_length())
     goals, _ = written(targets(sizes, weights, share, max_repeats), "targets")
-    hashed = sizes.withColumn("key", _source_key(F.col("source"))).withColumn("hash", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":" + seed))))
+    slots, _ = written(schedule(goals, block_words), "slots")
+    firsts = slots.where("rank = 0").select("key", F.col("end").alias("first_end"))  # one a source with a target
+    named = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("~"), F.col("text_hash")), F.lit(""))
+    hashed = sizes.withColumn("key", _source_key(F.col("source"))).withColumn("hash", F.md5(F.concat(named, F.lit(":" + seed))))
     hashed = hashed.withColumn("bucket", F.shiftright(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), 32 - bits))
-    in_source = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = hashed.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size")).select("key", "bucket", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)).alias("bucket_start"))
     in_bucket = W.partitionBy("key", "bucket").orderBy("hash", "id", "size", "text_hash")
     placed = hashed.withColumn("row", F.row_number().over(in_bucket)).withColumn("before", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("occurrence", F.row_number().over(W.partitionBy("key", "bucket", "hash", "id", "size", "text_hash").orderBy("row")))
-    placed = placed.join(starts, ["key", "bucket"]).join(goals.drop("source", "weight"), "key")
+    placed = placed.join(_buckets_before(hashed, bits), ["key", "bucket"]).join(goals.drop("source", "weight").join(firsts, "key", "left"), "key")
     placed = placed.withColumn("at", F.col("before") + F.col("bucket_start")).drop("before", "bucket_start", "hash", "source")
     # copies that begin before the target ends, then the blocks that a copy touches; one row without a block for each document
     copies = F.when((F.col("size") > 0) & (F.col("at") < F.col("take")), F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1 - F.col("at")) / F.greatest("source_size", F.lit(1)))))
     spans = placed.withColumn("copy", F.explode_outer(copies)).withColumn("a", F.col("at") + F.col("copy") * F.col("source_size")).withColumn("e", F.least(F.col("a") + F.col("size"), F.col("take")))
-    blocks = F.when(F.col("copy").isNotNull(), F.sequence(F.floor(F.col("a") / block_words), F.floor((F.col("e") - 1) / block_words)))
-    pieces = spans.withColumn("rank", F.explode_outer(blocks)).withColumn("words", F.least(F.col("e"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("a"), F.col("rank") * block_words))
-    joined = pieces.join(schedule(goals, block_words), ["key", "rank"], "left")
-    same = ["key", "bucket", "row", "id", "size", "source_size", "target", "text_hash", "occurrence"]
-    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long")
-    done = joined.groupBy(*same).agg(taken.alias("taken"), F.min("slot").alias("first_slot"))
+    # the block of a word: the source's first block may be short, as its slot begins in another source's words
+    block = lambda word: F.when(word < F.col("first_end"), F.lit(0)).otherwise(1 + F.floor((word - F.col("first_end")) / block_words)).cast("long")
+    blocks = F.when(F.col("copy").isNotNull(), F.sequence(block(F.col("a")), block(F.col("e") - 1)))
+    ranked = spans.withColumn("rank", F.explode_outer(blocks))
+    joined = ranked.join(slots, ["key", "rank"], "left")
+    words = F.when(F.col("slot").isNotNull(), F.least("e", "end") - F.greatest("a", "begin"))
+    return joined.select(*_ROW, "copy", "slot", words.alias("words"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, block_words: int = 1024, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per document: id, size, source_size, target (its source's), taken, first_slot (null if not taken), and two columns
+    that tell rows of one id apart: text_hash and occurrence (1, 2, ... among equal id, source and text)."""
+    pieces = _pieces(docs, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col)
+    done = pieces.groupBy(*_ROW).agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot", "key", "text_hash", "occurrence")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document taken k times and r words more is k whole rows and one
-    row of its first r words (at most one document of a source is cut so)."""
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("taken > 0")
-    plan = plan.select(F.col(id_col).alias("_i"), F.col("key").alias("_k"), F.col("text_hash").alias("_h"), F.col("occurrence").alias("_o"), F.col("size").alias("_s"), F.col("taken").alias("_t"))
-    same = [F.col(id_col), _source_key(F.col(source_col)), F.xxhash64(F.col(text_col).cast("string"))]
-    given = docs.withColumn("_k2", same[1]).withColumn("_h2", same[2]).withColumn("_o2", F.row_number().over(W.partitionBy(id_col, "_k2", "_h2").orderBy(F.lit(1))))
-    both = given.join(plan, (F.col(id_col).eqNullSafe(F.col("_i"))) & (F.col("_k2") == F.col("_k")) & (F.col("_h2") == F.col("_h")) & (F.col("_o2") == F.col("_o")))
-    left = F.col("_t") % F.col("_s")
-    each = both.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_t") / F.col("_s")))))
-    cut = (F.col("_c") * F.col("_s") > F.col("_t")) & (left > 0)
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
-    text = F.when(cut, words).otherwise(F.col(text_col))
-    return each.select(*[(text.alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, block_words: int = 1024, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each copy of a document, whole or (one document of a source
+    at most) its first words. Rows stand by the slot in which their copy begins, then by id: in each partition, or over all of them with
+    ``ordered``, which costs a shuffle of the texts."""
+    pieces = _pieces(docs, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col).where("words > 0")
+    # a copy begins in its block of the least rank; blocks of later ranks may have earlier slots
+    copies = pieces.groupBy("id", "key", "text_hash", "occurrence", "size", "copy").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    plan = copies.groupBy("id", "key", "text_hash", "occurrence", "size").agg(F.collect_list(F.struct("slot", "copy", "words")).alias("copies"))  # max_repeats at most
+    plan = plan.select(F.struct("id", "key", "text_hash", "occurrence").alias("plan"), "copies", "size")
+    same = F.struct(F.col(id_col).cast("long").alias("id"), _source_key(F.col(source_col)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), same.alias("same"), F.xxhash64(*docs.columns).alias("whole"))
+    # rows that agree in id, source and text are told apart by all their columns; those that agree in all are alike
+    given = given.withColumn("occurrence", F.row_number().over(W.partitionBy("same").orderBy("whole")))
+    where = [F.col(f"same.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in ("id", "key", "text_hash")]
+    both = given.join(plan, where[0] & where[1] & where[2] & (F.col("occurrence") == F.col("plan.occurrence")))
+    each = both.select("doc", "same", "size", F.explode("copies").alias("copy")).select("doc", "same", "size", "copy.*")
+    text = F.col("doc").getField(text_col)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("words").cast("int")), "")
+    order = ["slot", "same.id", "same.text_hash", "copy"]
+    each = each.repartitionByRange(*order).sortWithinPartitions(*order) if ordered else each.sortWithinPartitions(*order)
+    return each.select(*[(F.when(F.col("words") < F.col("size"), first).otherwise(text) if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
@@ -142,14 +178,31 @@ WITH sizes AS (
   SELECT source, source_size,
          least(cap, round(coalesce((SELECT level FROM levels WHERE cap / weight > level ORDER BY cap / weight, k LIMIT 1), 'inf'::DOUBLE) * weight, 6)) AS target
   FROM levels
+), axis AS (
+  SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS take,
+         coalesce(sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM goals
+), slots_of AS (
+  SELECT ((sum(take) + 1023) // 1024)::BIGINT AS n, greatest(1, length(ltrim(bin(greatest(0, (sum(take) + 1023) // 1024 - 1)::BIGINT), '0')))::BIGINT AS bits FROM axis
+), points AS (
+  SELECT slot, n, list_sum([((slot >> k) & 1) << (bits - 1 - k) for k in range(bits)])::BIGINT AS point
+  FROM (SELECT n, bits, unnest(range(1::BIGINT << bits)) AS slot FROM slots_of)
+), slots AS (
+  SELECT source, slot, greatest(point * 1024 - off, 0) AS b, least((point + 1) * 1024 - off, take) AS e
+  FROM points JOIN axis ON point * 1024 < off + take AND (point + 1) * 1024 > off WHERE point < n
 ), placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS take,
+  SELECT s.doc_id, s.source, s.size, g.source_size, g.target, g.take,
          (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '') || ':mix'), s.doc_id, s.size
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS pos
-  FROM sizes s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+  FROM sizes s JOIN axis g ON s.source IS NOT DISTINCT FROM g.source
+), copies AS (
+  SELECT *, pos + c * source_size AS b, least(pos + (c * source_size) + size, take) AS e
+  FROM placed, (VALUES (0), (1), (2)) AS t(c)
+), met AS (
+  SELECT c.doc_id, sum(least(c.e, s.e) - greatest(c.b, s.b))::BIGINT AS taken, min(s.slot) AS first_slot
+  FROM copies c JOIN slots s ON c.source IS NOT DISTINCT FROM s.source AND c.b < s.e AND s.b < c.e
+  WHERE c.b < c.e GROUP BY c.doc_id
 )
-SELECT doc_id, size, source_size, target,
-       (SELECT coalesce(sum(greatest(0, least(pos + c * source_size + size, take) - (pos + c * source_size))), 0)::BIGINT
-        FROM (VALUES (0), (1), (2)) AS copies(c)) AS taken
-FROM placed
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(m.taken, 0)::BIGINT AS taken, m.first_slot
+FROM placed p LEFT JOIN met m ON p.doc_id = m.doc_id
 """

@@ -629,3 +629,46 @@ def test_token_file_stays_and_reads_by_id_and_range(spark, awkward, tmp_path, mo
     stream = [t for r in whole for t in r[4]]
     got = sorted(tuple(r) for r in token_file.read_range(spark, out, 37, len(stream) - 11).collect())
     assert len(got) > 2 and got[0][0] == 37 and [t for _, ids in got for t in ids] == stream[37 : len(stream) - 11]
+
+
+def test_words_come_through_the_schedule(spark, monkeypatch):
+    """A document takes the words of the slots that its blocks meet, and no others."""
+    rng = random.Random(17)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 300)), rng.choice("aabc")) for k in range(200)]
+    docs = documents(spark, rows)
+    before = {r["doc_id"]: (r["taken"], r["first_slot"]) for r in mixing.mix(docs, block_words=32).collect()}
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda goals, words: whole(goals, words).where("slot % 2 = 0"))
+    half = {r["doc_id"]: (r["taken"], r["first_slot"]) for r in mixing.mix(docs, block_words=32).collect()}
+    assert all(s is None or s % 2 == 0 for _, s in half.values())
+    a, b = sum(t for t, _ in before.values()), sum(t for t, _ in half.values())
+    assert 0.4 * a < b < 0.6 * a and all(half[k][0] <= before[k][0] for k in before)
+
+
+def test_slots_share_out_the_targets(spark):
+    goals = spark.createDataFrame([("a", 1003), ("b", 17), ("c", 0), ("d", 5001)], "key string, take long")
+    rows = mixing.schedule(goals, 100).collect()
+    for key, take in (("a", 1003), ("b", 17), ("d", 5001)):
+        spans = sorted((r["rank"], r["begin"], r["end"]) for r in rows if r["key"] == key)
+        assert [k for k, *_ in spans] == list(range(len(spans)))
+        assert spans[0][1] == 0 and spans[-1][2] == take and all(x[2] == y[1] for x, y in zip(spans, spans[1:]))
+    by_slot = Counter()
+    for r in rows:
+        by_slot[r["slot"]] += r["end"] - r["begin"]
+    assert sorted(by_slot.values())[1:] == [100] * 60 and sum(by_slot.values()) == 6021  # equal blocks but for the last
+    assert mixing.schedule(goals.where("key = 'c'"), 100).count() == 0
+
+
+def test_mixed_documents_stand_by_slot_and_pass_odd_columns_on(spark):
+    rng = random.Random(18)
+    rows = [(k % 190 if k % 20 else None, " ".join(["w%d" % (k % 150)] * rng.randrange(1, 300)), rng.choice("aaaaab"), k) for k in range(200)]
+    odd = ["_k", "_t", "_s", "_h2", "_k2", "_o2", "slot", "doc", "same", "plan", "copies", "words", "whole", "occurrence", "key", "size"]
+    docs = spark.createDataFrame([(*r[:3], *[r[3]] * len(odd)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in odd))
+    got = mixing.mixed_documents(docs, block_words=16, ordered=True)
+    assert got.columns == docs.columns
+    out = got.collect()
+    assert all(len(set(r[3:])) == 1 for r in out)
+    sources = [r["source"] for r in out]
+    share = sources.count("b") / len(sources)
+    assert all(abs(sources[at : at + 60].count("b") / 60 - share) < 0.25 for at in range(0, len(sources) - 60, 60))  # not one after the other
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.mixed_documents(docs.repartition(7), block_words=16).collect()), key=repr)
