@@ -147,39 +147,43 @@ class Hnsw:
         return self.search_level(q, start, 0, beam)
 
     def linked(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of cosine about ``least`` or more. A query whose whole beam is that near is searched again
-        with a beam twice as wide; a beam that would be a quarter of the shard is the shard itself."""
-        n, out = len(self.x), []
-        todo = np.arange(len(q))
-        while len(todo):
-            if 4 * beam >= n:
-                for at in range(0, len(todo), 256):
-                    part = todo[at : at + 256]
-                    r, c = np.nonzero(q[part] @ self.x.T >= least)
-                    out.append((part[r], c))
-                break
-            again = []
-            for at in range(0, len(todo), 256):
-                part = todo[at : at + 256]
-                ids, sims = self.search(q[part], beam)
-                near = (sims >= least) & (ids >= 0)
-                wide = near.all(1)
-                again.append(part[wide])
-                r, c = np.nonzero(near & ~wide[:, None])
-                out.append((part[r], ids[r, c]))
-            todo, beam = np.concatenate(again), 2 * beam
+        """(query, node) pairs of cosine about ``least`` or more: what a beam search finds, and what can be reached from there over
+        nodes that near, however many there are."""
         none = np.zeros(0, np.int64)
-        return np.concatenate([none, *[o[0] for o in out]]), np.concatenate([none, *[o[1] for o in out]])
-
-    def state(self) -> bytes:
-        import pickle
-
-        return pickle.dumps((self.x, self.m, self.level, self.entry, self.adj), protocol=5)
-
-    @classmethod
-    def of(cls, state: bytes) -> Hnsw:
-        import pickle
-
-        self = cls.__new__(cls)
-        self.x, self.m, self.level, self.entry, self.adj = pickle.loads(state)
-        return self
+        out = [(none, none)]
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            r, c = self._reached(part, *self.search(part, beam), least)
+            out.append((at + r, c))
+        return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
+
+    def _reached(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        n, adj = len(self.x), self.adj[0]
+        seen, near = np.zeros((len(q), n + 1), bool), np.zeros((len(q), n), bool)  # the last column takes -1
+        seen[np.arange(len(q))[:, None], ids] = True
+        seen[:, n] = True
+        r, c = np.nonzero((ids >= 0) & (sims >= least))
+        front_r, front_c = r, ids[r, c]
+        near[front_r, front_c] = True
+        while len(front_r):
+            next_r, next_c = [], []
+            for at in range(0, len(front_r), 8192):  # a bounded number of neighbours at a time
+                nb = adj[front_c[at : at + 8192]]
+                rows = np.repeat(front_r[at : at + 8192], nb.shape[1])
+                fresh = ~seen[rows, nb.ravel()]
+                r, c = np.divmod(np.unique(rows[fresh] * n + nb.ravel()[fresh]), n)
+                seen[r, c] = True
+                for k in range(0, len(r), 65536):
+                    a, b = r[k : k + 65536], c[k : k + 65536]
+                    good = np.einsum("id,id->i", q[a], self.x[b]) >= least
+                    next_r.append(a[good])
+                    next_c.append(b[good])
+            front_r, front_c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (next_r, next_c))
+            near[front_r, front_c] = True
+        return np.nonzero(near)
+
+    def scanned(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The same by comparing all nodes: the last widening."""
+        parts = [np.nonzero(q[at : at + 256] @ self.x.T >= least) for at in range(0, len(q), 256)]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *[256 * k + r for k, (r, _) in enumerate(parts)]]), np.concatenate([none, *[c for _, c in parts]])

@@ -672,3 +672,30 @@ def test_mixed_documents_stand_by_slot_and_pass_odd_columns_on(spark):
     share = sources.count("b") / len(sources)
     assert all(abs(sources[at : at + 60].count("b") / 60 - share) < 0.25 for at in range(0, len(sources) - 60, 60))  # not one after the other
     assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.mixed_documents(docs.repartition(7), block_words=16).collect()), key=repr)
+
+
+def test_embeddings_by_graphs_wider_than_the_beam(spark):
+    """Shards of 500 and more, several blocks of them: only graphs are searched, and the result is that of a scan of all pairs."""
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(6600, 16))
+    x[2000:3000] = x[:1000] + rng.normal(size=(1000, 16)) * 0.02
+    x[3000:3700] = x[5] + rng.normal(size=(700, 16)) * 0.03  # a dense group
+    rows = [(k, [float(a) for a in v], int(k % 11 > 8)) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    report = {}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, shard_rows=500, report=report).collect()}
+    assert report["graph_queries"] > 6600 and report["scan_queries"] == 0 and report["audited"] > 1000 and report["recall"] > 0.95
+    label, u = np.array([r[2] for r in rows]), embedding_dedup.unit(x)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    comp = reach(range(len(x)), list(zip(*np.nonzero(np.triu(near)))))
+    wrong = [k for k in range(len(x)) if got[k] != (near[k].sum(), comp[k])]
+    assert len(wrong) <= 3 and sum(n for n, _ in got.values()) >= 0.999 * near.sum()
+
+
+def test_small_shards_are_walked_too():
+    x = embedding_dedup.unit(np.random.default_rng(20).normal(size=(40, 8)))
+    tally = np.zeros(4, np.int64)
+    a, b = embedding_dedup.audited(hnsw.Hnsw(x), x, x, 0.5, 32, 256, tally)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.5))}
+    assert tally[0] == 40 and tally[1] == 0 and tally[2] == tally[3]
