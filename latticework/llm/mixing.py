@@ -35,6 +35,7 @@ from latticework.llm.common import written
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
 ROWS_A_BUCKET = 512
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -116,7 +117,10 @@ def _pieces(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeats
     in_bucket = W.partitionBy("key", "bucket").orderBy("hash", "id", "size", "text_hash")
     placed = hashed.withColumn("row", F.row_number().over(in_bucket)).withColumn("before", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("occurrence", F.row_number().over(W.partitionBy("key", "bucket", "hash", "id", "size", "text_hash").orderBy("row")))
-    placed = placed.join(_buckets_before(hashed, bits), ["key", "bucket"]).join(goals.drop("source", "weight").join(firsts, "key", "left"), "key")
+    of_source = goals.drop("source", "weight").join(firsts, "key", "left")
+    if goals.count() <= BROADCAST_SOURCES:  # a few numbers a source
+        of_source = F.broadcast(of_source)
+    placed = placed.join(_buckets_before(hashed, bits), ["key", "bucket"]).join(of_source, "key")
     placed = placed.withColumn("at", F.col("before") + F.col("bucket_start")).drop("before", "bucket_start", "hash", "source")
     # copies that begin before the target ends, then the blocks that a copy touches; one row without a block for each document
     copies = F.when((F.col("size") > 0) & (F.col("at") < F.col("take")), F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1 - F.col("at")) / F.greatest("source_size", F.lit(1)))))
