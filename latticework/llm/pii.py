@@ -299,19 +299,20 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     With ``keep`` the other columns of ``docs`` come too (those named spans or n_found make way).
     """
     rest = [c for c in docs.columns if c not in ("spans", "n_found", text_col)] if keep else [id_col]
-    given = docs.select(*[docs[c] for c in rest], F.col(text_col).cast("string").alias("_text"))
+    # the caller's columns travel in one, so none of their names can clash
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), F.col(text_col).cast("string").alias("text"))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("_text", T.StringType()), T.StructField("spans", spans_type)])
+    schema = T.StructType([given.schema["doc"], T.StructField("text", T.StringType()), T.StructField("spans", spans_type)])
 
     def run(batches):
         p = kept(("pii", key), lambda: Pseudonyms(key))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             done = [(None, []) if t is None else pseudonymise(t, p) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist()]
             texts = pa.array([t for t, _ in done], pa.string())
             spans = pa.array([[dict(zip(("start", "end", "kind"), s)) for s in found] for _, found in done], pa.list_(span))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts, spans], names=[*batch.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, spans], names=["doc", "text", "spans"])
 
     done = given.mapInArrow(run, schema)
-    return done.select(*[done[c] for c in rest], F.col("_text").alias(text_col), "spans", F.size("spans").alias("n_found"))
+    return done.select(*[F.col("doc").getField(c).alias(c) for c in rest], F.col("text").alias(text_col), "spans", F.size("spans").alias("n_found"))

@@ -7,7 +7,8 @@ thresholds on the two lengths are calibrated for each window length. A text's sc
 function of its three largest weights (distinct windows), over all its windows.
 
 Learning, on at most ``max_sample`` labelled texts of each label (by hash of the id; rows whose crc32(id) mod 5 is 0
-are left out): near copies (equal least shingle hash) count once. The toxic dictionary holds the windows that
+are left out), of which the driver gets at most ``max_windows`` distinct windows each (those of the least hashes): near copies (equal
+least shingle hash) count once. The toxic dictionary holds the windows that
 stand out in toxic texts by more than z standard deviations, the ordinary one the commonest windows of
 ordinary texts. Cells and the logistic function are fitted across folds: texts are weighed by dictionaries that
 were made without them. z is the one of ``Z`` with the least loss so.
@@ -15,7 +16,8 @@ were made without them. z is the one of ``Z`` with the least loss so.
 Defined cases: a null or empty text, or one without letters, has no window and gets the score of three zero weights;
 with no labelled row of one of the labels every score is the share of toxic ones (0 without any label); documents
 with repeated ids are scored each, and a label counts for each of them; null ids are held out of learning and have
-held_out false; other columns are not read.
+held_out false; an empty table gives an empty result; very long texts are scored by all their windows; other columns are not read,
+and pass through with ``keep`` whatever their names (those named as the results make way).
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.llm.common import kept, text_or_empty
 
@@ -136,22 +139,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model of (text, label) rows, labels 0 or 1; rows are taken in the order of their texts, so reruns agree."""
-    labels = [y for _, y in rows]
+def fit(rows: list[tuple[int, str, int]]) -> Model:
+    """A model of (least shingle, windows with spaces between, label) rows, labels 0 or 1; rows are taken in their order, so reruns agree."""
+    labels = [y for *_, y in rows]
     if len(set(labels)) < 2:
         return Model(prior=float(sum(labels)) / max(1, len(labels)))
     once: dict[tuple[int, int], str] = {}
-    for text, y in sorted(rows):
-        once.setdefault((least_shingle(text), y), text)
+    for shingle, found, y in sorted(rows):
+        once.setdefault((shingle, y), found)
     index: dict[str, int] = {}
     docs, labels = [], []
-    for (_, y), text in once.items():
-        docs.append(np.array(sorted(index.setdefault(w, len(index)) for w in windows(text)), np.int64))
+    for (_, y), found in once.items():
+        docs.append(np.array(sorted(index.setdefault(w, len(index)) for w in found.split()), np.int64))
         labels.append(y)
     y = np.array(labels)
     words = list(index)
-    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in once.values()])
+    fold = np.array([shingle % FOLDS for shingle, _ in once])
     df = np.array([[sum_of(docs, (fold == f) & (y == c), len(words)) for c in (0, 1)] for f in range(FOLDS)])
 
     def sides(use: np.ndarray, z: float) -> tuple[bytes, bytes]:
@@ -198,42 +201,62 @@ def log_odds(per_doc: list[set], y: np.ndarray, which: np.ndarray) -> dict[tuple
     return {c: math.log((counts[1][c] + 0.3) / (n[1] + 0.6)) - math.log((counts[0][c] + 0.3) / (n[0] + 0.6)) for c in sorted(set(counts[0]) | set(counts[1]))}
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_sample: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """At most ``max_sample`` labelled rows of each label that are not held out; the driver gets no more than those."""
+def some_windows(text: str, most: int) -> str:
+    """The text's distinct windows, or those of the least hashes, with spaces between."""
+    found = windows(text)
+    if len(found) > most:
+        found = sorted(found, key=lambda w: (zlib.crc32(w.encode()), w))[:most]
+    return " ".join(sorted(found))
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_sample: int, max_windows: int, id_col: str, text_col: str, label_col: str) -> list[tuple[int, str, int]]:
+    """At most ``max_sample`` labelled rows of each label that are not held out: (least shingle, windows, label). The driver gets at
+    most ``max_windows`` windows of each, of 48 letters at most."""
     known = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.where(F.crc32(F.col("k").cast("string")) % 5 != 0).groupBy("k").agg(F.max("y").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_sample) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_sample small rows at most
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = part.column("t").to_pylist()
+                shingles = [least_shingle(t) >> 1 for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(shingles, pa.int64()), pa.array([some_windows(t, max_windows) for t in texts]), part.column("y")], names=["k", "s", "w", "y"])
+
     texts = docs.select(F.col(id_col).cast("long").alias("k"), text_or_empty(text_col).alias("t")).join(ids, "k").select("k", "t", "y")
+    made = texts.mapInArrow(cut, "k long, s long, w string, y int")
     # repeated ids: no more rows than ids
-    texts = texts.groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("y").alias("y"))
-    return [(r["t"], r["y"]) for r in texts.select("t", "y").toLocalIterator()]
+    made = made.groupBy("k").agg(F.min(F.struct("s", "w", "y")).alias("r"))
+    return [(r["s"], r["w"], r["y"]) for r in made.select("r.*").toLocalIterator()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = 4000, max_windows: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: bool = False) -> DataFrame:
     """Per document: id, held_out, score and predicted; with ``keep`` the other columns of ``docs`` come too."""
-    model = fit(sample(docs, labels, max_sample, id_col, text_col, label_col))
+    model = fit(sample(docs, labels, max_sample, max_windows, id_col, text_col, label_col))
     return apply(docs, model, id_col, text_col, keep)
 
 
 def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")] if keep else [id_col]
-    given = docs.select(*[docs[c] for c in rest], text_or_empty(text_col).alias("_text"))
-    from pyspark.sql import types as T
-
-    out = T.StructType([*[f for f in given.schema.fields if f.name != "_text"], T.StructField("score", T.DoubleType())])
+    # the caller's columns travel in one, so none of their names can clash
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), text_or_empty(text_col).alias("text"))
+    out = T.StructType([given.schema["doc"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         m = loaded(model)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             scores = [m.score(t) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc", "score"])
 
     scored = given.mapInArrow(run, out)
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
-    predicted = (F.col("score") >= 0.5).cast("int")
-    return scored.select(*[scored[c] for c in rest], held.alias("held_out"), "score", predicted.alias("predicted")) if keep else scored.select(F.col(id_col).cast("long").alias(id_col), held.alias("held_out"), "score", predicted.alias("predicted"))
+    one = F.col("doc").getField(id_col)
+    held = F.coalesce(F.crc32(one.cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    columns = [F.col("doc").getField(c).alias(c) for c in rest] if keep else [one.cast("long").alias(id_col)]
+    return scored.select(*columns, held, "score", predicted)
 
 
 def loaded(model: Model) -> Model:
