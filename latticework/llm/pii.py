@@ -1,23 +1,28 @@
 """Format-preserving pseudonyms of personal data by a keyed Feistel permutation.
 
-Found: e-mail addresses, telephone numbers, card numbers (Luhn), IBANs (mod 97), social security numbers (valid
-ranges), IPv4 addresses, calendar dates and credentials (access key ids, values assigned to password, token, secret or
+Found: e-mail addresses (name and domain, all but the last label), telephone numbers (North American ones with separators or of ten digits, international
+ones behind a plus), card numbers (Luhn), IBANs (mod 97), social security numbers (valid
+ranges; without hyphens behind "SSN" or "social security"), IPv4 and IPv6 addresses, calendar dates and credentials (access key ids, values assigned to password, token, secret or
 api key). A value is read as a number below the count of values of its format (mixed radix: a digit for a digit, a
 letter for a letter of the same case, a day for a day), which a Feistel network over two halves permutes:
 ten rounds of modular addition of a keyed hash of the other half, walking on while the result is out of range. The
 pseudonym of x is P^-1(P(x) + 1), which no value has for itself. Check digits are made anew, so validated
 numbers stay valid. The hash depends on the key, the kind and the format only, so equal values
-get equal pseudonyms in all documents, whatever their separators; a date keeps its day across notations.
+get equal pseudonyms in all documents, whatever their separators; a telephone number's last ten digits link with and
+without its country; each label of a domain links; a date keeps its day across notations of two-digit days and months (with a digit for day or month it
+links within its notation, as does an IPv6 address). Digits are ASCII digits.
 
 Defined cases: a null text stays null and has no span; empty texts, texts without a value and values that fail
 validation stay as they are; overlapping candidates go to the earlier, then the longer; repeated rows give repeated
-rows; null ids are kept. Text lengths never change.
+rows; null ids are kept; an empty table gives an empty result; very long texts are searched whole; other columns pass through with
+``keep``, whatever their names. Text lengths never change.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from math import isqrt, prod
@@ -140,16 +145,19 @@ class Pseudonyms:
     # one function a kind: the match's replacement, or None where it isn't valid
 
     def email(self, m: re.Match) -> str | None:
-        return self.characters("email", m["local"]) + m.group()[len(m["local"]) :]
+        *labels, top = m["domain"].split(".")
+        return self.characters("email", m["local"]) + "@" + ".".join([*(self.characters("domain", x) for x in labels), top])
 
     def phone(self, m: re.Match) -> str | None:
-        country = m["country"] or ""
-        rest = m.group()[len(country) :]
-        digits = [int(c) for c in rest if c.isdigit()]
-        return country + refill(rest, "".join(map(str, self.mixed("phone", digits, [10] * len(digits)))))
+        text = m.group()
+        digits = [int(c) for c in text if c.isdigit()]
+        if text[0] == "+" and not 8 <= len(digits) <= 15:
+            return None
+        own = min(10, len(digits) - 1) if text[0] == "+" else 10  # what is before is the country
+        return refill(text, "".join(map(str, digits[:-own] + self.mixed("phone", digits[-own:], [10] * own))))
 
     def card(self, m: re.Match) -> str | None:
-        flat = re.sub(r"\D", "", m.group())
+        flat = re.sub("[^0-9]", "", m.group())
         if not 13 <= len(flat) <= 19 or luhn_digit(flat[:-1]) != flat[-1] or len(set(flat)) == 1:
             return None
         body = "".join(map(str, self.mixed("card", [int(c) for c in flat[:-1]], [10] * (len(flat) - 1))))
@@ -160,21 +168,39 @@ class Pseudonyms:
         asks for, else the last one with a valid check."""
         text = m.group()
         ends = [len(text), *[k for k in range(len(text) - 1, 0, -1) if text[k] == " "]]
-        for end in sorted(ends, key=lambda k: k - text.count(" ", 0, k) != IBAN_LENGTH.get(text[:2])):
+        for end in sorted(ends, key=lambda k: k - text.count(" ", 0, k) != IBAN_LENGTH.get(text[:2].upper())):
             flat = text[:end].replace(" ", "")
-            country, check, bban = flat[:2], flat[2:4], flat[4:]
+            country, check, bban = flat[:2].upper(), flat[2:4], flat[4:]
+            if flat != flat.upper() and len(flat) != IBAN_LENGTH.get(country):
+                continue  # small letters are words more often
             if 11 <= len(bban) <= 30 and iban_check(country, bban) == check:
                 bban = self.characters("iban" + country, bban)
                 return refill(text[:end], country + iban_check(country, bban) + bban)
         return None
 
     def ssn(self, m: re.Match) -> str | None:
-        area, group, serial = map(int, m.groups()[-3:])
+        number = m["ssn"] or m["plain"]
+        area, group, serial = int(number.replace("-", "")[:3]), int(number.replace("-", "")[3:5]), int(number[-4:])
         areas = 898  # 001 to 899 without 666
         if not 1 <= area <= 899 or area == 666 or not group or not serial:
             return None
         a, g, s = self.mixed("ssn", [area - 1 - (area > 666), group - 1, serial - 1], [areas, 99, 9999])
-        return f"{a + 1 + (a + 1 >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
+        made = f"{a + 1 + (a + 1 >= 666):03d}{g + 1:02d}{s + 1:04d}"
+        return m.group()[: -len(number)] + refill(number, made)
+
+    def ip6(self, m: re.Match) -> str | None:
+        text = m.group()
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        flat = text.replace(":", "")
+        if len(flat) < 5 or not any(c.isdigit() for c in flat):
+            return None
+        made = self.mixed("ip6:" + "".join(":" if c == ":" else "x" for c in text), [int(c, 16) for c in flat], [16] * len(flat))
+        it = iter(f"{d:x}" for d in made)
+        out = "".join(c if c == ":" else next(it) for c in text)
+        return out.upper() if text == text.upper() else out
 
     def ip(self, m: re.Match) -> str | None:
         octets = m.group().split(".")
@@ -189,25 +215,43 @@ class Pseudonyms:
         if sep != sep2:
             return None
         year_first = len(a) == 4
+        if len(b) == 1 or len(a) == 1:
+            return self._short_date(a, sep, b, c)
         y, x, z = (int(a), int(b), int(c)) if year_first else (int(c), int(b), int(a))
         swap = not year_first and x > 12  # month first only where day first is no date
         month, day = (z, x) if swap else (x, z)
-        try:
-            k = datetime.date(y, month, day).toordinal() - FIRST_DAY
-        except ValueError:
-            return None
-        if not 0 <= k < DAYS:
+        k = _day(y, month, day)
+        if k is None:
             return None
         d = datetime.date.fromordinal(self.permutation("date", DAYS).pseudonym(k) + FIRST_DAY)
         if year_first:
             return f"{d.year:04d}{sep}{d.month:02d}{sep}{d.day:02d}"
         return f"{d.month:02d}{sep}{d.day:02d}{sep}{d.year:04d}" if swap else f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year:04d}"
 
+    def _short_date(self, a: str, sep: str, b: str, year: str) -> str | None:
+        """A date whose day or month has one digit: another of the same widths, day first or month first."""
+        low = [(1, 9), (10, 22)]  # the first number of a width and how many there are: 1 to 9, 10 to 31
+        (a0, an), (b0, bn) = low[len(a) - 1], low[len(b) - 1]
+        x, y, z = int(a), int(b), int(year)
+
+        def valid(x: int, y: int, z: int) -> bool:
+            return _day(z, y, x) is not None or _day(z, x, y) is not None
+
+        if not valid(x, y, z):
+            return None
+        while True:  # walking on to the next date keeps it a permutation of the dates
+            i, j, k = self.mixed("date", [x - a0, y - b0, z - 1900], [an, bn, 200])
+            x, y, z = i + a0, j + b0, k + 1900
+            if valid(x, y, z):
+                return f"{x}{sep}{y}{sep}{z:04d}"
+
     def key_id(self, m: re.Match) -> str | None:
         return m.group()[:4] + self.characters("key", m.group()[4:])
 
     def secret(self, m: re.Match) -> str | None:
         value = m["value"]
+        if len(value) < 8 and value.isalpha():
+            return None  # a word
         at = m.start("value") - m.start()
         plain = self.characters("secret", value, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None)
         return m.group()[:at] + plain + m.group()[at + len(value) :]
@@ -225,19 +269,29 @@ for _w in _LENGTHS.split():
     else:
         IBAN_LENGTH[_w] = _n
 
+def _day(year: int, month: int, day: int) -> int | None:
+    try:
+        k = datetime.date(year, month, day).toordinal() - FIRST_DAY
+    except ValueError:
+        return None
+    return k if 0 <= k < DAYS else None
+
+
 # fixed values: the patterns of the kinds, in the order in which ties are broken
 KINDS: list[tuple[str, str]] = [
-    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,200})"),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_\-]{6,200})"),
     ("key_id", r"(?<![A-Za-z0-9])(?i:AKIA|ASIA)[A-Za-z0-9]{16}(?![A-Za-z0-9])"),
-    ("email", r"(?<![\w.+%\-])(?P<local>[\w.+%\-]{1,64})@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("phone", r"(?<![\w+])(?P<country>\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("ssn", r"(?<![\w\-])(\d{3})-(\d{2})-(\d{4})(?![\w\-])"),
-    ("card", r"(?<![\w.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\w\-])"),
-    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
-    ("date", r"(?<![\w.\-/])(?:(\d{4})([\-/.])(\d{2})([\-/.])(\d{2})|(?P<d>\d{2})(?P<s>[\-/.])(?P<m>\d{2})(?P<t>[\-/.])(?P<y>\d{4}))(?:(?=[Tt]\d{2})|(?![\w\-/]|\.\d))"),
+    ("email", r"(?<![\w.+%\-])(?P<local>[\w.+%\-]{1,64})@(?P<domain>(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![\w\-])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("phone", r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w\-])|\+[0-9](?:[ .\-]?[0-9]|[ .\-]?\([0-9]{1,4}\)){7,14}(?![\w\-]|[ .\-]?[0-9])|(?<![.\-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w\-]|\.[0-9]))"),
+    ("ssn", r"(?<![\w\-])(?:(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})|(?i:SSN|social security(?: number| no\.?)?)[ \t]{0,3}[:#=]?[ \t]{0,3}(?P<plain>[0-9]{9}))(?![\w\-])"),
+    ("card", r"(?<![\w.\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![\w\-])"),
+    ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.[0-9])|(?<![\w:.])[0-9A-Fa-f]{4}::[0-9A-Fa-f]{1,4}(?![\w:]|\.[0-9])"),
+    ("date", r"(?<![\w.\-/])(?:([0-9]{4})([\-/.])([0-9]{2})([\-/.])([0-9]{2})|(?P<d>[0-9]{1,2})(?P<s>[\-/.])(?P<m>[0-9]{1,2})(?P<t>[\-/.])(?P<y>[0-9]{4}))(?:(?=[Tt][0-9]{2})|(?![\w\-/]|\.[0-9]))"),
 ]
 _PATTERNS = [(k, re.compile(p)) for k, p in KINDS]
+_DIGIT = re.compile("[0-9]")
 _SIGN = re.compile(r"[0-9@=:]|(?i:AKIA|ASIA)")
 
 
@@ -246,9 +300,9 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, st
     if not text or not _SIGN.search(text):
         return text, []
     found: list[tuple[int, int, int, str]] = []
-    digits = re.search(r"\d", text) is not None
+    digits = _DIGIT.search(text) is not None
     for k, (kind, pattern) in enumerate(_PATTERNS):
-        if (kind == "email" and "@" not in text) or (kind not in ("email", "secret", "key_id") and not digits):
+        if (kind == "email" and "@" not in text) or (kind == "ip6" and ":" not in text) or (kind not in ("email", "secret", "key_id") and not digits):
             continue
         make: Callable = getattr(p, kind)
         if kind == "iban":

@@ -699,3 +699,65 @@ def test_small_shards_are_walked_too():
     a, b = embedding_dedup.audited(hnsw.Hnsw(x), x, x, 0.5, 32, 256, tally)
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.5))}
     assert tally[0] == 40 and tally[1] == 0 and tally[2] == tally[3]
+
+
+def _random_values(rng):
+    """Valid values by kind, each with its shape's brute-force validator."""
+    luhn = lambda t: pii.luhn_digit("".join(c for c in t if c.isdigit())[:-1]) == t[-1]
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    card = digits(15)
+    country, n = rng.choice(sorted(pii.IBAN_LENGTH.items()))
+    bban = digits(n - 4)
+    d = pii.datetime.date.fromordinal(pii.FIRST_DAY + rng.randrange(pii.DAYS))
+    return {
+        "email": (f"{letters(5)}.{digits(2)}@{letters(6)}.{letters(4)}.org", lambda t: t.endswith(".org") and "@" in t),
+        "phone": (rng.choice([f"+1 {digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+44 {digits(2)} {digits(4)} {digits(4)}", "2" + digits(2) + "3" + digits(6)]), lambda t: True),
+        "card": (card + pii.luhn_digit(card), luhn),
+        "iban": (rng.choice([str, str.lower])(country + pii.iban_check(country, bban) + bban), lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1),
+        "ssn": (f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}", lambda t: 1 <= int(t[:3]) <= 899 and t[:3] != "666" and t[4:6] != "00" and t[7:] != "0000"),
+        "ip": (".".join(str(rng.randrange(256)) for _ in range(4)), lambda t: all(int(o) < 256 and str(int(o)) == o for o in t.split("."))),
+        "ip6": (rng.choice([":".join(f"{rng.randrange(65536):x}" for _ in range(8)), f"2001:db8::{rng.randrange(4096, 65536):x}:1", f"fe80::{rng.randrange(4096, 65536):x}"]), lambda t: pii.ipaddress.IPv6Address(t) is not None),
+        "date": (rng.choice([d.isoformat(), f"{d:%d.%m.%Y}", f"{d.day}/{d.month}/{d.year}", f"{d.month}/{d.day}/{d.year}"]), lambda t: True),
+    }
+
+
+def test_pseudonyms_are_one_to_one_and_valid():
+    """Random values of each kind: one span, the same shape, valid, no two alike and none itself."""
+    p, rng, made = pii.Pseudonyms(b"key"), random.Random(21), {}
+    for _ in range(400):
+        for kind, (value, valid) in _random_values(rng).items():
+            text, spans = pii.pseudonymise(f"see {value} here", p)
+            if kind == "phone" and not spans:
+                continue  # ten digits that no North American number has
+            assert [s[2] for s in spans] == [kind] and spans[0][:2] == (4, 4 + len(value)), (kind, value, spans)
+            new = text[4:-5]
+            shape = lambda t: re.sub("[0-9a-fA-F]", "x", t) if kind == "ip6" else re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t)))
+            assert new != value and shape(new) == shape(value) and valid(new), (kind, value, new)
+            made.setdefault((kind, new), set()).add(value)
+    assert all(len(v) == 1 for v in made.values())
+
+
+def test_telephone_numbers_link_whatever_their_separators():
+    p = pii.Pseudonyms(b"key")
+    flat = {re.sub("[^0-9]", "", pii.pseudonymise(t, p)[0])[-10:] for t in ("+15551234567", "+1 555-123-4567", "+1 (555) 123-4567", "555.123.4567", "(555) 123-4567")}
+    assert len(flat) == 1 and flat != {"5551234567"}
+    assert pii.pseudonymise("+44 20 7946 0958", p)[0].replace(" ", "") == pii.pseudonymise("+442079460958", p)[0]
+
+
+def test_more_kinds_and_none_where_there_is_none():
+    p = pii.Pseudonyms(b"key")
+    for t, kind in (("5552234567", "phone"), ("ssn: 078051120", "ssn"), ("Social Security number 078051120", "ssn"), ("2001:db8::8a2e:370:7334", "ip6"), ("password: abc12de", "secret"), ("3/4/2001", "date"), ("gb82 west 1234 5698 7654 32", "iban")):
+        text, spans = pii.pseudonymise(t, p)
+        assert [s[2] for s in spans] == [kind] and text != t and len(text) == len(t), t
+    a, b = (pii.pseudonymise(t, p)[0] for t in ("alice@smithfamily.org", "bob@mail.smithfamily.org"))
+    assert "smithfamily" not in a + b and a.split("@")[1].split(".")[0] == b.split(".")[-2]
+    for t in ("٣.٢.٠١.٤ and ٣/٤/٢٠٠١", "078051120", "std::vector a::b 10:20:30", "password: please", "1609459200", "31/2/2001", "the token: walks", "12.5.3"):
+        assert pii.pseudonymise(t, p) == (t, []), t
+
+
+def test_kept_columns_of_any_name(spark):
+    odd = ["_text", "text2", "doc", "score2", "_q"]
+    docs = spark.createDataFrame([(1, "mail a.b@c.org", *odd), (2, None, *odd)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in odd))
+    for df in (pii.pseudonyms(docs, b"key", keep=True), toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), keep=True)):
+        assert [[r[c] for c in odd] for r in df.collect()] == [odd, odd]
