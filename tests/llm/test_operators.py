@@ -761,3 +761,47 @@ def test_kept_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.org", *odd), (2, None, *odd)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in odd))
     for df in (pii.pseudonyms(docs, b"key", keep=True), toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), keep=True)):
         assert [[r[c] for c in odd] for r in df.collect()] == [odd, odd]
+
+
+def test_licences_in_other_words(spark, licence_model):
+    """Wrapped notices, bare names, spellings that no template has, and sentences with words of licences."""
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    cases = [
+        (gpl, "GPL-3.0"), (bsd, "BSD"), ("Licensed under MIT.", "MIT"), ("This code is available under the MIT license.", "MIT"), ("Mozilla Public License 2.0", "MPL-2.0"), ("Licensed under CC BY 4.0.", "CC-BY"),
+        ("GNU GPLv3", "GPL-3.0"), ("Code under GPLv2 terms", "GPL-2.0"), ("Published under the Apache-2.0 licence", "Apache-2.0"), ("Distributed under GPL-2.0-or-later", "GPL-2.0"), ("released under the terms of the LGPL v2.1", "LGPL"),
+        ("He lost his driving licence", ""), ("the students of MIT asked for permission", ""), ("Er kam mit dem Hund", ""), ("All members reserved their rights", ""), ("An apache helicopter flew over the city", ""), ("Boost Software License 1.0", ""),
+    ]
+    docs = documents(spark, [(k, f"some prose of a page\n\n{t}\n\nmore prose") for k, (t, _) in enumerate(cases)])
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(docs, licence_model).collect()}
+    for k, (t, want) in enumerate(cases):
+        assert got[k] == want or not want and got[k] in ("none", "unknown"), (t, got[k])
+
+
+def test_the_gate_passes_whatever_could_be_confirmed():
+    """Without the gate's words every template is left with too few of its shingles."""
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            w = re.findall(r"[^\W_]+", t.lower())
+            runs = [" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+            assert sum(not any(g in r for g in licenses.GATE) for r in runs) < 0.8 * len(runs), t
+
+
+def test_classifier_is_brute_force(spark, licence_model):
+    """Probabilities and containments of a few windows, from the model's tables by hand."""
+    weights = {r["gram"]: np.array([r[f"w{k}"] for k in range(len(licence_model.classes))]) for r in licence_model.weights.collect()}
+    whole = {}
+    for r in licence_model.templates.collect():
+        whole.setdefault((r["family"], r["template"]), set()).add(r["shingle"])
+    texts = ["Released under the MIT License.", "All rights reserved.", "a sentence about a license", "GNU GPLv3", "this file is licensed under the Apache License, Version 2.0 and more"]
+    got = {r["line"]: r for r in licenses.classify(spark.createDataFrame([(t,) for t in texts], "line string"), licence_model).collect()}
+    for t in texts:
+        w = re.findall(r"[^\W_]+", t.lower())
+        found = {" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+        z = np.array(licence_model.bias) + sum((weights[g] for g in sorted(found) if g in weights), np.zeros(len(licence_model.classes)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = licence_model.classes[int(p.argmax())]
+        runs = {" ".join(w[k : k + n]) for n in (1, 2, 3, 4, 5) for k in range(len(w) - n + 1)}
+        share = max([len(s & runs) / len(s) for (f, _), s in whole.items() if f == family], default=0.0)
+        assert got[t]["family"] == family and got[t]["probability"] == pytest.approx(p.max()) and got[t]["containment"] == pytest.approx(share)
+        assert got[t]["confirmed"] == (family != "other" and p.max() >= licence_model.threshold and share >= 0.8)
