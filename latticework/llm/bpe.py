@@ -10,8 +10,8 @@ ones one at a time. Each distinct pre-token of a worker is merged once; the tabl
 it reaches ``CACHE_WORDS`` entries, which changes speed only.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty text; the special
-token's string inside a text becomes its id, as the tokenizers library does by default; repeated rows give
-repeated rows; other columns are not read.
+token's string inside a text becomes its id, as the tokenizers library does by default; very long texts and pre-tokens are encoded whole; repeated rows give
+repeated rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -206,7 +206,7 @@ class Bpe:
             self.known.clear()
         known, split, parts = self.known, self.split.findall, []
         for text in texts:
-            if self.cut and "<" in text and self.cut.search(text):
+            if self.cut and any(s in text for s in self.special) and self.cut.search(text):
                 words: list[str] = []
                 for seg in self.cut.split(text):
                     if seg in self.special:

@@ -15,7 +15,8 @@ Linked pairs are folded to spanning forests batch by batch before they are shuff
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero, which links like any other; a
 text of one or two words is one shingle; equal ids are separate rows with the same id; null ids are kept, form no
-component and get a null component_id unless a document with an id shares the component; other columns are not read.
+component and get a null component_id unless a document with an id shares the component; very long texts are read whole, in pieces of shingles; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -133,11 +134,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of ``docs`` from each component: that of its smallest id, rows without an id coming last. Rows count, not
-    ids: each has the hash of all its columns for a key, so only rows that agree in everything share one."""
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    rows, _ = written(fingerprints(keyed, id_col, text_col, "_key"), "fingerprints")
+    ids: each has the hash of all its columns for a key, so only rows that agree in everything share one, and one of those stays. The
+    texts are shuffled once, to the chosen keys; columns may have any names. An empty table stays empty."""
+    # the caller's columns travel in one, so none of their names can clash
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
+    rows, _ = written(fingerprints(given, "id", "text", "key"), "fingerprints")
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("free"), "id", "key")).alias("first"))
-    chosen = _with_components(first).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_chosen")).distinct()
-    same = W.partitionBy("_key", id_col, text_col).orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
-    joined = keyed.join(chosen, F.col("_key") == F.col("_chosen"))
-    return joined.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    chosen = _with_components(first).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("chosen")).distinct()
+    joined = given.select("doc", "key").join(chosen, F.col("key") == F.col("chosen"))
+    alike = joined.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("doc")))
+    return alike.where("n = 1").select("doc.*")

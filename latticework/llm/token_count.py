@@ -2,17 +2,17 @@
 
 Plan. (1) Each bounded block of documents becomes one row of a written table: its document ids, its distinct
 pre-tokens sorted by the hash bucket they belong to, and its per-document pre-token frequencies (the
-postings), packed. (2) The blocks' pre-tokens go to their buckets, where every distinct one is encoded once.
+postings), packed. (2) The blocks' pre-tokens go to their buckets, where every distinct one is encoded once (again, if a worker has met more than ``CACHE_WORDS`` others since).
 (3) The counts return to their blocks, joined to the postings by position, and each document's sum is the
-dot product of frequencies and counts. A frequent pre-token is one entry a block, so it makes no hot key; ids
-are never made.
+dot product of frequencies and counts. A frequent pre-token is one entry a block, so it makes no hot key. A pre-token's ids are
+made where it is counted, and only their number is kept; no document's ids are ever made.
 
 Pre-tokens of a sentencepiece BPE model: a run of spaces with the word after it, or a line break with the word
 after it. No piece has a space after another character or holds a line break (checked when the model is
 loaded), so no merge crosses a cut.
 
 Defined cases: a null text counts as empty; empty texts have 0 tokens and 0 bytes; repeated rows give repeated
-rows; null ids are kept; other columns are not read.
+rows; null ids are kept; very long texts are counted whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ _COUNTS = "block string, bucket int, counts array<int>"
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
-    n = n_partitions(spark)
+    n = n_partitions(spark, docs.select(text_col))
     arrow = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("gaps", pa.binary()), ("freq", pa.binary()), ("buckets", pa.binary()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())])))])
 
     def blocks(batches):

@@ -805,3 +805,23 @@ def test_classifier_is_brute_force(spark, licence_model):
         share = max([len(s & runs) / len(s) for (f, _), s in whole.items() if f == family], default=0.0)
         assert got[t]["family"] == family and got[t]["probability"] == pytest.approx(p.max()) and got[t]["containment"] == pytest.approx(share)
         assert got[t]["confirmed"] == (family != "other" and p.max() >= licence_model.threshold and share >= 0.8)
+
+
+def test_pipeline_stages_on_nothing_and_on_odd_columns(spark, tmp_path):
+    """Empty tables, null columns and columns that are named like the operators' own go through every stage but the last."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    odd = ["_text", "_n", "_key", "_chosen", "doc", "key", "id", "score", "held_out", "predicted", "spans", "n_found", "slot", "_k", "_h2", "fp", "component"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    texts = ["some words of a text here", "mail jo@mail.example.org now or later please", None, "", "x " * 3000, "other words entirely in this one"]
+    rows = [(k if k != 3 else None, t, None, f"s{k % 2}" if k else None, k, *[f"{c}{k}" for c in odd]) for k, t in enumerate(texts)]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, schema)
+        for _name, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            got = docs.collect()
+            assert docs.columns == spark.createDataFrame([], schema).columns
+            assert all(r[c] == f"{c}{r['_n'][2:]}" for r in got for c in odd)
+            docs = spark.createDataFrame(got, docs.schema)
+        assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
+        assert bool(got) == bool(given)
