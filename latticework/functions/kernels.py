@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,19 @@ def matern32(r2: Column, length: float) -> Column:
     return (1.0 + s) * F.exp(-s)
 
 
+def gauss_array(length: float):
+    """The same over a numpy array of squared distances."""
+    return lambda r2: np.exp(-r2 / (length * length))
+
+
+def matern32_array(length: float):
+    def of(r2):
+        s = np.sqrt(r2) * (math.sqrt(3.0) / length)
+        return (1.0 + s) * np.exp(-s)
+
+    return of
+
+
 def _vector_kernel(d: list[Column], inv_r: Column, t1: Column, t2: Column, q: list[Column]) -> list[Column]:
     """t1 q + t2 (q . e) e for the unit separation e."""
     e = [x * inv_r for x in d]

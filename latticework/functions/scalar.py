@@ -33,8 +33,8 @@ def rsqrt(x: Column) -> Column:
 
 
 def frsqrt(x: Column, prefactor: float = 1.0, steps: int = 1) -> Column:
-    """prefactor / sqrt(x) by ``steps`` Newton steps y (3 - x y^2) / 2 from the exact value, which they keep."""
-    y = rsqrt(x)
+    """prefactor / sqrt(x), and 0 at 0, by ``steps`` Newton steps y (3 - x y^2) / 2 from the value in single precision."""
+    y = rsqrt(x).cast("float").cast("double")
     for _ in range(steps):
         y = y * (3.0 - x * y * y) * 0.5
     return y * prefactor

@@ -240,6 +240,22 @@ def inverse_stencil_matrix(spark: SparkSession, shape: tuple[int, ...], coeffici
     return stencil_matrix(spark, shape, inverse_stencil(coefficients, extend))
 
 
+def support_inverse_stencil(shape: tuple[int, ...], coefficients):
+    """The inverse of the stencil's matrix among the cells of the stencil itself, its column of the middle cell, as a stencil. Cells
+    count by their distance in the order of a grid of this shape, the last axis fastest."""
+    import numpy as np
+
+    c = np.asarray(coefficients, float)
+    strides = [int(np.prod(shape[k + 1 :])) for k in range(len(shape))]
+    cells = np.argwhere(c != 0)
+    away = (cells - np.array(c.shape) // 2) @ np.array(strides)
+    value = {int(d): c[tuple(at)] for d, at in zip(away, cells)}
+    among = np.array([[value.get(int(d - e), 0.0) for e in away] for d in away])
+    out = np.zeros_like(c)
+    out[tuple(cells.T)] = np.linalg.inv(among)[:, int(np.flatnonzero(away == 0)[0])]
+    return out
+
+
 def jacobi_start(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     """Rows (x, y, v): zero inside, sin(2 pi y / (ny - 1)) on the left and right edges; y runs over ny rows that wrap."""
     cells = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))

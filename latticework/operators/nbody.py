@@ -2,21 +2,34 @@
 
 Every target meets every source: that is the operator. Targets and sources are dealt into blocks and meet by an
 equality join on the pair of block numbers, so the work spreads over blocks^2 tasks without broadcasting a side, and
-sums are combined before the shuffle.
+sums are combined before the shuffle. There are as many blocks as keep one at ``BLOCK_ROWS`` points. Products with kernels of coordinate arrays
+take a pair of blocks as three matrix products in one task; with a tolerance, blocks that are far apart become products
+of two thin factors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import kernels
+from latticework.tables import n_partitions
 
 
-def pairs(targets: DataFrame, sources: DataFrame, blocks: int = 4) -> DataFrame:
+BLOCK_ROWS = 4096
+
+
+def block_count(targets: DataFrame, sources: DataFrame) -> int:
+    return max(4, -(-max(targets.count(), sources.count()) // BLOCK_ROWS))
+
+
+def pairs(targets: DataFrame, sources: DataFrame, blocks: int | None = None) -> DataFrame:
     """Rows (a, b) of structs: each target with each source."""
+    blocks = blocks or block_count(targets, sources)
     block = lambda d: F.pmod(F.xxhash64(*d.columns), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = targets.select(F.struct("*").alias("a"), block(targets).alias("ba")).withColumn("bb", every)
@@ -28,19 +41,19 @@ def _position(p: str) -> list[Column]:
     return [F.col(f"{p}.{c}") for c in "xyz"]
 
 
-def scalar_sum(targets: DataFrame, sources: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int = 4) -> DataFrame:
+def scalar_sum(targets: DataFrame, sources: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
     """Per target the sum of kernel(r^2) q over all sources: rows (id, v)."""
     _, r2 = kernels.separation(_position("a"), _position("b"))
     return pairs(targets, sources, blocks).groupBy(F.col("a.id").alias("id")).agg(F.sum(kernel(r2) * F.col("b.q")).alias("v"))
 
 
-def vector_sum(targets: DataFrame, sources: DataFrame, kernel=kernels.rpy, blocks: int = 4) -> DataFrame:
+def vector_sum(targets: DataFrame, sources: DataFrame, kernel=kernels.rpy, blocks: int | None = None) -> DataFrame:
     """Per target the sum of a 3 x 3 kernel times (qx, qy, qz): rows (id, vx, vy, vz)."""
     out = kernel(_position("a"), _position("b"), [F.col(f"b.q{c}") for c in "xyz"])
     return pairs(targets, sources, blocks).groupBy(F.col("a.id").alias("id")).agg(*[F.sum(v).alias(f"v{c}") for v, c in zip(out, "xyz")])
 
 
-def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int = 4) -> DataFrame:
+def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
     """K q(right) at the left points and K' q(left) at the right points from one sweep: rows (side, id, v). Each pair emits
     its two contributions; the kernel is evaluated once for both."""
     _, r2 = kernels.separation(_position("a"), _position("b"))
@@ -52,7 +65,7 @@ def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column],
     return swept.select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(F.sum("c.v").alias("v"))
 
 
-def symmetric_vector_sum(left: DataFrame, right: DataFrame, kernel=kernels.rpy, blocks: int = 4) -> DataFrame:
+def symmetric_vector_sum(left: DataFrame, right: DataFrame, kernel=kernels.rpy, blocks: int | None = None) -> DataFrame:
     """As symmetric_sum for a symmetric 3 x 3 kernel, which is even in the separation: rows (side, id, vx, vy, vz)."""
     a, b = _position("a"), _position("b")
     sides = [("left", "a", kernel(a, b, [F.col(f"b.q{c}") for c in "xyz"])), ("right", "b", kernel(a, b, [F.col(f"a.q{c}") for c in "xyz"]))]
@@ -65,19 +78,108 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def kernel_matvec(points: DataFrame, kernel: Callable[[Column], Column], mu: float = 0.0, blocks: int = 4) -> DataFrame:
-    """Per point of (id, p, q) the sum of kernel(r^2) q over all, the diagonal being 1 + mu: rows (id, v)."""
-    entry = F.when(F.col("a.id") == F.col("b.id"), F.lit(1.0 + mu)).otherwise(kernel(squared_distance(F.col("a.p"), F.col("b.p"))))
-    return pairs(points, points, blocks).groupBy(F.col("a.id").alias("id")).agg(F.sum(entry * F.col("b.q")).alias("v"))
-
-
-def kernel_matrix(points: DataFrame, kernel: Callable[[Column], Column], mu: float = 0.0, blocks: int = 4) -> DataFrame:
+def _block_pairs(points: DataFrame, rows: int) -> DataFrame:
+    """(i, j, block, id, p, q): each point with each block, blocks in order of the first coordinate, so that far ones are far."""
+    blocks = max(1, -(-points.count() // rows))
+    cuts = points.agg(F.percentile_approx(F.col("p")[0], F.array(*[F.lit((k + 1) / blocks) for k in range(blocks - 1)]), F.lit(100 * blocks))).first()[0] if blocks > 1 else []
+    cuts = sorted(set(cuts or []))
+    block = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("p")[0])) if cuts else F.lit(0)
+    dealt = points.select(block.alias("block"), "id", "p", "q", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("other"))
+    return dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "p", "q")
+
+
+def thin_factors(a: np.ndarray, b: np.ndarray, entry, tolerance: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """U and V with U V' near the kernel's matrix of two point blocks, by cross approximation with partial pivoting: rows and columns of
+    the matrix are made one at a time, and None is given where the rank passes a third of the smaller side."""
+    most = min(len(a), len(b)) // 3
+    u, v = np.zeros((len(a), 0)), np.zeros((len(b), 0))
+    used, size, row = np.zeros(len(a), bool), 0.0, 0
+    while u.shape[1] < most:
+        used[row] = True
+        line = entry(a[row : row + 1], b)[0] - u[row] @ v.T
+        column = int(np.abs(line).argmax())
+        if line[column] != 0.0:
+            x, y = entry(a, b[column : column + 1])[:, 0] - u @ v[column], line / line[column]
+            size += 2 * ((u.T @ x) * (v.T @ y)).sum() + (x @ x) * (y @ y)
+            u, v = np.column_stack([u, x]), np.column_stack([v, y])
+            if np.sqrt((x @ x) * (y @ y)) <= tolerance * np.sqrt(max(size, 0.0)):
+                return u, v
+        elif used.all():
+            return u, v
+        left = np.where(used, -1.0, np.abs(u[:, -1]) if u.shape[1] else 0.0)
+        row = int(left.argmax())
+        if used[row]:
+            return u, v
+    return None
+
+
+def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], mu: float = 0.0, rows: int = 2048, tolerance: float = 0.0) -> DataFrame:
+    """Per point of (id, p, q) the sum of kernel(r^2) q over all, the diagonal being 1 + mu: rows (id, v). ``kernel`` takes and
+    gives numpy arrays; ids are unique. A pair of blocks is one task's step and serves both: memory is that of one tile.
+
+    With a positive ``tolerance`` a pair of different blocks is compressed to two thin factors first, where their rank allows."""
+    spark = points.sparkSession
+    given = points.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"), F.col("q").cast("double").alias("q"))
+
+    def entry(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        r2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+        return kernel(np.maximum(r2, 0.0))
+
+    def products(key, held):
+        block, ids, p, q = (np.concatenate(x) for x in held)
+        first = block == key[0]
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        if key[0] == key[1]:
+            for at in range(0, len(ids), 1024):  # the diagonal is set, not computed
+                tile = entry(p[at : at + 1024], p)
+                tile[np.arange(len(tile)), np.arange(at, at + len(tile))] = 1.0 + mu
+                yield ids[at : at + 1024], tile @ q
+            return
+        thin = thin_factors(p[a], p[b], entry, tolerance) if tolerance > 0 else None
+        if thin is not None:
+            u, v = thin
+            yield ids[a], u @ (v.T @ q[b])
+            yield ids[b], v @ (u.T @ q[a])
+            return
+        back = np.zeros(len(b))
+        for at in range(0, len(a), 1024):
+            part = a[at : at + 1024]
+            tile = entry(p[part], p[b])
+            yield ids[part], tile @ q[b]
+            back += tile.T @ q[part]
+        yield ids[b], back
+
+    def run(batches):
+        key, held = None, ([], [], [], [])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j"))
+            cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), len(i)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if key != (i[lo], j[lo]):
+                    if held[0]:
+                        yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v)], names=["id", "v"]) for x, v in products(key, held))
+                    key, held = (i[lo], j[lo]), ([], [], [], [])
+                part = batch.slice(lo, hi - lo)
+                for h, c in zip(held, ("block", "id", "p", "q")):
+                    column = part.column(c)
+                    h.append((column.flatten() if c == "p" else column).to_numpy(zero_copy_only=False).copy())
+                held[2][-1] = held[2][-1].reshape(hi - lo, -1)
+        if held[0]:
+            yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v)], names=["id", "v"]) for x, v in products(key, held))
+
+    met = _block_pairs(given, rows).repartition(n_partitions(spark, points), "i", "j").sortWithinPartitions("i", "j", "block")
+    return met.mapInArrow(run, "id long, v double").groupBy("id").agg(F.sum("v").alias("v"))
+
+
+def kernel_matrix(points: DataFrame, kernel: Callable[[Column], Column], mu: float = 0.0, blocks: int | None = None) -> DataFrame:
     """The kernel matrix itself as (i, j, v)."""
     entry = F.when(F.col("a.id") == F.col("b.id"), F.lit(1.0 + mu)).otherwise(kernel(squared_distance(F.col("a.p"), F.col("b.p"))))
     return pairs(points, points, blocks).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), entry.alias("v"))
 
 
-def stokes_matrix(points: DataFrame, blocks: int = 4) -> DataFrame:
+def stokes_matrix(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """The 3n x 3n Stokes kernel matrix as (i, j, v): row 3 id + k, column 3 id + l."""
     unit = [[F.lit(1.0 if k == c else 0.0) for c in range(3)] for k in range(3)]
     columns = [kernels.stokes(_position("a"), _position("b"), unit[c]) for c in range(3)]

@@ -81,12 +81,18 @@ def _kernel_points(spark, sf_dir):
 
 @query(_kernel_sql("exp(-r2 / 4.0)"))
 def kernel_gauss_mv(spark, sf_dir):
-    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), lambda r2: kernels.gauss(r2, 2.0), 0.01), "v", digits=6)
+    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.gauss_array(2.0), 0.01), "v", digits=6)
 
 
 @query(_kernel_sql("(1 + sqrt(3.0) * sqrt(r2) / 2.0) * exp(-sqrt(3.0) * sqrt(r2) / 2.0)"))
 def kernel_matern_mv(spark, sf_dir):
-    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), lambda r2: kernels.matern32(r2, 2.0), 0.01), "v", digits=6)
+    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.matern32_array(2.0), 0.01), "v", digits=6)
+
+
+@query(_kernel_sql("exp(-r2 / 4.0)"))
+def kernel_gauss_thin(spark, sf_dir):
+    """The same with blocks of 64 points and thin factors of those apart."""
+    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.gauss_array(2.0), 0.01, rows=64, tolerance=1e-12), "v", digits=6)
 
 
 @query("""WITH k AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE label = 3),
