@@ -274,14 +274,16 @@ def jacobi_sweep(a: DataFrame, nx: int, ny: int) -> DataFrame:
 
 def jacobi(spark: SparkSession, nx: int, ny: int, sweeps: int, tolerance: float = 0.0, lag: bool = True) -> tuple[DataFrame, list[float]]:
     """Sweeps and their residual norms (2-norm of the change); stops under ``tolerance``, one sweep late with ``lag``."""
-    from latticework.tables import cut
+    from latticework.tables import Steps
 
-    a, norms = cut(jacobi_start(spark, nx, ny)), []
+    steps, norms = Steps(), []
+    a = steps.cut(jacobi_start(spark, nx, ny))
     for _ in range(sweeps):
-        b = cut(jacobi_sweep(a, nx, ny))
+        b = steps.cut(jacobi_sweep(a, nx, ny))
         change = b.alias("n").join(a.alias("o"), ["x", "y"]).agg(F.sqrt(F.sum(F.pow(F.col("n.v") - F.col("o.v"), 2)))).first()[0]
         seen = norms[-1] if lag and norms else change
         norms.append(change)
+        steps.forget(steps.mark() - 1)
         a = b
         if tolerance and (len(norms) > 1 or not lag) and seen < tolerance:
             break

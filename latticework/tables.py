@@ -41,19 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, "cut")[0]
 
 
-class States:
-    """The states of an iteration: each is written, and the one before it is dropped once its successor is there."""
+class Steps:
+    """The tables that an iteration writes. What was written before a turn is dropped once what follows no longer reads it."""
 
     def __init__(self) -> None:
-        self.path: str | None = None
+        self.paths: list[tuple[SparkSession, str]] = []
 
-    def next(self, df: DataFrame) -> DataFrame:
-        old = self.path
-        out, self.path = written(df, "state")
-        if old is not None:
-            drop_path(df.sparkSession, old)
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = written(df, "step")
+        self.paths.append((df.sparkSession, path))
         return out
 
+    def mark(self) -> int:
+        return len(self.paths)
+
+    def forget(self, before: int, first: int = 0) -> None:
+        """Drops what was written from the first to before the given mark."""
+        for spark, path in self.paths[first:before]:
+            drop_path(spark, path)
+        del self.paths[first:before]
+
 
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
