@@ -308,6 +308,11 @@ def two_stage(a: np.ndarray, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     return q1 @ q2, t
 
 
+def apply_two_stage(to_band_q: np.ndarray, to_tridiagonal_q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Q x for the Q of both stages, one after the other: eigenvectors of T become those of the matrix without Q itself."""
+    return to_band_q @ (to_tridiagonal_q @ x)
+
+
 def tridiagonal_eigh(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Divide and conquer: two halves and a rank-one coupling, whose secular equation is solved by bisection in each
     interval; equal or uncoupled entries are deflated first."""

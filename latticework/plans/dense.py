@@ -145,6 +145,119 @@ def eigh_sum_whole(spark, sf_dir):
     return spark.createDataFrame([(round(float(w.sum()), 4),)], "sum_of_eigenvalues double")
 
 
+# ---- what the driver's dense kernels give back, against the matrix they were given ----
+
+_GRAM = f"""a AS MATERIALIZED ({_ALL}), g0 AS MATERIALIZED (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2),
+  g AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM g0) + (i = j)::INT AS v FROM g0)"""
+#: kernels whose factors multiply to A'A / max + I, to its inverse's product with it, and to the embeddings' first rows
+_OF_G = ("lu", "cholesky", "two_stage", "one_stage", "two_stage_apply", "divide_conquer", "generalized", "eigh", "pivoted_qr", "wider_band")
+_OF_I = ("lu_inverse", "cholesky_inverse", "gauss_jordan")
+_OF_A = ("householder", "blocked_qr", "wy")
+
+
+def _matrix_rows(spark, name: str, x: np.ndarray):
+    return [(name, int(i), int(j), round(float(x[i, j]), 6) + 0.0) for i in range(x.shape[0]) for j in range(x.shape[1])]
+
+
+@query(f"""WITH {_GRAM}, k AS (SELECT DISTINCT j FROM a), top AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r FROM (SELECT DISTINCT i FROM a) ORDER BY i LIMIT 96)
+  SELECT name, i, j, round(v, 6) + 0.0 AS v FROM g CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _OF_G)}) o(name)
+  UNION ALL SELECT name, x.j, y.j, (x.j = y.j)::INT::DOUBLE FROM k x CROSS JOIN k y CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _OF_I)}) o(name)
+  UNION ALL SELECT name, r, j, round(v, 6) + 0.0 FROM a JOIN top USING (i) CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _OF_A)}) o(name)""")
+def dense_products(spark, sf_dir):
+    """Products of what each dense kernel returns: LU, Cholesky and block Gauss-Jordan, one- and two-stage reductions to tridiagonal
+    form (with Q applied in two steps, too), divide and conquer, symmetric and generalized eigenproblems, pivoted QR of A'A / max + I (columns
+    put back), and Householder QR of the first 96 embeddings: reflectors one by one, in panels, and as I - W Y'."""
+    from latticework.operators.sparse import gram_rows
+
+    rows = whole(spark, sf_dir)
+    g = factor.small(gram_rows(rows, "v"))
+    n = len(g)
+    g = g / np.abs(g).max() + np.eye(n)
+    first = np.array([r["v"] for r in rows.orderBy("i").limit(96).collect()])
+    out = {}
+    p, low, up = factor.lu(g)
+    out["lu"] = p.T @ low @ up
+    out["cholesky"] = (lambda c: c @ c.T)(np.linalg.cholesky(g))
+    q, t = factor.two_stage(g, 4)
+    out["two_stage"] = q @ t @ q.T
+    w, v = factor.tridiagonal_eigh(np.diag(t), np.diag(t, 1))
+    out["divide_conquer"] = q @ (v * w) @ v.T @ q.T
+    q1, t1 = factor.tridiagonalize(g)
+    out["one_stage"] = q1 @ t1 @ q1.T
+    to_band, band = factor.to_band(g, 4)
+    vectors = factor.apply_two_stage(to_band, factor.band_to_tridiagonal(band, 4)[0], v)  # of T, taken back to the matrix's
+    out["two_stage_apply"] = (vectors * w) @ vectors.T
+    b = np.diag(1.0 + np.arange(n) / n)
+    wg, vg = factor.generalized_eigh(g, b)
+    out["generalized"] = b @ (vg * wg) @ vg.T @ b
+    we, ve = np.linalg.eigh(g)
+    out["eigh"] = (ve * we) @ ve.T
+    q2, r2, order, _ = factor.pivoted_qr(g)
+    back = np.zeros_like(g)
+    back[:, order] = q2 @ r2
+    out["pivoted_qr"] = back
+    q8, t8 = factor.two_stage(g, 8)
+    out["wider_band"] = q8 @ t8 @ q8.T
+    out["lu_inverse"], out["cholesky_inverse"], out["gauss_jordan"] = g @ factor.lu_inverse(g), g @ factor.cholesky_inverse(g), g @ factor.gauss_jordan_inverse(g, 5)
+    reflectors, r = factor.householder_qr(first)
+    out["householder"] = factor.apply_q(reflectors, r)
+    qb, rb = factor.blocked_qr(first, 8)
+    out["blocked_qr"] = qb @ rb
+    wm, ym = factor.wy(reflectors, len(first))
+    out["wy"] = (np.eye(len(first)) - wm @ ym.T) @ r
+    made = [row for name, x in out.items() for row in _matrix_rows(spark, name, x)]  # of 96 x 64 numbers at most a kernel
+    return spark.createDataFrame(made, "name string, i long, j long, v double")
+
+
+EIGEN_N = 2400
+
+
+@query("SELECT k, 0.0::DOUBLE AS residual, true AS ascending, true AS as_the_library FROM range(10) t(k)")
+def generalized_eigen(spark, sf_dir):
+    """The ten lowest eigenpairs of A x = lambda B x at n = 2400, A symmetric with entries in [-1/2, 1/2), B = I + C C' / n: residuals
+    relative to the norm of A, order, and the eigenvalues against those of the library's solver for the reduced problem."""
+    rng = np.random.default_rng(1)
+    a = rng.random((EIGEN_N, EIGEN_N)) - 0.5
+    a = np.tril(a) + np.tril(a, -1).T
+    c = rng.random((EIGEN_N, 64)) - 0.5
+    b = np.eye(EIGEN_N) + c @ c.T / EIGEN_N
+    w, v = factor.generalized_eigh(a, b)
+    residual = np.linalg.norm(a @ v[:, :10] - b @ v[:, :10] * w[:10], axis=0) / np.linalg.norm(a)
+    low = np.linalg.cholesky(b)
+    again = np.linalg.eigvalsh(np.linalg.solve(low, np.linalg.solve(low, a).T))
+    ok = np.abs(w - again) <= 1e-8 * np.abs(again).max()
+    return spark.createDataFrame([(k, round(float(residual[k]), 8), bool(k == 0 or w[k] >= w[k - 1]), bool(ok[k])) for k in range(10)], "k long, residual double, ascending boolean, as_the_library boolean")
+
+
+@query()
+def eigen_lowest(spark, sf_dir):
+    """The same problem for its time: the ten lowest eigenvalues alone."""
+    rng = np.random.default_rng(1)
+    a = rng.random((EIGEN_N, EIGEN_N)) - 0.5
+    a = np.tril(a) + np.tril(a, -1).T
+    c = rng.random((EIGEN_N, 64)) - 0.5
+    w, _ = factor.generalized_eigh(a, np.eye(EIGEN_N) + c @ c.T / EIGEN_N)
+    return spark.createDataFrame([(k, float(w[k])) for k in range(10)], "k long, eigenvalue double")
+
+
+@query(f"WITH {_GRAM} SELECT i, j, round(v, 4) + 0.0 AS v FROM g0")
+def eigh_product(spark, sf_dir):
+    """V diag(w) V' of the Gram matrix's eigenpairs is the Gram matrix."""
+    w, v = factor.eigh_gram(whole(spark, sf_dir))
+    made = (v * w) @ v.T
+    return spark.createDataFrame([(i, j, round(float(made[i, j]), 4) + 0.0) for i in range(len(made)) for j in range(len(made))], "i long, j long, v double")
+
+
+@query(f"WITH {_GRAM} SELECT i, j, round(v, 4) + 0.0 AS v FROM g0")
+def pivoted_product(spark, sf_dir):
+    """R'R of the pivoted QR, with the columns put back, is the Gram matrix."""
+    r, order, _ = factor.tall_pivoted(whole(spark, sf_dir))
+    back = np.zeros((len(order), len(order)))
+    back[:, order] = r
+    made = back.T @ back
+    return spark.createDataFrame([(i, j, round(float(made[i, j]), 4) + 0.0) for i in range(len(made)) for j in range(len(made))], "i long, j long, v double")
+
+
 # ---- mixed precision ----
 
 
@@ -200,6 +313,23 @@ def gemm_single(spark, sf_dir):
     return rounded(mixed.gemm_as(_square(spark, 37), _square(spark, 53), "single"), "v", digits=8)
 
 
+def _e4m3(x: str) -> str:
+    return f"(round_even(({x}) / pow(2, floor(log2(({x}))) - 3), 0) * pow(2, floor(log2(({x}))) - 3))"
+
+
+@query(f"""SELECT a.i, b.j, sum({_e4m3('a.v')} * {_e4m3('b.v')})::FLOAT::DOUBLE AS v FROM {_G(37).replace('+ 0.01', '+ 0.05')} a JOIN {_G(53).replace('+ 0.01', '+ 0.05')} b ON a.j = b.i GROUP BY 1, 2""")
+def gemm_e4m3(spark, sf_dir):
+    """Eight-bit inputs, the product rounded to single precision."""
+    more = lambda m: _square(spark, m).withColumn("v", F.col("v") + 0.04)
+    return mixed.gemm_as(more(37), more(53), "e4m3", "single")
+
+
+@query(f"SELECT a.i, b.j, round_even(sum(a.v * b.v) / pow(2, floor(log2(sum(a.v * b.v))) - 10), 0) * pow(2, floor(log2(sum(a.v * b.v))) - 10) AS v FROM {_G(37)} a JOIN {_G(53)} b ON a.j = b.i GROUP BY 1, 2")
+def gemm_half_out(spark, sf_dir):
+    """Double inputs, the product rounded to half precision."""
+    return mixed.gemm_as(_square(spark, 37), _square(spark, 53), "double", "half")
+
+
 # ---- spectral ----
 
 

@@ -92,23 +92,36 @@ def _read_array(spark: SparkSession, lines: DataFrame, sizes: tuple[int, ...], b
     placed = prefix_sum(numbered, "n", "one", "at", inclusive=False, chunk=1 << 33).where("at > 0").select((F.col("at") - 1).alias("k"), F.split("line", r"\s+")[0].cast("double").alias("v"))
     if banner.symmetry == "general":
         return placed.select((F.col("k") % rows).alias("i"), F.floor(F.col("k") / rows).alias("j"), "v")
-    # the lower triangle only: column j starts at j * rows - j (j - 1) / 2 (one later each time without a diagonal)
-    skew = banner.symmetry == "skew-symmetric"
-    starts, at = [], 0
-    for j in range(cols):
-        starts.append((j, at, j + skew))
-        at += rows - j - skew
-    table = F.broadcast(spark.createDataFrame(starts, "j long, start long, first long"))  # a row for each column
-    entries = placed.join(table, (F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + rows - F.col("first"))).select((F.col("k") - F.col("start") + F.col("first")).alias("i"), "j", "v")
+    # the lower triangle only: column j starts at j * rows - j (j - 1) / 2 (one later each time without a diagonal); the
+    # root of that is the column, give or take one for rounding
+    skew = int(banner.symmetry == "skew-symmetric")
+    start = lambda j: j * (rows - skew) - F.floor(j * (j - 1) / 2)
+    wide = 2.0 * (rows - skew) + 1.0
+    root = F.floor((wide - F.sqrt(F.greatest(F.lit(wide * wide) - 8.0 * F.col("k"), F.lit(0.0)))) / 2.0).cast("long")
+    near = placed.withColumn("j", root).withColumn("j", F.when(start(F.col("j")) > F.col("k"), F.col("j") - 1).when(start(F.col("j") + 1) <= F.col("k"), F.col("j") + 1).otherwise(F.col("j")))
+    entries = near.select((F.col("k") - start(F.col("j")) + F.col("j") + skew).cast("long").alias("i"), "j", "v")
     return _expanded(entries, banner) if expand else entries
 
 
 def write(a: DataFrame, path: str, rows: int, cols: int, banner: Banner | None = None) -> None:
-    """One text file: banner, sizes, entries by row and column counted from 1. For matrices that one task can write."""
+    """One text file, as the format asks: banner, sizes, and by row and column the entries counted from 1 or, for the array format, all
+    values down the columns (no entry is 0). Of a symmetric kind the lower triangle is written (without the diagonal if skew). One
+    task writes."""
     banner = banner or Banner()
-    n = a.count()
     spark = a.sparkSession
-    head = spark.createDataFrame([(0, 0, 0, banner.line()), (1, 0, 0, f"{rows} {cols} {n}")], "o int, i long, j long, value string")
-    text = F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), *([] if banner.field == "pattern" else [F.col("v").cast("long").cast("string") if banner.field == "integer" else F.col("v").cast("string")]))
-    body = a.select(F.lit(2).alias("o"), "i", "j", text.alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("o", "i", "j").select("value").write.mode("overwrite").text(path)
+    if banner.symmetry != "general":
+        a = a.where("i > j" if banner.symmetry == "skew-symmetric" else "i >= j")
+    number = F.col("v").cast("long").cast("string") if banner.field == "integer" else F.col("v").cast("string")
+    if banner.field == "complex":
+        number = F.concat(number, F.lit(" 0.0"))
+    if banner.format == "array":
+        every = spark.range(rows * cols).select((F.col("id") % rows).alias("i"), F.floor(F.col("id") / rows).alias("j"))
+        if banner.symmetry != "general":
+            every = every.where("i > j" if banner.symmetry == "skew-symmetric" else "i >= j")
+        cells = every.join(a.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+        sizes, body = f"{rows} {cols}", cells.select(F.lit(2).alias("o"), F.col("j").alias("x"), F.col("i").alias("y"), number.alias("value"))
+    else:
+        text = F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), *([] if banner.field == "pattern" else [number]))
+        sizes, body = f"{rows} {cols} {a.count()}", a.select(F.lit(2).alias("o"), F.col("i").alias("x"), F.col("j").alias("y"), text.alias("value"))
+    head = spark.createDataFrame([(0, 0, 0, banner.line()), (1, 0, 0, sizes)], "o int, x long, y long, value string")
+    head.unionByName(body).coalesce(1).sortWithinPartitions("o", "x", "y").select("value").write.mode("overwrite").text(path)

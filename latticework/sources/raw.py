@@ -26,12 +26,40 @@ def read_doubles(spark: SparkSession, path: str, dtype: str = "<f8") -> DataFram
 
 
 def write_doubles(x: DataFrame, path: str) -> None:
-    """Values (i, v) by index as a raw file on the driver's disk, streamed a partition at a time."""
+    """Values (i, v) by index as one raw file on any store that Spark writes to, streamed a partition at a time."""
     import struct
 
-    with open(path, "wb") as f:
+    spark = x.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    held: list[float] = []
+
+    def flush() -> None:
+        out.write(bytearray(struct.pack(f"<{len(held)}d", *held)))
+        held.clear()
+
+    try:
         for row in x.orderBy("i").select("v").toLocalIterator():
-            f.write(struct.pack("<d", row["v"]))
+            held.append(row["v"])
+            if len(held) >= 1 << 16:
+                flush()
+        flush()
+    finally:
+        out.close()
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Points (id, p) by id as text: "npt dim" and a line a point. One task writes."""
+    spark = points.sparkSession
+    n, dim = points.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("p")), F.lit(0))).first()
+    head = spark.createDataFrame([(0, 0, f"{n} {dim}")], "o int, id long, value string")
+    body = points.select(F.lit(1).alias("o"), F.col("id").cast("long").alias("id"), F.array_join(F.transform("p", lambda x: x.cast("double").cast("string")), " ").alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("o", "id").select("value").write.mode("overwrite").text(path)
+
+
+def write_field(x: DataFrame, path: str) -> None:
+    """Values (i, v) by index, one a line. One task writes."""
+    x.coalesce(1).sortWithinPartitions("i").select(F.col("v").cast("double").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
