@@ -44,29 +44,22 @@ def matern32_array(length: float):
     return of
 
 
-def _vector_kernel(d: list[Column], inv_r: Column, t1: Column, t2: Column, q: list[Column]) -> list[Column]:
-    """t1 q + t2 (q . e) e for the unit separation e."""
-    e = [x * inv_r for x in d]
-    along = t2 * sum((x * y for x, y in zip(e[1:], q[1:])), e[0] * q[0])
-    return [t1 * y + along * x for x, y in zip(e, q)]
+# A vector kernel is t1 q + t2 (q . e) e for the unit separation e; these give t1 and t2 of the distance (squared, itself, inverse or 0).
+Terms = tuple[Column, Column]
 
 
-def rpy(a: list[Column], b: list[Column], q: list[Column], radius: float = 0.2, viscosity: float = 1.0) -> list[Column]:
-    """Rotne-Prager-Yamakawa mobility times q, with its branch for overlapping spheres (r < 2 radius)."""
-    d, r2 = separation(a, b)
-    r, inv = F.sqrt(r2), rsqrt(r2)
+def rpy(r2: Column, r: Column, inv: Column, radius: float = 0.2, viscosity: float = 1.0) -> Terms:
+    """Rotne-Prager-Yamakawa mobility, with its branch for overlapping spheres (r < 2 radius)."""
     c = 1.0 / (6.0 * math.pi * radius * viscosity)
     near = r < 2.0 * radius
     s = inv * inv * (2.0 * radius * radius)
     t1 = F.when(near, c - r * (c * 9.0 / 32.0 / radius)).otherwise(inv * (0.75 * c) * (1.0 + s / 3.0))
     t2 = F.when(near, r * (c * 3.0 / 32.0 / radius)).otherwise(inv * (0.75 * c) * (1.0 - s))
-    return _vector_kernel(d, inv, t1, t2, q)
+    return t1, t2
 
 
-def stokes(a: list[Column], b: list[Column], q: list[Column], radius: float = 0.25, viscosity: float = 0.5) -> list[Column]:
-    """Stokeslet times q; a point acts on itself by 1 / (6 pi radius viscosity)."""
-    d, r2 = separation(a, b)
-    inv = rsqrt(r2)
+def stokes(r2: Column, r: Column, inv: Column, radius: float = 0.25, viscosity: float = 0.5) -> Terms:
+    """Stokeslet; a point acts on itself by 1 / (6 pi radius viscosity)."""
     c = 1.0 / (6.0 * math.pi * radius * viscosity)
-    t1 = F.when(r2 == 0, F.lit(c)).otherwise(inv * (0.75 * c * radius))
-    return _vector_kernel(d, inv, t1, t1, q)
+    t = F.when(r2 == 0, F.lit(c)).otherwise(inv * (0.75 * c * radius))
+    return t, t

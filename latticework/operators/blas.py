@@ -126,9 +126,9 @@ def small_gram(df: DataFrame, columns: list[str], other: str) -> DataFrame:
 def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Running sum in a total order without a task that sees all rows: rows are dealt into ranges of the order and written,
     ranges' sums are added up (a row for each), and each range adds its own rows to what comes before it."""
-    from latticework.tables import cut
+    from latticework.tables import cut, n_partitions
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_partitions(df.sparkSession, df)
     dealt = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     sums = dealt.groupBy("_p").agg(F.sum(value).alias("_s"))
     before = sums.select("_p", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
@@ -147,8 +147,11 @@ def equal_split(df: DataFrame, order: str, parts: int) -> DataFrame:
 
 
 def fetch_and_add(df: DataFrame, counter: str, order: str, base: int = 0) -> DataFrame:
-    """What each row would have fetched from its counter, in ``order``: the reference's order is the race's."""
-    return df.withColumn("fetched", F.row_number().over(W.partitionBy(counter).orderBy(order)) - 1 + base)
+    """What each row would have fetched from its counter, in ``order``: the reference's order is the race's. A counter's rows may be
+    in many ranges of the order, so a busy one is many tasks' work."""
+    ranked = running_total(df.withColumn("_one", F.lit(1)), [counter, order], "_one", "_rank").drop("_one")
+    starts = ranked.groupBy(F.col(counter).alias("_counter")).agg(F.min("_rank").alias("_first"))
+    return ranked.join(starts, F.col(counter).eqNullSafe(F.col("_counter"))).withColumn("fetched", (F.col("_rank") - F.col("_first") + base).cast("int")).drop("_rank", "_first", "_counter")
 
 
 def lower_bound(sorted_values: DataFrame, queries: DataFrame) -> DataFrame:

@@ -129,10 +129,12 @@ def block_copy(a: DataFrame, r0: int, r1: int, c0: int, c1: int, to_row: int = 0
     return a.where(F.col("i").between(r0, r1) & F.col("j").between(c0, c1)).select((F.col("i") - r0 + to_row).alias("i"), (F.col("j") - c0 + to_col).alias("j"), "v")
 
 
-def kron(a: DataFrame, b: DataFrame, b_rows: int, b_cols: int) -> DataFrame:
-    """Kronecker product; ``b`` is the small factor and its every entry meets every entry of ``a``."""
-    x, y = a.select(F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("v").alias("av")), b.select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("v").alias("bv"))
-    return x.crossJoin(y).select((F.col("ai") * b_rows + F.col("bi")).alias("i"), (F.col("aj") * b_cols + F.col("bj")).alias("j"), (F.col("av") * F.col("bv")).alias("v"))
+def kron(a: DataFrame, b: DataFrame, b_rows: int, b_cols: int, block: int = 65536) -> DataFrame:
+    """Kronecker product: every entry of ``b`` meets every entry of ``a``, by an equality join on blocks of ``b``'s entries."""
+    blocks = max(1, -(-b.count() // block))
+    x = a.select(F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("v").alias("av"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    y = b.select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("v").alias("bv"), F.pmod(F.xxhash64("i", "j"), F.lit(blocks)).cast("int").alias("block"))
+    return x.join(y, "block").select((F.col("ai") * b_rows + F.col("bi")).alias("i"), (F.col("aj") * b_cols + F.col("bj")).alias("j"), (F.col("av") * F.col("bv")).alias("v"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -47,10 +47,28 @@ def scalar_sum(targets: DataFrame, sources: DataFrame, kernel: Callable[[Column]
     return pairs(targets, sources, blocks).groupBy(F.col("a.id").alias("id")).agg(F.sum(kernel(r2) * F.col("b.q")).alias("v"))
 
 
+def _met(targets: DataFrame, sources: DataFrame, kernel, blocks: int | None) -> DataFrame:
+    """Pairs with the kernel's t1 and t2 and the unit separation e0, e1, e2, each a column of its own: inlined into the
+    products, they would outgrow a generated method."""
+    met = pairs(targets, sources, blocks)
+    met = met.select("a", "b", *[(x - y).alias(f"d{k}") for k, (x, y) in enumerate(zip(_position("a"), _position("b")))])
+    d = [F.col(f"d{k}") for k in range(3)]
+    met = met.withColumn("r2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).withColumn("r", F.sqrt("r2")).withColumn("inv", kernels.reciprocal(F.col("r2")))
+    t1, t2 = kernel(F.col("r2"), F.col("r"), F.col("inv"))
+    return met.select("a", "b", t1.alias("t1"), t2.alias("t2"), *[(x * F.col("inv")).alias(f"e{k}") for k, x in enumerate(d)])
+
+
+def _acts(met: DataFrame, side: str, out: str) -> DataFrame:
+    """Columns ``out``0, 1, 2: the kernel times the other side's (qx, qy, qz)."""
+    q = [F.col(f"{side}.q{c}") for c in "xyz"]
+    met = met.withColumn(f"{out}_along", F.col("t2") * (F.col("e0") * q[0] + F.col("e1") * q[1] + F.col("e2") * q[2]))
+    return met.withColumns({f"{out}{k}": F.col("t1") * q[k] + F.col(f"{out}_along") * F.col(f"e{k}") for k in range(3)})
+
+
 def vector_sum(targets: DataFrame, sources: DataFrame, kernel=kernels.rpy, blocks: int | None = None) -> DataFrame:
     """Per target the sum of a 3 x 3 kernel times (qx, qy, qz): rows (id, vx, vy, vz)."""
-    out = kernel(_position("a"), _position("b"), [F.col(f"b.q{c}") for c in "xyz"])
-    return pairs(targets, sources, blocks).groupBy(F.col("a.id").alias("id")).agg(*[F.sum(v).alias(f"v{c}") for v, c in zip(out, "xyz")])
+    met = _acts(_met(targets, sources, kernel, blocks), "b", "u")
+    return met.groupBy(F.col("a.id").alias("id")).agg(*[F.sum(f"u{k}").alias(f"v{c}") for k, c in enumerate("xyz")])
 
 
 def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
@@ -66,11 +84,11 @@ def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column],
 
 
 def symmetric_vector_sum(left: DataFrame, right: DataFrame, kernel=kernels.rpy, blocks: int | None = None) -> DataFrame:
-    """As symmetric_sum for a symmetric 3 x 3 kernel, which is even in the separation: rows (side, id, vx, vy, vz)."""
-    a, b = _position("a"), _position("b")
-    sides = [("left", "a", kernel(a, b, [F.col(f"b.q{c}") for c in "xyz"])), ("right", "b", kernel(a, b, [F.col(f"a.q{c}") for c in "xyz"]))]
-    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{p}.id").alias("id"), *[v.alias(f"v{c}") for v, c in zip(out, "xyz")]) for side, p, out in sides])
-    return pairs(left, right, blocks).select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(*[F.sum(f"c.v{c}").alias(f"v{c}") for c in "xyz"])
+    """As symmetric_sum for a symmetric 3 x 3 kernel, which is even in the separation: rows (side, id, vx, vy, vz). The kernel's terms are
+    evaluated once for both."""
+    met = _acts(_acts(_met(left, right, kernel, blocks), "b", "u"), "a", "w")
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{p}.id").alias("id"), *[F.col(f"{v}{k}").alias(f"v{c}") for k, c in enumerate("xyz")]) for side, p, v in (("left", "a", "u"), ("right", "b", "w"))])
+    return met.select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(*[F.sum(f"c.v{c}").alias(f"v{c}") for c in "xyz"])
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -181,7 +199,7 @@ def kernel_matrix(points: DataFrame, kernel: Callable[[Column], Column], mu: flo
 
 def stokes_matrix(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """The 3n x 3n Stokes kernel matrix as (i, j, v): row 3 id + k, column 3 id + l."""
-    unit = [[F.lit(1.0 if k == c else 0.0) for c in range(3)] for k in range(3)]
-    columns = [kernels.stokes(_position("a"), _position("b"), unit[c]) for c in range(3)]
-    cells = F.array(*[F.struct((F.col("a.id") * 3 + k).alias("i"), (F.col("b.id") * 3 + c).alias("j"), columns[c][k].alias("v")) for k in range(3) for c in range(3)])
-    return pairs(points, points, blocks).select(F.explode(cells).alias("c")).select("c.*")
+    met = _met(points, points, kernels.stokes, blocks)
+    entry = lambda k, c: F.col("t2") * F.col(f"e{k}") * F.col(f"e{c}") + (F.col("t1") if k == c else F.lit(0.0))
+    cells = F.array(*[F.struct((F.col("a.id") * 3 + k).alias("i"), (F.col("b.id") * 3 + c).alias("j"), entry(k, c).alias("v")) for k in range(3) for c in range(3)])
+    return met.select(F.explode(cells).alias("c")).select("c.*")

@@ -1,17 +1,18 @@
 """Fourier transforms of grid fields (x, y, z, re, im) and Poisson solvers on them.
 
-A transform goes axis by axis: each grid line along an axis is one group of bounded length, transformed by numpy; lines
-are spread over all tasks. ``dft_join`` is the same by an equality-free join with cosines, for small sizes.
+A transform goes axis by axis: grid lines along an axis stand together, and a task transforms all whole lines of an Arrow batch
+at once; lines are spread over all tasks. ``dft_join`` is the same by a join with all frequencies, for small sizes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.grid import fd_weights
+from latticework.tables import n_partitions
 
 
 def complex_field(field: DataFrame) -> DataFrame:
@@ -21,14 +22,37 @@ def complex_field(field: DataFrame) -> DataFrame:
 def fft_axis(field: DataFrame, axis: str, n: int, inverse: bool = False) -> DataFrame:
     """One axis; cells that are missing count as zero."""
     rest = [a for a in "xyz" if a != axis]
-
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(n, complex)
-        v[pdf[axis].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        v = np.fft.ifft(v) if inverse else np.fft.fft(v)
-        return pd.DataFrame({axis: np.arange(n, dtype=np.int32), rest[0]: np.int32(pdf[rest[0]].iloc[0]), rest[1]: np.int32(pdf[rest[1]].iloc[0]), "re": v.real, "im": v.imag})[["x", "y", "z", "re", "im"]]
-
-    return field.groupBy(*rest).applyInPandas(line, "x int, y int, z int, re double, im double")
+    names = ["x", "y", "z", "re", "im"]
+
+    def transformed(cells: dict[str, np.ndarray]) -> pa.RecordBatch:
+        first = np.r_[True, (cells[rest[0]][1:] != cells[rest[0]][:-1]) | (cells[rest[1]][1:] != cells[rest[1]][:-1])]
+        line = np.cumsum(first) - 1
+        v = np.zeros((line[-1] + 1, n), complex)
+        v[line, cells[axis]] = cells["re"] + 1j * cells["im"]
+        v = (np.fft.ifft(v, axis=1) if inverse else np.fft.fft(v, axis=1)).ravel()
+        out = {axis: np.tile(np.arange(n, dtype=np.int32), line[-1] + 1), "re": v.real, "im": v.imag}
+        out |= {r: np.repeat(cells[r][first], n).astype(np.int32) for r in rest}
+        return pa.RecordBatch.from_arrays([pa.array(out[c]) for c in names], names=names)
+
+    def run(batches):
+        left = None  # the last line of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if left is not None:
+                cells = {c: np.concatenate([left[c], cells[c]]) for c in names}
+            same = (cells[rest[0]] == cells[rest[0]][-1]) & (cells[rest[1]] == cells[rest[1]][-1])
+            cut = int(np.argmax(same))  # lines are sorted, so these are the last ones
+            left = {c: v[cut:] for c, v in cells.items()}
+            if cut:
+                yield transformed({c: v[:cut] for c, v in cells.items()})
+        if left is not None:
+            yield transformed(left)
+
+    typed = field.select(*[F.col(c).cast("int").alias(c) for c in "xyz"], F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    together = typed.repartition(n_partitions(field.sparkSession, field), *rest).sortWithinPartitions(*rest)
+    return together.mapInArrow(run, "x int, y int, z int, re double, im double")
 
 
 def fft3(field: DataFrame, sizes: tuple[int, int, int], inverse: bool = False) -> DataFrame:
@@ -52,11 +76,14 @@ def unpack_half(half: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
     return half.unionByName(mirrored)
 
 
-def dft_join(line: DataFrame, n: int) -> DataFrame:
-    """DFT of one line (k, v) of length n: every frequency meets every sample; for small n. Rows (f, re, im)."""
+def dft_join(line: DataFrame, n: int, block: int = 4096) -> DataFrame:
+    """DFT of one line (k, v) of length n: every frequency meets every sample, by an equality join on blocks of frequencies; for
+    small n. Rows (f, re, im)."""
     spark = line.sparkSession
+    blocks = -(-n // block)
     angle = F.lit(-2.0 * np.pi / n) * ((F.col("f") * F.col("k")) % n)
-    met = line.crossJoin(F.broadcast(spark.range(n).withColumnRenamed("id", "f")))
+    frequencies = spark.range(n).select(F.col("id").alias("f"), (F.col("id") % blocks).cast("int").alias("block"))
+    met = line.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(frequencies, "block")
     return met.groupBy("f").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
 
 
