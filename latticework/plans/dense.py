@@ -10,14 +10,6 @@ from latticework.plans.linear import rounded
 from latticework.plans.registry import query
 from latticework.tables import table
 
-WIDTH = 16
-
-
-def tall(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("w", F.slice("embedding", 1, WIDTH))
-    return factor.tall(e, "vec_id", "w")
-
-
 def whole(spark, sf_dir):
     """All entries of the embeddings."""
     return factor.tall(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -36,40 +28,6 @@ def product_of(q, r: np.ndarray):
     return again.select(F.lit("qr").alias("name"), "i", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v")).unionByName(ident.select(F.lit("orthogonality").alias("name"), "i", "j", F.round("v", 6).alias("v")))
 
 
-_A = f"SELECT vec_id AS i, unnest(range({WIDTH})) AS j, unnest(embedding[1:{WIDTH}])::DOUBLE AS v FROM embeddings"
-_QR = f"SELECT 'qr' AS name, i, j, round(v, 6) AS v FROM ({_A}) UNION ALL SELECT 'orthogonality', a.j, b.j, 0.0 FROM range({WIDTH}) a(j) CROSS JOIN range({WIDTH}) b(j)"
-
-
-@query(_QR)
-def cholqr(spark, sf_dir):
-    """Cholesky-QR twice: Q R gives A back, Q'Q is the identity."""
-    return product_of(*factor.cholesky_qr2(tall(spark, sf_dir)))
-
-
-@query(_QR)
-def qr_residual(spark, sf_dir):
-    """Tall-skinny QR."""
-    return product_of(*factor.tall_qr(tall(spark, sf_dir)))
-
-
-@query(_QR)
-def block_mgs(spark, sf_dir):
-    return product_of(*factor.block_gram_schmidt(tall(spark, sf_dir), WIDTH, 4))
-
-
-@query(f"SELECT i, j, round(v, 6) AS v FROM ({_A})")
-def randomized_xr(spark, sf_dir):
-    q, r = factor.randomized_xr(tall(spark, sf_dir), WIDTH)
-    return factor.times(q, r).select("i", F.posexplode("v").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
-
-
-@query(f"""WITH a AS ({_A}) SELECT round(sum(v * v), 4) AS sum_of_eigenvalues FROM a""")
-def eigh_sum(spark, sf_dir):
-    """The eigenvalues of A'A add up to the squared norm of A."""
-    w, _ = factor.eigh_gram(tall(spark, sf_dir))
-    return spark.createDataFrame([(round(float(w.sum()), 4),)], "sum_of_eigenvalues double")
-
-
 @query()
 def eigh_topk(spark, sf_dir):
     """The largest ten eigenvalues of A'A with the residuals of their vectors."""
@@ -108,7 +66,7 @@ def dense_kernels(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(np.abs(x).max()), 8)) for k, x in found.items()], "kernel string, residual double")
 
 
-# ---- the same over all entries ----
+# ---- tall factorizations ----
 
 
 _ALL = "SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings"
@@ -118,11 +76,13 @@ _QR_ALL = f"""WITH a AS ({_ALL}), k AS (SELECT DISTINCT j FROM a)
 
 @query(_QR_ALL)
 def cholqr_whole(spark, sf_dir):
+    """Cholesky-QR twice: Q R gives A back, Q'Q is the identity."""
     return product_of(*factor.cholesky_qr2(whole(spark, sf_dir)))
 
 
 @query(_QR_ALL)
 def qr_residual_whole(spark, sf_dir):
+    """Tall-skinny QR."""
     return product_of(*factor.tall_qr(whole(spark, sf_dir)))
 
 
@@ -141,6 +101,7 @@ def randomized_xr_whole(spark, sf_dir):
 
 @query(f"""WITH a AS ({_ALL}) SELECT round(sum(v * v), 4) AS sum_of_eigenvalues FROM a""")
 def eigh_sum_whole(spark, sf_dir):
+    """The eigenvalues of A'A add up to the squared norm of A."""
     w, _ = factor.eigh_gram(whole(spark, sf_dir))
     return spark.createDataFrame([(round(float(w.sum()), 4),)], "sum_of_eigenvalues double")
 

@@ -73,13 +73,6 @@ def gram(spark, sf_dir):
     return rounded(sparse.gram_rows(table(spark, sf_dir, "embeddings"), "embedding"), "v", digits=6)
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(range(8)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings)
-  SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2""")
-def gram_coo(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 8)).alias("j", "v"))
-    return rounded(sparse.gram(e.select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))), "v", digits=6)
-
-
 @query("""WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)
   SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2""")
 def gram_coo_whole(spark, sf_dir):

@@ -51,7 +51,13 @@ def _vector_sql(t1: str, t2: str) -> str:
 _C = "(1.0 / (6.0 * pi() * 0.2))"
 
 
-@query(_vector_sql(f"CASE WHEN r < 0.4 THEN {_C} - {_C} * 9.0 / 32.0 / 0.2 * r ELSE 0.75 * {_C} * i * (1 + 0.08 / 3.0 * i * i) END", f"CASE WHEN r < 0.4 THEN {_C} * 3.0 / 32.0 / 0.2 * r ELSE 0.75 * {_C} * i * (1 - 0.08 * i * i) END"))
+_RPY = (
+    f"CASE WHEN r < 0.4 THEN {_C} - {_C} * 9.0 / 32.0 / 0.2 * r ELSE 0.75 * {_C} * i * (1 + 0.08 / 3.0 * i * i) END",
+    f"CASE WHEN r < 0.4 THEN {_C} * 3.0 / 32.0 / 0.2 * r ELSE 0.75 * {_C} * i * (1 - 0.08 * i * i) END",
+)
+
+
+@query(_vector_sql(*_RPY))
 def nbody_rpy(spark, sf_dir):
     p = points(spark, sf_dir)
     return rounded(nbody.vector_sum(p, p, kernels.rpy), "vx", "vy", "vz", digits=6)
@@ -95,19 +101,6 @@ def kernel_gauss_thin(spark, sf_dir):
     return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.gauss_array(2.0), 0.01, rows=64, tolerance=1e-12), "v", digits=6)
 
 
-@query("""WITH k AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE label = 3),
-  u AS (SELECT a, b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS r2 FROM k a CROSS JOIN k b),
-  t AS (SELECT a, b, CASE WHEN r2 = 0 THEN 0 ELSE 1 / sqrt(r2) END AS i, CASE WHEN r2 = 0 THEN 1.0 / (6.0 * pi() * 0.125) ELSE 1 / sqrt(r2) / (6.0 * pi() * 0.125) * 0.25 * 0.75 END AS t1 FROM u),
-  d AS (SELECT a.id AS ia, b.id AS ib, t1, unnest([0, 1, 2]) AS k, [(a.x - b.x) * i, (a.y - b.y) * i, (a.z - b.z) * i] AS e FROM t),
-  f AS (SELECT *, unnest([0, 1, 2]) AS l FROM d)
-  SELECT ia * 3 + k AS i, ib * 3 + l AS j, round(t1 * e[k + 1] * e[l + 1] + CASE WHEN k = l THEN t1 ELSE 0 END, 8) AS v FROM f""")
-def stokes_matrix(spark, sf_dir):
-    """The kernel matrix of the points of one label."""
-    e = [F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")]
-    p = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"), *e)
-    return rounded(nbody.stokes_matrix(p), "v", digits=8)
-
-
 @query()
 def stokes_matrix_whole(spark, sf_dir):
     """The kernel matrix of all points."""
@@ -119,12 +112,19 @@ def _symmetric_vectors(spark, sf_dir, kernel):
     return rounded(nbody.symmetric_vector_sum(p.where("id % 2 = 0"), p.where("id % 2 = 1"), kernel), "vx", "vy", "vz", digits=6)
 
 
-@query()
+def _both_sides(t1: str, t2: str) -> str:
+    """Even points under odd ones and the other way round, each from its own sweep."""
+    one = _vector_sql(t1, t2)
+    half = lambda side, here, there: one.replace("CROSS JOIN p b)", f"CROSS JOIN p b WHERE a.id % 2 = {here} AND b.id % 2 = {there})").replace("SELECT a.id AS id,", f"SELECT '{side}' AS side, a.id AS id,").replace("GROUP BY 1", "GROUP BY 1, 2")
+    return f"SELECT * FROM ({half('left', 0, 1)}) UNION ALL SELECT * FROM ({half('right', 1, 0)})"
+
+
+@query(_both_sides(*_RPY))
 def nbody_rpy_symm(spark, sf_dir):
     """Even and odd points as the two sets."""
     return _symmetric_vectors(spark, sf_dir, kernels.rpy)
 
 
-@query()
+@query(_both_sides(_ST, _ST))
 def nbody_stokes_symm(spark, sf_dir):
     return _symmetric_vectors(spark, sf_dir, kernels.stokes)
