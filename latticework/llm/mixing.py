@@ -99,12 +99,13 @@ def _buckets_before(hashed: DataFrame, bits: int) -> DataFrame:
     return within.join(starts, ["key", "range"]).select("key", "bucket", (F.col("inner") + F.col("outer")).alias("bucket_start"))
 
 
-_ROW = ["key", "bucket", "row", "id", "size", "source_size", "target", "text_hash", "occurrence"]
+_ROW = ["key", "bucket", "row", "id", "size", "source_size", "target", "text_hash", "whole", "occurrence"]
 
 
-def _pieces(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int, block_words: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """One row a piece of a document's copy that met a slot (copy, slot, words), and at least one row a document."""
-    sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+def _pieces(docs: DataFrame, whole: Column, weights: tuple[int, ...], share: float, max_repeats: int, block_words: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row a piece of a document's copy that met a slot (copy, slot, words), and at least one row a document. ``whole`` tells rows apart
+    that agree in id, source and text."""
+    sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), whole.alias("whole"))
     sizes, _ = written(sizes, "sizes")  # texts are read once
     rows = sizes.count()
     bits = max(0, (rows // ROWS_A_BUCKET).bit_length())
@@ -114,7 +115,7 @@ def _pieces(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeats
     named = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("~"), F.col("text_hash")), F.lit(""))
     hashed = sizes.withColumn("key", _source_key(F.col("source"))).withColumn("hash", F.md5(F.concat(named, F.lit(":" + seed))))
     hashed = hashed.withColumn("bucket", F.shiftright(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), 32 - bits))
-    in_bucket = W.partitionBy("key", "bucket").orderBy("hash", "id", "size", "text_hash")
+    in_bucket = W.partitionBy("key", "bucket").orderBy("hash", "id", "size", "text_hash", "whole")
     placed = hashed.withColumn("row", F.row_number().over(in_bucket)).withColumn("before", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("occurrence", F.row_number().over(W.partitionBy("key", "bucket", "hash", "id", "size", "text_hash").orderBy("row")))
     of_source = goals.drop("source", "weight").join(firsts, "key", "left")
@@ -137,7 +138,7 @@ def _pieces(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeats
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, block_words: int = 1024, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: id, size, source_size, target (its source's), taken, first_slot (null if not taken), and two columns
     that tell rows of one id apart: text_hash and occurrence (1, 2, ... among equal id, source and text)."""
-    pieces = _pieces(docs, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col)
+    pieces = _pieces(docs, F.lit(0).cast("long"), weights, share, max_repeats, block_words, seed, id_col, text_col, source_col)
     done = pieces.groupBy(*_ROW).agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot", "key", "text_hash", "occurrence")
 
@@ -146,21 +147,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     """The mix itself, with the columns of ``docs``: a row for each copy of a document, whole or (one document of a source
     at most) its first words. Rows stand by the slot in which their copy begins, then by id: in each partition, or over all of them with
     ``ordered``, which costs a shuffle of the texts."""
-    pieces = _pieces(docs, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col).where("words > 0")
-    # a copy begins in its block of the least rank; blocks of later ranks may have earlier slots
-    copies = pieces.groupBy("id", "key", "text_hash", "occurrence", "size", "copy").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
-    plan = copies.groupBy("id", "key", "text_hash", "occurrence", "size").agg(F.collect_list(F.struct("slot", "copy", "words")).alias("copies"))  # max_repeats at most
-    plan = plan.select(F.struct("id", "key", "text_hash", "occurrence").alias("plan"), "copies", "size")
-    same = F.struct(F.col(id_col).cast("long").alias("id"), _source_key(F.col(source_col)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), same.alias("same"), F.xxhash64(*docs.columns).alias("whole"))
-    # rows that agree in id, source and text are told apart by all their columns; those that agree in all are alike
-    given = given.withColumn("occurrence", F.row_number().over(W.partitionBy("same").orderBy("whole")))
-    where = [F.col(f"same.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in ("id", "key", "text_hash")]
-    both = given.join(plan, where[0] & where[1] & where[2] & (F.col("occurrence") == F.col("plan.occurrence")))
-    each = both.select("doc", "same", "size", F.explode("copies").alias("copy")).select("doc", "same", "size", "copy.*")
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    pieces = _pieces(docs, whole, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col).where("words > 0")
+    copies = pieces.groupBy(*_ROW, "copy").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).select("id", "text_hash", "whole", "size", "copy", "words", "slot")
+    # rows that agree in all columns are one row here: the plan has a copy for each time that any of them is taken. The texts are shuffled
+    # once, as the join's keys are the window's
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), whole.alias("whole"))
+    keys = ["whole", "text_hash"]
+    given = given.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))).where("n = 1").drop("n")
+    each = given.join(copies, keys)
     text = F.col("doc").getField(text_col)
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("words").cast("int")), "")
-    order = ["slot", "same.id", "same.text_hash", "copy"]
+    order = ["slot", "id", "text_hash", "whole", "copy"]
     each = each.repartitionByRange(*order).sortWithinPartitions(*order) if ordered else each.sortWithinPartitions(*order)
     return each.select(*[(F.when(F.col("words") < F.col("size"), first).otherwise(text) if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
