@@ -189,3 +189,73 @@ def test_generators_repeat(spark):
     assert all(0 <= r["i"] < 20 and 0 <= r["j"] < 30 for r in a)
     assert all(0 <= r["x"] < 1 for r in generators.random_points(spark, 50).collect())
     assert abs(np.mean([r["v"] for r in generators.centred(spark, 2000).collect()])) < 0.05
+
+
+def test_eight_bit_rounding_is_the_nearest_of_all_values(spark):
+    values = sorted({(1 + m / 8) * 2.0**e for e in range(-6, 9) for m in range(8) if (e, m) != (8, 7)} | {m / 8 * 2.0**-6 for m in range(8)})
+    rng = np.random.default_rng(1)
+    xs = [float(x) for x in np.r_[values, -np.array(values), rng.normal(size=300) * 10, rng.normal(size=100) * 0.01, 460.0, 470.0]]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k long, x double").select("k", mixed.round_e4m3(F.col("x")).alias("v")).orderBy("k").select("v").collect()]
+    for x, y in zip(xs, got):
+        if abs(x) > 464:  # half-way to what would follow 448
+            assert np.isnan(y)
+        else:
+            assert abs(abs(y) - abs(x)) == min(abs(abs(x) - v) for v in values) and abs(y) in values, (x, y)
+
+
+def test_splits_on_grids_are_shifts(spark):
+    """Rounding to a grid leaves what adding and taking away a large power of two does."""
+    rng = np.random.default_rng(2)
+    xs = [float(x) for x in np.abs(rng.normal(size=200)) * 7]
+    df, exponents = mixed.split_shift(spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k long, x double"), "x", 3, 4)
+    got = np.array([[r["s0"], r["s1"], r["s2"]] for r in df.orderBy("k").collect()])
+    rest = np.array(xs)
+    for level in range(3):
+        tau = int(np.ceil(np.log2(rest.max())))
+        sigma = 2.0 ** (np.ceil(53 - min(10, (24 - 2) / 2)) + tau)
+        kept = (rest + sigma) - sigma
+        assert exponents[level] == tau and np.array_equal(got[:, level], kept * 2.0**-tau)
+        rest = rest - kept
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 1e-10])
+def test_kernel_products_over_many_blocks(spark, tolerance):
+    from latticework.functions import kernels
+
+    rng = np.random.default_rng(3)
+    x, q = rng.random((700, 3)) * 4, rng.normal(size=700)
+    df = spark.createDataFrame([(k, [float(a) for a in p], float(w)) for k, (p, w) in enumerate(zip(x, q))], "id long, p array<double>, q double").repartition(3)
+    got = {r["id"]: r["v"] for r in nbody.kernel_matvec(df, kernels.gauss_array(2.0), 0.1, rows=90, tolerance=tolerance).collect()}
+    a = np.exp(-((x[:, None] - x[None, :]) ** 2).sum(2) / 4.0)
+    np.fill_diagonal(a, 1.1)
+    assert np.allclose([got[k] for k in range(700)], a @ q, atol=1e-7)
+
+
+def test_thin_factors_of_far_blocks():
+    entry = lambda a, b: 1.0 / np.sqrt(((a[:, None] - b[None, :]) ** 2).sum(2))
+    rng = np.random.default_rng(4)
+    a, b = rng.random((200, 3)), rng.random((150, 3)) + [5.0, 0, 0]
+    u, v = nbody.thin_factors(a, b, entry, 1e-9)
+    assert u.shape[1] < 30 and np.abs(u @ v.T - entry(a, b)).max() < 1e-7
+    assert nbody.thin_factors(a, a + 1e-3, lambda x, y: rng.normal(size=(len(x), len(y))), 1e-9) is None
+
+
+def test_inverse_of_a_stencil_on_its_own_cells():
+    from latticework.operators import grid
+
+    c = np.zeros((3, 3, 3))
+    c[1, 1, 1] = 6.5
+    for axis in range(3):
+        for s in (0, 2):
+            at = [1, 1, 1]
+            at[axis] = s
+            c[tuple(at)] = -1.0
+    got = grid.support_inverse_stencil((7, 8, 9), c)
+    cells = [tuple(p) for p in np.argwhere(c != 0)]
+    full = np.zeros((7, 7))
+    for i, p in enumerate(cells):
+        for j, q in enumerate(cells):
+            d = tuple(np.array(p) - np.array(q) + 1)
+            full[i, j] = c[d] if all(0 <= k < 3 for k in d) else 0.0
+    want = np.linalg.inv(full)[:, cells.index((1, 1, 1))]
+    assert np.allclose([got[p] for p in cells], want) and (got != 0).sum() == 7

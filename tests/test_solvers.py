@@ -187,3 +187,28 @@ def test_dense_queries_take_whole_vectors(spark, tmp_path):
     assert sorted(q["column"] for q in r) == list(range(40)) and np.prod([q["diagonal"] for q in r[:39]]) > 0 and r[39]["diagonal"] < 1e-6
     kernels = {q["kernel"]: q["residual"] for q in dense.dense_kernels(spark, str(tmp_path)).collect()}
     assert len(kernels) == 7 and max(kernels.values()) < 1e-6
+
+
+def test_multigrid_with_a_large_coarsest_grid(spark, monkeypatch):
+    """Where the coarsest grid is above the bound and odd, conjugate gradients solve it."""
+    monkeypatch.setattr(solve, "COARSEST", 5)
+    m = solve.Multigrid(spark, (6, 6, 2), (1, 1, 1), (2.0, 2.0, 2.0), 1, 1)
+    assert m.coarse is None and len(m.m) == 1
+    b = spark.range(72).select(F.col("id").alias("i"), (F.col("id") % 7 - 3).cast("double").alias("v"))
+    s = m.solve(b, 1e-2, 6)
+    assert s.residuals[-1] < 0.5 * s.residuals[0]
+
+
+def test_states_of_a_solver_are_dropped(spark, tmp_path):
+    import os
+
+    from latticework.operators import grid
+    from latticework.tables import shared_dir
+
+    a = grid.laplacian_coo(spark, (3, 3, 3), (1, 1, 1), (1.0, 1.0, 1.0), 1).withColumn("v", -F.col("v"))
+    b = spark.range(27).select(F.col("id").alias("i"), (F.col("id") % 5).cast("double").alias("v"))
+    folder = shared_dir(spark).removeprefix("file://")
+    before = len(os.listdir(folder))
+    s = solve.conjugate_gradient(solve.operator(a), b, 1e-8, 30)
+    assert s.converged and s.iterations > 3 and len(os.listdir(folder)) - before <= 4
+    assert s.x.count() == 27
