@@ -220,9 +220,8 @@ class Bpe:
         fresh: set[str] = set()
         for words in parts:
             fresh.update(words)
-        fresh.difference_update(known)
-        if fresh:
-            new = list(fresh)
+        new = [w for w in fresh if w not in known]
+        if new:
             known.update(zip(new, self.merge([w.encode() for w in new])))
         look = known.__getitem__
         return [b"".join(map(look, words)) for words in parts]

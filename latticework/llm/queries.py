@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import bpe, embedding_dedup, licenses, mixing, pii, search, simhash, token_count, token_file, toxicity
+from latticework.llm import bpe, conversations, embedding_dedup, licenses, mixing, packing, pii, search, simhash, token_count, token_file, toxicity
 
 
 #: The queries' key; a deployment gives its own secret.
@@ -61,9 +61,17 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing, op10_search)}
+    return {f.__name__: f for f in (op1_licenses, op2_token_file, op3_token_counts, op4_embeddings, op5_toxicity, op6_pii, op7_simhash, op8_bpe, op9_mixing, op10_search, op11_conversations, op12_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": embedding_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op10_search": search.ORACLE}
+    return {"op4_embeddings": embedding_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op10_search": search.ORACLE, "op11_conversations": conversations.ORACLE}
