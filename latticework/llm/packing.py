@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from latticework.llm.bpe import loaded
 from latticework.llm.common import release, text_or_empty, written
 
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
 
 _PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, k long"
 
