@@ -136,9 +136,9 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str) -> Data
     return dealt.join(before, "_p").withColumn(out, within + F.col("_b")).drop("_p", "_b")
 
 
-def equal_split(df: DataFrame, order: str, parts: int) -> DataFrame:
+def equal_split(df: DataFrame, order: str | list[str], parts: int) -> DataFrame:
     """Rows in order (no ties) dealt into equal runs, the first ones with the remainder: column ``part`` from 1."""
-    ranked = running_total(df.withColumn("_one", F.lit(1)), [order], "_one", "_r")
+    ranked = running_total(df.withColumn("_one", F.lit(1)), [order] if isinstance(order, str) else order, "_one", "_r")
     total = ranked.agg(F.count(F.lit(1))).first()[0]
     size, rest = divmod(total, parts)
     at = F.col("_r") - 1

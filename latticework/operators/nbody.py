@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import kernels
+from latticework.operators.trees import kd_tree
 from latticework.tables import n_partitions
 
 
@@ -96,13 +97,15 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _block_pairs(points: DataFrame, rows: int) -> DataFrame:
-    """(i, j, block, id, p, q): each point with each block, blocks in order of the first coordinate, so that far ones are far."""
-    blocks = max(1, -(-points.count() // rows))
-    cuts = points.agg(F.percentile_approx(F.col("p")[0], F.array(*[F.lit((k + 1) / blocks) for k in range(blocks - 1)]), F.lit(100 * blocks))).first()[0] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
-    block = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("p")[0])) if cuts else F.lit(0)
-    dealt = points.select(block.alias("block"), "id", "p", "q", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("other"))
+def _block_pairs(points: DataFrame, rows: int, apart: bool) -> DataFrame:
+    """(i, j, block, id, p, q): each point with each block. Where blocks are to be ``apart`` they are leaves of a k-d tree, else any even ones."""
+    if apart:
+        dealt, levels = kd_tree(points, rows)
+        dealt, blocks = dealt.withColumnRenamed("leaf", "block"), 1 << levels
+    else:
+        blocks = max(1, -(-points.count() // rows))
+        dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = dealt.select("block", "id", "p", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
     return dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "p", "q")
 
 
@@ -132,10 +135,11 @@ def thin_factors(a: np.ndarray, b: np.ndarray, entry, tolerance: float) -> tuple
 
 
 def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], mu: float = 0.0, rows: int = 2048, tolerance: float = 0.0) -> DataFrame:
-    """Per point of (id, p, q) the sum of kernel(r^2) q over all, the diagonal being 1 + mu: rows (id, v). ``kernel`` takes and
+    """Per point of (id, p, q) the sum of kernel(r^2) q over all, the diagonal being 1 + mu: rows (id, v, thin). ``kernel`` takes and
     gives numpy arrays; ids are unique. A pair of blocks is one task's step and serves both: memory is that of one tile.
 
-    With a positive ``tolerance`` a pair of different blocks is compressed to two thin factors first, where their rank allows."""
+    With a positive ``tolerance`` blocks are leaves of a k-d tree, and a pair of different ones is compressed to two thin factors first,
+    where their rank allows; ``thin`` counts the blocks that a point met so."""
     spark = points.sparkSession
     given = points.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"), F.col("q").cast("double").alias("q"))
 
@@ -151,21 +155,21 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
             for at in range(0, len(ids), 1024):  # the diagonal is set, not computed
                 tile = entry(p[at : at + 1024], p)
                 tile[np.arange(len(tile)), np.arange(at, at + len(tile))] = 1.0 + mu
-                yield ids[at : at + 1024], tile @ q
+                yield ids[at : at + 1024], tile @ q, 0
             return
         thin = thin_factors(p[a], p[b], entry, tolerance) if tolerance > 0 else None
         if thin is not None:
             u, v = thin
-            yield ids[a], u @ (v.T @ q[b])
-            yield ids[b], v @ (u.T @ q[a])
+            yield ids[a], u @ (v.T @ q[b]), 1
+            yield ids[b], v @ (u.T @ q[a]), 1
             return
         back = np.zeros(len(b))
         for at in range(0, len(a), 1024):
             part = a[at : at + 1024]
             tile = entry(p[part], p[b])
-            yield ids[part], tile @ q[b]
+            yield ids[part], tile @ q[b], 0
             back += tile.T @ q[part]
-        yield ids[b], back
+        yield ids[b], back, 0
 
     def run(batches):
         key, held = None, ([], [], [], [])
@@ -177,7 +181,7 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if key != (i[lo], j[lo]):
                     if held[0]:
-                        yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v)], names=["id", "v"]) for x, v in products(key, held))
+                        yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v), pa.array([thin] * len(x), pa.int64())], names=["id", "v", "thin"]) for x, v, thin in products(key, held))
                     key, held = (i[lo], j[lo]), ([], [], [], [])
                 part = batch.slice(lo, hi - lo)
                 for h, c in zip(held, ("block", "id", "p", "q")):
@@ -185,10 +189,10 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
                     h.append((column.flatten() if c == "p" else column).to_numpy(zero_copy_only=False).copy())
                 held[2][-1] = held[2][-1].reshape(hi - lo, -1)
         if held[0]:
-            yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v)], names=["id", "v"]) for x, v in products(key, held))
+            yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v), pa.array([thin] * len(x), pa.int64())], names=["id", "v", "thin"]) for x, v, thin in products(key, held))
 
-    met = _block_pairs(given, rows).repartition(n_partitions(spark, points), "i", "j").sortWithinPartitions("i", "j", "block")
-    return met.mapInArrow(run, "id long, v double").groupBy("id").agg(F.sum("v").alias("v"))
+    met = _block_pairs(given, rows, tolerance > 0).repartition(n_partitions(spark, points), "i", "j").sortWithinPartitions("i", "j", "block")
+    return met.mapInArrow(run, "id long, v double, thin long").groupBy("id").agg(F.sum("v").alias("v"), F.sum("thin").alias("thin"))
 
 
 def kernel_matrix(points: DataFrame, kernel: Callable[[Column], Column], mu: float = 0.0, blocks: int | None = None) -> DataFrame:

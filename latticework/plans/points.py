@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import kernels
-from latticework.operators import nbody
+from latticework.operators import nbody, nested, solve, trees
 from latticework.plans.linear import rounded
 from latticework.plans.registry import query
 from latticework.tables import table
@@ -87,18 +87,76 @@ def _kernel_points(spark, sf_dir):
 
 @query(_kernel_sql("exp(-r2 / 4.0)"))
 def kernel_gauss_mv(spark, sf_dir):
-    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.gauss_array(2.0), 0.01), "v", digits=6)
+    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.gauss_array(2.0), 0.01).drop("thin"), "v", digits=6)
 
 
 @query(_kernel_sql("(1 + sqrt(3.0) * sqrt(r2) / 2.0) * exp(-sqrt(3.0) * sqrt(r2) / 2.0)"))
 def kernel_matern_mv(spark, sf_dir):
-    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.matern32_array(2.0), 0.01), "v", digits=6)
+    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.matern32_array(2.0), 0.01).drop("thin"), "v", digits=6)
 
 
-@query(_kernel_sql("exp(-r2 / 4.0)"))
+#: the first three coordinates, where kernel blocks are of low rank
+_K3 = _KP.replace("embedding::DOUBLE[]", "embedding[1:3]::DOUBLE[]")
+
+
+def _kernel_points3(spark, sf_dir):
+    return _kernel_points(spark, sf_dir).withColumn("p", F.slice("p", 1, 3))
+
+
+@query(_kernel_sql("exp(-r2 / 4.0)").replace(_KP, _K3).replace("END), 6)", "END), 4)").replace("AS v FROM w", "AS v, true AS compressed FROM w"))
 def kernel_gauss_thin(spark, sf_dir):
-    """The same with blocks of 64 points and thin factors of those apart."""
-    return rounded(nbody.kernel_matvec(_kernel_points(spark, sf_dir), kernels.gauss_array(2.0), 0.01, rows=64, tolerance=1e-12), "v", digits=6)
+    """Blocks of at most 128 points of a k-d tree, and thin factors of pairs of them; ``compressed`` is whether a point met one by thin factors."""
+    made = nbody.kernel_matvec(_kernel_points3(spark, sf_dir), kernels.gauss_array(2.0), 0.01, rows=128, tolerance=1e-11)
+    return rounded(made, "v", digits=4).select("id", "v", (F.col("thin") > 0).alias("compressed"))
+
+
+def _split(before: str, level: int, axis: int) -> str:
+    """The next level of the tree: ranks in the order of nodes and one coordinate, and the node that each falls in."""
+    return f"(SELECT id, p, (row_number() OVER (ORDER BY leaf, p[{axis + 1}], id) - 1) * {2 << level} // count(*) OVER () AS leaf FROM {before})"
+
+
+@query(f"SELECT id, leaf::BIGINT AS leaf FROM {_split(_split(_split(f'(SELECT id, p, 0 AS leaf FROM ({_K3}))', 0, 0), 1, 1), 2, 2)}")
+def kd_leaves(spark, sf_dir):
+    """Eight leaves of a k-d tree; the first two levels by sorted ranges, the last in a task a node."""
+    points = _kernel_points3(spark, sf_dir)
+    return trees.kd_tree(points, levels=3, axes=[0, 1, 2], task_rows=max(1, points.count() // 4))[0].select("id", "leaf")
+
+
+@query(f"""WITH k AS ({_K3}), l AS (SELECT id, p, leaf FROM {_split(_split(_split('(SELECT id, p, 0 AS leaf FROM k)', 0, 0), 1, 1), 2, 2)})
+  SELECT leaf::BIGINT AS leaf, count(*) AS n, {", ".join(f"{f}(p[{k}]) AS {f}{k}" for k in (1, 2, 3) for f in ("min", "max"))} FROM l GROUP BY 1""")
+def kd_boxes(spark, sf_dir):
+    """Each leaf's size and box."""
+    tree, _ = trees.kd_tree(_kernel_points3(spark, sf_dir), levels=3, axes=[0, 1, 2])
+    sides = [f(F.col("p")[k - 1]).alias(f"{name}{k}") for k in (1, 2, 3) for name, f in (("min", F.min), ("max", F.max))]
+    return tree.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *sides)
+
+
+@query(_kernel_sql("exp(-r2 / 4.0)").replace(_KP, _K3).replace("END), 6)", "END), 4)").replace("AS v FROM w", "AS v, true AS compressed FROM w"))
+def nested_product(spark, sf_dir):
+    """The kernel matrix as nested low-rank blocks; ``compressed``: nodes have bases smaller than they are, and all take fewer
+    numbers than half of the dense matrix where there are 2,000 points or more."""
+    points = _kernel_points3(spark, sf_dir)
+    made = nested.nested_kernel(points, kernels.gauss_array(2.0), 0.01, leaf_rows=64, tolerance=1e-11)
+    kept = made.storage().agg(F.sum("compressed").alias("n"), F.sum("stored").alias("stored")).first()
+    n = points.count()
+    small = kept["n"] > 0 and (n < 2000 or kept["stored"] < n * n / 2)
+    return rounded(made.apply(points.select(F.col("id").alias("i"), F.col("q").alias("v"))), "v", digits=4).select(F.col("i").alias("id"), "v", F.lit(small).alias("compressed"))
+
+
+@query("SELECT vec_id AS id, round((vec_id % 7)::DOUBLE, 5) AS v, true AS few FROM embeddings")
+def nested_solve(spark, sf_dir):
+    """K x = q by conjugate gradients on the exact product, preconditioned by the inverse of a coarser nested form: K x is given back,
+    and ``few``: it took at most eight steps."""
+    points = _kernel_points3(spark, sf_dir)
+    b = points.select(F.col("id").alias("i"), F.col("q").alias("v"))
+
+    def exact(x):
+        met = points.drop("q").join(x.select(F.col("i").alias("id"), F.col("v").alias("q")), "id")
+        return nbody.kernel_matvec(met, kernels.gauss_array(2.0), 0.01).select(F.col("id").alias("i"), "v")
+
+    inverse = nested.nested_kernel(points, kernels.gauss_array(2.0), 0.01, leaf_rows=128, tolerance=1e-8).inverse()
+    found = solve.conjugate_gradient(exact, b, 1e-9, 20, precondition=inverse.apply)
+    return rounded(exact(found.x), "v", digits=5).select(F.col("i").alias("id"), F.col("v") + 0.0, F.lit(found.converged and found.iterations <= 8).alias("few")).toDF("id", "v", "few")
 
 
 @query()

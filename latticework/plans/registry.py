@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return put
 
 
-_MODULES = ("linear", "points", "grids", "blocks", "solvers", "dense", "channel", "files")
+_MODULES = ("linear", "points", "grids", "blocks", "solvers", "dense", "channel", "files", "jobs")
 
 
 def _load() -> None:

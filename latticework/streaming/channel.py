@@ -63,3 +63,34 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def in_order(messages: DataFrame) -> DataFrame:
+    """Messages (channel, number, value) released in the order of their numbers, from 0 in each channel, with ``total``, the sum so far.
+
+    A stateful consumer: a channel's state is the next number, its sum, and the messages that came before their turn; what has come before is
+    released in runs, and what comes again is dropped. The state is as large as arrivals are out of order: a producer that
+    keeps to its credits (next + ring size) never has more than a ring of messages out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def release(key, frames, state):
+        after, total, numbers, values = state.get if state.exists else (0, 0.0, [], [])
+        number, value = np.array(numbers, np.int64), np.array(values, np.float64)
+        for frame in frames:
+            number = np.concatenate([number, frame["number"].to_numpy()])
+            value = np.concatenate([value, frame["value"].to_numpy()])
+            number, first = np.unique(number, return_index=True)  # ascending, each once
+            value = value[first]
+            number, value = number[number >= after], value[number >= after]
+            run = int((number == after + np.arange(len(number))).sum())
+            if run:
+                sums = np.cumsum(np.concatenate([[total], value[:run]]))[1:]
+                yield pd.DataFrame({"channel": key[0], "number": number[:run], "value": value[:run], "total": sums})
+                after, total, number, value = after + run, float(sums[-1]), number[run:], value[run:]
+        state.update((int(after), float(total), number.tolist(), value.tolist()))
+
+    return messages.groupBy("channel").applyInPandasWithState(
+        release, "channel long, number long, value double, total double", "after long, total double, numbers array<long>, values array<double>", "append", "NoTimeout"
+    )

@@ -8,8 +8,6 @@ from latticework.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: many jobs each; tests/test_solvers.py covers them on smaller systems
-SLOW = {"bicgstab", "pcg", "aar", "gmres", "multigrid"}
 
 duckdb = pytest.importorskip("duckdb")
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -46,7 +44,7 @@ def test_matches_sql(spark, db, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
