@@ -2,8 +2,9 @@
 
 Found: e-mail addresses (name and domain, all but the last label), telephone numbers (North American ones with separators or of ten digits, international
 ones behind a plus), card numbers (Luhn), IBANs (mod 97), social security numbers (valid
-ranges; without hyphens behind "SSN" or "social security"), IPv4 and IPv6 addresses, calendar dates and credentials (access key ids, values assigned to password, token, secret or
-api key). A value is read as a number below the count of values of its format (mixed radix: a digit for a digit, a
+ranges; without hyphens behind "SSN" or "social security"), IPv4 and IPv6 addresses, calendar dates (in figures, or with the month's name, which stays) and credentials (access key ids, known
+beginnings of tokens, what stands behind "Bearer", and values assigned to names with password, token, secret, api key or access key, up to white space or
+a quote). Values of any length are replaced whole. A value is read as a number below the count of values of its format (mixed radix: a digit for a digit, a
 letter for a letter of the same case, a day for a day), which a Feistel network over two halves permutes:
 ten rounds of modular addition of a keyed hash of the other half, walking on while the result is out of range. The
 pseudonym of x is P^-1(P(x) + 1), which no value has for itself. Check digits are made anew, so validated
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 from latticework.llm.common import kept
 
 ROUNDS = 10
+LONGEST = 128  # characters that one permutation takes; longer values take several
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -133,12 +135,18 @@ class Pseudonyms:
     def characters(self, kind: str, value: str, hexadecimal: bool = False) -> str:
         """A letter for a letter, a digit for a digit; the rest and non-ASCII letters stay."""
         flat = "".join(c for c in value if c.isascii() and c.isalnum()).lower()
+        out, label = "", kind
+        for at in range(0, len(flat), LONGEST):  # what comes after is permuted as what comes before asks for, so the whole is one to one
+            part = flat[at : at + LONGEST]
+            if hexadecimal:
+                out += "".join(f"{d:x}" for d in self.mixed(label, [int(c, 16) for c in part], [16] * len(part)))
+            else:
+                base = [10 if c.isdigit() else 26 for c in part]
+                got = self.mixed(label, [int(c) if c.isdigit() else ord(c) - 97 for c in part], base)
+                out += "".join(str(d) if r == 10 else chr(97 + d) for d, r in zip(got, base))
+            label = f"{kind}|{hashlib.blake2b(flat[: at + LONGEST].encode(), key=self.key[:64], digest_size=16).hexdigest()}"
         if hexadecimal:
-            out = "".join(f"{d:x}" for d in self.mixed(kind, [int(c, 16) for c in flat], [16] * len(flat)))
             return out if value == value.lower() else out.upper()
-        base = [10 if c.isdigit() else 26 for c in flat]
-        got = self.mixed(kind, [int(c) if c.isdigit() else ord(c) - 97 for c in flat], base) if flat else []
-        out = "".join(str(d) if r == 10 else chr(97 + d) for d, r in zip(got, base))
         it = iter(out)
         return "".join((n.upper() if c.isupper() else n) if c.isascii() and c.isalnum() and (n := next(it)) else c for c in value)
 
@@ -153,7 +161,7 @@ class Pseudonyms:
         digits = [int(c) for c in text if c.isdigit()]
         if text[0] == "+" and not 8 <= len(digits) <= 15:
             return None
-        own = min(10, len(digits) - 1) if text[0] == "+" else 10  # what is before is the country
+        own = min(10, len(digits) - 1) if text[0] in "+0" else 10  # what is before is the country, or the zero of national numbers
         return refill(text, "".join(map(str, digits[:-own] + self.mixed("phone", digits[-own:], [10] * own))))
 
     def card(self, m: re.Match) -> str | None:
@@ -245,18 +253,58 @@ class Pseudonyms:
             if valid(x, y, z):
                 return f"{x}{sep}{y}{sep}{z:04d}"
 
+    def date_short_year(self, m: re.Match) -> str | None:
+        """A date whose year has two digits, of which 00 to 68 are this century's: another of the same widths."""
+        a, b, c = m["x"], m["y"], m["z"]
+        century = lambda z: 2000 + z if z < 69 else 1900 + z
+        valid = lambda x, y, z: _day(century(z), y, x) is not None or _day(century(z), x, y) is not None
+        x, y, z = int(a), int(b), int(c)
+        low = {1: (1, 9), 2: (1, 31)}
+        (a0, an), (b0, bn) = low[len(a)], low[len(b)]
+        if not valid(x, y, z) or x < a0 or y < b0:
+            return None
+        while True:
+            i, j, z = self.mixed("date_short_year", [x - a0, y - b0, z], [an, bn, 100])
+            x, y = i + a0, j + b0
+            if valid(x, y, z):
+                return f"{x:0{len(a)}d}/{y:0{len(b)}d}/{z:02d}"
+
+    def date_named(self, m: re.Match) -> str | None:
+        """A date with its month's name: another day and year of that month, with as many digits."""
+        month = MONTHS.index(m["month"][:3].lower()) + 1
+        which = "day" if m["day"] else "day2"
+        width, day, year = len(m[which]), int(m[which]), int(m["year"])
+        first, many = ((1, 9), (1, 31))[width - 1]
+        if _day(year, month, day) is None or day < first:
+            return None
+        while True:
+            d, z = self.mixed(f"date_named{month}", [day - first, year - 1900], [many, 200])
+            day, year = d + first, z + 1900
+            if _day(year, month, day) is not None:
+                text, at = m.group(), m.start()
+                places = sorted([(m.start(which) - at, m.end(which) - at, f"{day:0{width}d}"), (m.start("year") - at, m.end("year") - at, f"{year:04d}")])
+                (a, b, one), (c, e, two) = places
+                return text[:a] + one + text[b:c] + two + text[e:]
+
     def key_id(self, m: re.Match) -> str | None:
         return m.group()[:4] + self.characters("key", m.group()[4:])
 
+    def token(self, m: re.Match) -> str | None:
+        """A credential known by its beginning, which stays."""
+        at = m.start("value") - m.start()
+        return m.group()[:at] + self.characters("secret", m["value"])
+
     def secret(self, m: re.Match) -> str | None:
-        value = m["value"]
-        if len(value) < 8 and value.isalpha():
+        value = m["value"].rstrip(".,;:!?)]}>")
+        if len(value) < 6 or len(value) < 8 and value.isalpha():
             return None  # a word
         at = m.start("value") - m.start()
         plain = self.characters("secret", value, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None)
         return m.group()[:at] + plain + m.group()[at + len(value) :]
 
 
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
 # fixed values: characters of an IBAN by country
 _LENGTHS = (
     "15 NO 16 BE 18 DK FI FK FO GL NL SD 19 MK SI 20 AT BA EE KZ LT LU MN XK 21 CH HR LI LV 22 BG BH CR DE GB GE IE ME RS VA 23 AE GI IL IQ OM SO TL "
@@ -279,20 +327,23 @@ def _day(year: int, month: int, day: int) -> int | None:
 
 # fixed values: the patterns of the kinds, in the order in which ties are broken
 KINDS: list[tuple[str, str]] = [
-    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_\-]{6,200})"),
+    ("secret", r"(?<![A-Za-z])(?i:(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[_-][A-Za-z0-9_-]+|s)?)[\"']?[ \t]*[=:][ \t]*[\"']?(?P<value>[^\s\"'`]{6,})"),
     ("key_id", r"(?<![A-Za-z0-9])(?i:AKIA|ASIA)[A-Za-z0-9]{16}(?![A-Za-z0-9])"),
-    ("email", r"(?<![\w.+%\-])(?P<local>[\w.+%\-]{1,64})@(?P<domain>(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![\w\-])"),
+    ("token", r"(?<![A-Za-z0-9_-])(?:(?i:bearer)[ \t]+(?=[^\s\"']*[0-9])|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k[_-](?:live[_-]|test[_-])?(?=[A-Za-z0-9_-]*[0-9])|eyJ(?=[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))(?P<value>[A-Za-z0-9._~+/-]{16,})"),
+    ("email", r"(?<![\w.+%\-])(?P<local>[\w.+%\-]+)@(?P<domain>(?:[\w\-]+\.)+[^\W\d_]{2,})(?![\w\-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("phone", r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w\-])|\+[0-9](?:[ .\-]?[0-9]|[ .\-]?\([0-9]{1,4}\)){7,14}(?![\w\-]|[ .\-]?[0-9])|(?<![.\-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w\-]|\.[0-9]))"),
+    ("phone", r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w\-])|\+[0-9](?:[ .\-]?[0-9]|[ .\-]?\([0-9]{1,4}\)){7,14}(?![\w\-]|[ .\-]?[0-9])|(?<![.\-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w\-]|\.[0-9])|(?<![.\-])0[0-9]{2,4}[ \-][0-9]{3,4}[ \-][0-9]{3,4}(?![\w\-]|[ .\-]?[0-9]))"),
     ("ssn", r"(?<![\w\-])(?:(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})|(?i:SSN|social security(?: number| no\.?)?)[ \t]{0,3}[:#=]?[ \t]{0,3}(?P<plain>[0-9]{9}))(?![\w\-])"),
     ("card", r"(?<![\w.\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2,3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![\w\-])"),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"),
     ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.[0-9])|(?<![\w:.])[0-9A-Fa-f]{4}::[0-9A-Fa-f]{1,4}(?![\w:]|\.[0-9])"),
     ("date", r"(?<![\w.\-/])(?:([0-9]{4})([\-/.])([0-9]{2})([\-/.])([0-9]{2})|(?P<d>[0-9]{1,2})(?P<s>[\-/.])(?P<m>[0-9]{1,2})(?P<t>[\-/.])(?P<y>[0-9]{4}))(?:(?=[Tt][0-9]{2})|(?![\w\-/]|\.[0-9]))"),
+    ("date_short_year", r"(?<![\w.\-/])(?P<x>[0-9]{1,2})/(?P<y>[0-9]{1,2})/(?P<z>[0-9]{2})(?![\w\-/]|\.[0-9])"),
+    ("date_named", r"(?<![\w.\-/])(?:(?P<day>[0-9]{1,2})(?:st|nd|rd|th)? )?(?P<month>(?i:january|february|march|april|may|june|july|august|september|october|november|december|(?:jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\b\.?))(?(day)| (?P<day2>[0-9]{1,2})(?:st|nd|rd|th)?),? (?P<year>[0-9]{4})(?![\w\-/])"),
 ]
 _PATTERNS = [(k, re.compile(p)) for k, p in KINDS]
 _DIGIT = re.compile("[0-9]")
-_SIGN = re.compile(r"[0-9@=:]|(?i:AKIA|ASIA)")
+_SIGN = re.compile(r"[0-9@=:]|(?i:AKIA|ASIA)|eyJ|gh[pousr]_|glpat-|xox[abprs]-")
 
 
 def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, str]]]:
@@ -302,7 +353,7 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, st
     found: list[tuple[int, int, int, str]] = []
     digits = _DIGIT.search(text) is not None
     for k, (kind, pattern) in enumerate(_PATTERNS):
-        if (kind == "email" and "@" not in text) or (kind == "ip6" and ":" not in text) or (kind not in ("email", "secret", "key_id") and not digits):
+        if (kind == "email" and "@" not in text) or (kind == "ip6" and ":" not in text) or (kind not in ("email", "secret", "key_id", "token") and not digits):
             continue
         make: Callable = getattr(p, kind)
         if kind == "iban":
@@ -321,7 +372,7 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[int, int, st
             continue
         out += [text[at:start], new]
         at = -end
-        spans.append((start, at, KINDS[k][0]))
+        spans.append((start, at, "date" if KINDS[k][0].startswith("date") else KINDS[k][0]))
     return "".join([*out, text[at:]]), spans
 
 
