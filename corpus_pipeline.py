@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 one's ``docs``. The first four return the columns of ``documents``, and any others that ``docs`` has, whatever their names.
 
 Defined cases, for all stages: an empty table gives an empty result; null texts count as empty but stay null until the mix, which
-leaves out documents without words; very long texts are read whole; null and repeated ids are rows of their own.
+leaves out documents without words; maps are columns like others; very long texts are read whole; null and repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents repeated, whole, cut or left out as the schedule asks, in its order in each partition."""
-    mixed = mixing.mixed_documents(docs)
+    """The mix: whole documents, repeated or left out as the schedule asks, in its order in each partition. A source's words come to its
+    target within half a document."""
+    mixed = mixing.mixed_documents(docs, cut=False)
     if "n_chars" not in docs.columns:
         return mixed
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

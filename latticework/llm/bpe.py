@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from latticework.llm.common import kept, text_or_empty
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000  # some 200 bytes each
 WIDE = 128  # longer pre-tokens are merged one at a time
 NONE = np.iinfo(np.int64).max
 
@@ -43,6 +44,47 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _ranges(kind: str) -> str:
+    """The characters of the basic plane that the regex library has in a class, as ranges of a character set."""
+    inside, out, start = regex.compile(kind).match, [], None
+    for c in range(0x10001):
+        has = c < 0x10000 and not 0xD800 <= c <= 0xDFFF and inside(chr(c)) is not None
+        if has and start is None:
+            start = c
+        elif not has and start is not None:
+            out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
+            start = None
+    return "".join(out)
+
+
+def basic_plane(pattern: str) -> re.Pattern | None:
+    """The pattern for the standard library, which matches faster and the same on texts of the basic plane: its Unicode classes are written out
+    as the regex library has them. None where it has other classes than letters, numbers and white space."""
+    sets = {kind: _ranges(kind) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    out, in_set, at = [], False, 0
+    while at < len(pattern):
+        kind = next((k for k in (*sets, r"\S") if pattern.startswith(k, at)), None)
+        if kind == r"\S":
+            if in_set:
+                return None
+            out.append(f"[^{sets[r'\s']}]")
+        elif kind:
+            out.append(sets[kind] if in_set else f"[{sets[kind]}]")
+        elif pattern[at] == "\\":
+            return None
+        else:
+            in_set = pattern[at] == "[" or in_set and pattern[at] != "]"
+            out.append(pattern[at])
+        at += len(kind) if kind else 1
+    try:
+        return re.compile("".join(out))
+    except re.error:
+        return None
+
+
 class Bpe:
     """Byte-level BPE of a tokenizers JSON file (no normalizer, one split pattern)."""
 
@@ -53,6 +95,7 @@ class Bpe:
         letters = byte_alphabet()
         to_byte = {c: b for b, c in enumerate(letters)}
         self.split = regex.compile(pattern)
+        self.quick = basic_plane(pattern) or self.split
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.first = np.array([vocab[c] for c in letters], np.int64)
@@ -204,8 +247,9 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, split, parts = self.known, self.split.findall, []
+        known, astral, parts = self.known, ASTRAL.search, []
         for text in texts:
+            split = (self.quick if text.isascii() or astral(text) is None else self.split).findall
             if self.cut and any(s in text for s in self.special) and self.cut.search(text):
                 words: list[str] = []
                 for seg in self.cut.split(text):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.tables import drop_path, n_partitions, shared_dir, written
 
-__all__ = ["components", "drop_path", "kept", "local_forest", "n_partitions", "release", "shared_dir", "shrink_edges", "text_or_empty", "written"]
+__all__ = ["components", "drop_path", "kept", "local_forest", "n_partitions", "release", "row_key", "shared_dir", "shrink_edges", "text_or_empty", "written"]
 
 
 _KEPT: dict = {}
@@ -38,6 +39,13 @@ def release() -> None:
         trim(0)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Two 64-bit hashes of all columns, as a string: rows that agree in everything share them. Columns with maps count by their JSON text, as maps have no hash."""
+    maps = lambda kind: isinstance(kind, T.MapType) or any(maps(k) for k in ([kind.elementType] if isinstance(kind, T.ArrayType) else [f.dataType for f in kind] if isinstance(kind, T.StructType) else []))
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if maps(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit(" "), F.hex(F.xxhash64(F.lit("second"), *columns)))
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from latticework.llm.common import written
+from latticework.llm.common import row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
@@ -143,15 +143,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot", "key", "text_hash", "occurrence")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, block_words: int = 1024, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, block_words: int = 1024, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, cut: bool = True) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each copy of a document, whole or (one document of a source
-    at most) its first words. Rows stand by the slot in which their copy begins, then by id: in each partition, or over all of them with
+    at most) its first words; without ``cut`` that one is whole if half its words were asked for, else it is left out. Rows stand by the slot in which their copy begins, then by id: in each partition, or over all of them with
     ``ordered``, which costs a shuffle of the texts."""
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = row_key(docs)
     pieces = _pieces(docs, whole, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col).where("words > 0")
     copies = pieces.groupBy(*_ROW, "copy").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).select("id", "text_hash", "whole", "size", "copy", "words", "slot")
     # rows that agree in all columns are one row here: the plan has a copy for each time that any of them is taken. The texts are shuffled
     # once, as the join's keys are the window's
+    if not cut:
+        copies = copies.where(2 * F.col("words") >= F.col("size")).withColumn("words", F.col("size"))
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), whole.alias("whole"))
     keys = ["whole", "text_hash"]
     given = given.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))).where("n = 1").drop("n")

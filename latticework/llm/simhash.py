@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from latticework.llm.common import components, kept, n_partitions, shrink_edges, text_or_empty, written
+from latticework.llm.common import components, kept, n_partitions, row_key, shrink_edges, text_or_empty, written
 
 HEAVY = 48  # members of a variant from which the second signature is used
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -57,8 +57,8 @@ def fingerprint(text: str, words_per_shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
-    """Rows (id, fp) and, with ``key_col``, its long as key: fp is the fingerprint as a signed long."""
-    keys = [] if key_col is None else [F.col(key_col).cast("long").alias("key")]
+    """Rows (id, fp) and, with ``key_col``, its string as key: fp is the fingerprint as a signed long."""
+    keys = [] if key_col is None else [F.col(key_col).cast("string").alias("key")]
 
     def run(batches):
         kept("simhash", list)  # frees what another operator has kept
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *keys)
-    return given.mapInArrow(run, "id long, fp long" + (", key long" if keys else ""))
+    return given.mapInArrow(run, "id long, fp long" + (", key string" if keys else ""))
 
 
 def _bit_removed(value: Column, bit: Column) -> Column:
@@ -134,13 +134,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of ``docs`` from each component: that of its smallest id, rows without an id coming last. Rows count, not
-    ids: each has the hash of all its columns for a key, so only rows that agree in everything share one, and one of those stays. The
-    texts are shuffled once, to the chosen keys; columns may have any names. An empty table stays empty."""
+    ids: each has two hashes of all its columns for a key, so only rows that agree in everything share one, and one of those stays. The
+    texts are shuffled once, to the chosen keys; columns may have any names and types, maps among them. An empty table stays empty."""
     # the caller's columns travel in one, so none of their names can clash
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(docs).alias("key"))
     rows, _ = written(fingerprints(given, "id", "text", "key"), "fingerprints")
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("free"), "id", "key")).alias("first"))
     chosen = _with_components(first).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("chosen")).distinct()
     joined = given.select("doc", "key").join(chosen, F.col("key") == F.col("chosen"))
-    alike = joined.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("doc")))
+    alike = joined.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.lit(0))))
     return alike.where("n = 1").select("doc.*")

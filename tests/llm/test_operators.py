@@ -566,7 +566,12 @@ def test_pipeline_is_brute_force(spark, tmp_path):
     assert sorted(r["doc_id"] for r in stages[1]["rows"]) == sorted(set(comp.values()))
     assert not any(re.search(r"jo\d+@mail", r["text"]) for r in stages[2]["rows"]) and len(stages[2]["rows"]) == len(stages[1]["rows"])
     words = sum(len(r["text"].split()) for r in stages[2]["rows"])
-    assert abs(sum(len(r["text"].split()) for r in stages[3]["rows"]) - words) <= 8
+    longest = Counter()
+    for r in stages[2]["rows"]:
+        longest[r["source"]] = max(longest[r["source"]], len(r["text"].split()))
+    # documents are whole in the mix, so each source comes to its target within half of its longest document
+    assert abs(sum(len(r["text"].split()) for r in stages[3]["rows"]) - words) <= 8 + sum(longest.values()) / 2
+    assert {(r["doc_id"], r["text"]) for r in stages[3]["rows"]} <= {(r["doc_id"], r["text"]) for r in stages[2]["rows"]}
     assert all(r["n_chars"] == len(r["text"]) for r in stages[3]["rows"])
     own = bpe.Bpe(BYTE, public_tokenizers.PATTERN)
     want = sorted((r["doc_id"], len(own.encode([r["text"]])[0]) // 4, hashlib.sha256(r["text"].encode()).hexdigest()) for r in stages[3]["rows"])
@@ -825,3 +830,26 @@ def test_pipeline_stages_on_nothing_and_on_odd_columns(spark, tmp_path):
             docs = spark.createDataFrame(got, docs.schema)
         assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
         assert bool(got) == bool(given)
+
+
+def test_rows_with_maps_go_through_the_pipeline(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(k, f"text number {k} with words of its own {k * 7}", "en", "s", 1, {"a": k, "b": 2}, [{"m": {"x": k}}]) for k in (1, 2, 3)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, tags map<string,long>, more array<struct<m: map<string,long>>>")
+    for _name, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+    assert {(r["doc_id"], tuple(sorted(r["tags"].items()))) for r in docs.collect()} <= {(k, (("a", k), ("b", 2))) for k in (1, 2, 3)} and docs.count() >= 3
+
+
+def test_mixed_documents_are_whole_where_asked(spark):
+    rows = [(k, " ".join(["w%d" % k] * (5 + 13 * (k % 7))), "ab"[k % 5 == 0]) for k in range(60)]
+    docs = documents(spark, rows)
+    text = dict((k, t) for k, t, _ in rows)
+    exact, got = Counter(), Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        exact[r["source"]] += len(r["text"].split())
+    for r in mixing.mixed_documents(docs, cut=False).collect():
+        assert r["text"] == text[r["doc_id"]]
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - exact[s]) <= 42 for s in "ab")

@@ -309,3 +309,18 @@ def test_pieces_are_the_library(spark, monkeypatch):
 def test_packing_nothing(spark):
     got, plan = packing.pack(spark.createDataFrame([], DOCS), BYTE, public_tokenizers.PATTERN)
     assert got.collect() == [] and plan.sequences == 0
+
+
+def test_split_of_the_basic_plane_is_the_same():
+    """Each character of the basic plane beside letters, numbers, spaces, marks and itself, split by both libraries."""
+    import regex
+
+    from latticework.llm.bpe import basic_plane
+
+    quick, whole = basic_plane(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    assert quick is not None
+    for at in range(0, 0x10000, 64):
+        some = [chr(c) for c in range(at, at + 64) if not 0xD800 <= c <= 0xDFFF]
+        text = "".join(f"a{c}b {c}1{c}  {c}.{c}\n{c}{c} 's{c}'t {c}" for c in some)
+        assert quick.findall(text) == whole.findall(text)
+    assert basic_plane(r"\w+") is None and basic_plane(r"[\S]") is None
