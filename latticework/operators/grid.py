@@ -256,11 +256,13 @@ def support_inverse_stencil(shape: tuple[int, ...], coefficients):
     return out
 
 
-def jacobi_start(spark: SparkSession, nx: int, ny: int) -> DataFrame:
-    """Rows (x, y, v): zero inside, sin(2 pi y / (ny - 1)) on the left and right edges; y runs over ny rows that wrap."""
+def jacobi_start(spark: SparkSession, nx: int, ny: int, inner: DataFrame | None = None) -> DataFrame:
+    """Rows (x, y, v): zero inside (or ``inner``'s values (x, y, v), all cells), sin(2 pi y / (ny - 1)) on the left and right edges; y runs over ny rows that wrap."""
     cells = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
     edge = F.sin(F.col("y") * (2.0 * 3.141592653589793) / (ny - 1))
-    return cells.select("x", "y", F.when(F.col("x").isin(0, nx - 1), edge).otherwise(0.0).alias("v"))
+    if inner is not None:
+        cells = cells.join(inner, ["x", "y"])
+    return cells.select("x", "y", F.when(F.col("x").isin(0, nx - 1), edge).otherwise(F.lit(0.0) if inner is None else F.col("v")).alias("v"))
 
 
 def jacobi_sweep(a: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -272,12 +274,12 @@ def jacobi_sweep(a: DataFrame, nx: int, ny: int) -> DataFrame:
     return inner.unionByName(a.where(F.col("x").isin(0, nx - 1)))
 
 
-def jacobi(spark: SparkSession, nx: int, ny: int, sweeps: int, tolerance: float = 0.0, lag: bool = True) -> tuple[DataFrame, list[float]]:
+def jacobi(spark: SparkSession, nx: int, ny: int, sweeps: int, tolerance: float = 0.0, lag: bool = True, inner: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """Sweeps and their residual norms (2-norm of the change); stops under ``tolerance``, one sweep late with ``lag``."""
     from latticework.tables import Steps
 
     steps, norms = Steps(), []
-    a = steps.cut(jacobi_start(spark, nx, ny))
+    a = steps.cut(jacobi_start(spark, nx, ny, inner))
     for _ in range(sweeps):
         b = steps.cut(jacobi_sweep(a, nx, ny))
         change = b.alias("n").join(a.alias("o"), ["x", "y"]).agg(F.sqrt(F.sum(F.pow(F.col("n.v") - F.col("o.v"), 2)))).first()[0]

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from latticework.operators import coo, factor, grid, mixed, spectral
+from latticework.plans import derived
 from latticework.plans.linear import rounded
 from latticework.plans.registry import query
 from latticework.tables import table
@@ -173,31 +174,30 @@ def dense_products(spark, sf_dir):
 EIGEN_N = 2400
 
 
-@query("SELECT k, 0.0::DOUBLE AS residual, true AS ascending, true AS as_the_library FROM range(10) t(k)")
+@query(f"WITH {_GRAM} SELECT i, j, round(v, 4) + 0.0 AS v FROM g0")
 def generalized_eigen(spark, sf_dir):
-    """The ten lowest eigenpairs of A x = lambda B x at n = 2400, A symmetric with entries in [-1/2, 1/2), B = I + C C' / n: residuals
-    relative to the norm of A, order, and the eigenvalues against those of the library's solver for the reduced problem."""
-    rng = np.random.default_rng(1)
-    a = rng.random((EIGEN_N, EIGEN_N)) - 0.5
-    a = np.tril(a) + np.tril(a, -1).T
-    c = rng.random((EIGEN_N, 64)) - 0.5
-    b = np.eye(EIGEN_N) + c @ c.T / EIGEN_N
+    """A x = lambda B x with A the Gram matrix of all embeddings and B = diag(1 + i / n): B V diag(w) V' B is A again."""
+    from latticework.operators.sparse import gram_rows
+
+    a = factor.small(gram_rows(whole(spark, sf_dir), "v"))
+    b = np.diag(1.0 + np.arange(len(a)) / len(a))
     w, v = factor.generalized_eigh(a, b)
-    residual = np.linalg.norm(a @ v[:, :10] - b @ v[:, :10] * w[:10], axis=0) / np.linalg.norm(a)
-    low = np.linalg.cholesky(b)
-    again = np.linalg.eigvalsh(np.linalg.solve(low, np.linalg.solve(low, a).T))
-    ok = np.abs(w - again) <= 1e-8 * np.abs(again).max()
-    return spark.createDataFrame([(k, round(float(residual[k]), 8), bool(k == 0 or w[k] >= w[k - 1]), bool(ok[k])) for k in range(10)], "k long, residual double, ascending boolean, as_the_library boolean")
+    made = b @ (v * w) @ v.T @ b
+    return spark.createDataFrame([(i, j, round(float(made[i, j]), 4) + 0.0) for i in range(len(made)) for j in range(len(made))], "i long, j long, v double")
 
 
 @query()
 def eigen_lowest(spark, sf_dir):
-    """The same problem for its time: the ten lowest eigenvalues alone."""
+    """The ten lowest eigenvalues of A x = lambda B x at n = 2400 on the driver, for its time: A symmetric with entries in [-1/2, 1/2), B = I + C S C' / n
+    with S the Gram matrix of all embeddings, scaled."""
+    from latticework.operators.sparse import gram_rows
+
+    s = factor.small(gram_rows(whole(spark, sf_dir), "v"))
     rng = np.random.default_rng(1)
     a = rng.random((EIGEN_N, EIGEN_N)) - 0.5
     a = np.tril(a) + np.tril(a, -1).T
-    c = rng.random((EIGEN_N, 64)) - 0.5
-    w, _ = factor.generalized_eigh(a, np.eye(EIGEN_N) + c @ c.T / EIGEN_N)
+    c = rng.random((EIGEN_N, len(s))) - 0.5
+    w, _ = factor.generalized_eigh(a, np.eye(EIGEN_N) + c @ (s / np.abs(s).max()) @ c.T / EIGEN_N)
     return spark.createDataFrame([(k, float(w[k])) for k in range(10)], "k long, eigenvalue double")
 
 
@@ -255,40 +255,41 @@ def ozaki_recombine(spark, sf_dir):
     return df.select(F.col("p_partkey").alias("i"), F.round(mixed.recombine(exponents), 6).alias("v"))
 
 
-_G = lambda m: f"(SELECT (id // 12) AS i, (id % 12) AS j, ((id * {m} % 101) / 101.0 + 0.01)::DOUBLE AS v FROM range(144) t(id))"
+_G = lambda m: f"(SELECT (id // 12) AS i, (id % 12) AS j, ((v * {m} % 101) / 101.0::DOUBLE + 0.01::DOUBLE) AS v FROM {derived.cells_sql(144)})"
 
 
-def _square(spark, m: int):
+def _square(spark, sf_dir, m: int):
+    """A 12 x 12 matrix of the parts' sizes."""
     i = F.col("id")
-    return spark.range(144).select(F.floor(i / 12).alias("i"), (i % 12).alias("j"), ((i * m % 101) / F.lit(101.0) + 0.01).alias("v"))
+    return derived.cells(spark, sf_dir, 144).select(F.floor(i / 12).alias("i"), (i % 12).alias("j"), ((F.col("v") * m % 101) / F.lit(101.0) + 0.01).alias("v"))
 
 
 @query(f"SELECT a.i, b.j, round(sum(a.v * b.v), 5) AS v FROM {_G(37)} a JOIN {_G(53)} b ON a.j = b.i GROUP BY 1, 2")
 def ozaki_gemm(spark, sf_dir):
     """Split product in fast mode against the plain product, to five digits."""
-    return rounded(mixed.split_gemm(_square(spark, 37), _square(spark, 53), 3), "v", digits=5)
+    return rounded(mixed.split_gemm(_square(spark, sf_dir, 37), _square(spark, sf_dir, 53), 3), "v", digits=5)
 
 
 @query(f"SELECT a.i, b.j, round(sum(a.v::FLOAT::DOUBLE * b.v::FLOAT::DOUBLE), 8) AS v FROM {_G(37)} a JOIN {_G(53)} b ON a.j = b.i GROUP BY 1, 2")
 def gemm_single(spark, sf_dir):
-    return rounded(mixed.gemm_as(_square(spark, 37), _square(spark, 53), "single"), "v", digits=8)
+    return rounded(mixed.gemm_as(_square(spark, sf_dir, 37), _square(spark, sf_dir, 53), "single"), "v", digits=8)
 
 
 def _e4m3(x: str) -> str:
     return f"(round_even(({x}) / pow(2, floor(log2(({x}))) - 3), 0) * pow(2, floor(log2(({x}))) - 3))"
 
 
-@query(f"""SELECT a.i, b.j, sum({_e4m3('a.v')} * {_e4m3('b.v')})::FLOAT::DOUBLE AS v FROM {_G(37).replace('+ 0.01', '+ 0.05')} a JOIN {_G(53).replace('+ 0.01', '+ 0.05')} b ON a.j = b.i GROUP BY 1, 2""")
+@query(f"""SELECT a.i, b.j, sum({_e4m3('a.v')} * {_e4m3('b.v')})::FLOAT::DOUBLE AS v FROM {_G(37).replace('+ 0.01::DOUBLE', '+ 0.01::DOUBLE + 0.04::DOUBLE')} a JOIN {_G(53).replace('+ 0.01::DOUBLE', '+ 0.01::DOUBLE + 0.04::DOUBLE')} b ON a.j = b.i GROUP BY 1, 2""")
 def gemm_e4m3(spark, sf_dir):
     """Eight-bit inputs, the product rounded to single precision."""
-    more = lambda m: _square(spark, m).withColumn("v", F.col("v") + 0.04)
+    more = lambda m: _square(spark, sf_dir, m).withColumn("v", F.col("v") + 0.04)
     return mixed.gemm_as(more(37), more(53), "e4m3", "single")
 
 
 @query(f"SELECT a.i, b.j, round_even(sum(a.v * b.v) / pow(2, floor(log2(sum(a.v * b.v))) - 10), 0) * pow(2, floor(log2(sum(a.v * b.v))) - 10) AS v FROM {_G(37)} a JOIN {_G(53)} b ON a.j = b.i GROUP BY 1, 2")
 def gemm_half_out(spark, sf_dir):
     """Double inputs, the product rounded to half precision."""
-    return mixed.gemm_as(_square(spark, 37), _square(spark, 53), "double", "half")
+    return mixed.gemm_as(_square(spark, sf_dir, 37), _square(spark, sf_dir, 53), "double", "half")
 
 
 # ---- spectral ----
@@ -297,17 +298,17 @@ def gemm_half_out(spark, sf_dir):
 SIZES, CELL = (6, 5, 4), (3.0, 2.5, 2.0)
 
 
-@query("SELECT f, round(sum(((k + 1) % 7) * cos(-2 * pi() * (f * k % 24) / 24)), 8) + 0.0 AS re, round(sum(((k + 1) % 7) * sin(-2 * pi() * (f * k % 24) / 24)), 8) + 0.0 AS im FROM range(24) a(k) CROSS JOIN range(24) b(f) GROUP BY 1")
+@query(f"SELECT f, round(sum(a.v * cos(-2 * pi() * (f * k % 24) / 24)), 8) + 0.0 AS re, round(sum(a.v * sin(-2 * pi() * (f * k % 24) / 24)), 8) + 0.0 AS im FROM (SELECT id AS k, v FROM {derived.cells_sql(24)}) a CROSS JOIN range(24) b(f) GROUP BY 1")
 def dft_small(spark, sf_dir):
-    line = spark.range(24).select(F.col("id").alias("k"), ((F.col("id") + 1) % 7).cast("double").alias("v"))
+    line = derived.cells(spark, sf_dir, 24).withColumnRenamed("id", "k")
     return spectral.dft_join(line, 24).select("f", (F.round("re", 8) + 0.0).alias("re"), (F.round("im", 8) + 0.0).alias("im"))
 
 
-_CUBE = "(SELECT (id % 6)::INT AS x, (id // 6 % 5)::INT AS y, (id // 30)::INT AS z, ((id + 1) % 7)::DOUBLE AS v FROM range(120) t(id))"
+_CUBE = derived.field_sql(SIZES)
 
 
-def _cube(spark):
-    return grid.grid(spark, SIZES, (F.col("id") + 1) % 7)
+def _cube(spark, sf_dir):
+    return derived.field(spark, sf_dir, SIZES)
 
 
 _ANGLE = "-2 * pi() * (a.x * b.x / 6.0 + a.y * b.y / 5.0 + a.z * b.z / 4.0)"
@@ -316,58 +317,59 @@ _DFT3 = f"SELECT b.x, b.y, b.z, round(sum(a.v * cos({_ANGLE})), 6) + 0.0 AS re,
 
 @query(_DFT3)
 def fft3(spark, sf_dir):
-    out = spectral.fft3(spectral.complex_field(_cube(spark)), SIZES)
+    out = spectral.fft3(spectral.complex_field(_cube(spark, sf_dir)), SIZES)
     return out.select("x", "y", "z", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
 @query(_DFT3)
 def fft3_unpacked(spark, sf_dir):
     """The half spectrum of a real field, unpacked."""
-    out = spectral.unpack_half(spectral.half_spectrum(spectral.fft3(spectral.complex_field(_cube(spark)), SIZES), 6), SIZES)
+    out = spectral.unpack_half(spectral.half_spectrum(spectral.fft3(spectral.complex_field(_cube(spark, sf_dir)), SIZES), 6), SIZES)
     return out.select("x", "y", "z", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
 @query(f"SELECT x, y, z, round(v - (SELECT avg(v) FROM {_CUBE}), 6) + 0.0 AS v FROM {_CUBE}")
 def poisson_periodic(spark, sf_dir):
     """Minus the Laplacian of the solution gives the right-hand side less its mean."""
-    u = spectral.poisson_periodic(_cube(spark), SIZES, CELL, 2)
+    u = spectral.poisson_periodic(_cube(spark, sf_dir), SIZES, CELL, 2)
     back = grid.laplacian(u, SIZES, (0, 0, 0), CELL, 2)
     return back.select("x", "y", "z", (F.round(-F.col("v"), 6) + 0.0).alias("v"))
 
 
-@query("SELECT (id % 6)::INT AS x, (id // 6)::INT AS y, 0 AS z, round(((id + 1) % 7)::DOUBLE, 6) AS v FROM range(30) t(id)")
+@query(f"SELECT x, y, z, round(v, 6) AS v FROM {derived.field_sql((6, 5, 1))}")
 def poisson_zero_2d(spark, sf_dir):
-    u = spectral.poisson_zero(grid.grid(spark, (6, 5, 1), (F.col("id") + 1) % 7), (6, 5, 1), 0.5)
+    u = spectral.poisson_zero(derived.field(spark, sf_dir, (6, 5, 1)), (6, 5, 1), 0.5)
     five = [(0, 0, 0, -16.0)] + [(s if k == 0 else 0, s if k == 1 else 0, 0, 4.0) for k in (0, 1) for s in (-1, 1)]
     return rounded(grid.stencil(u, five, (6, 5, 1), (1, 1, 1)), "v", digits=6)
 
 
 @query(f"SELECT x, y, z, round(v, 6) AS v FROM {_CUBE}")
 def poisson_zero_3d(spark, sf_dir):
-    u = spectral.poisson_zero(_cube(spark), SIZES, 0.5)
+    u = spectral.poisson_zero(_cube(spark, sf_dir), SIZES, 0.5)
     seven = [(0, 0, 0, -24.0)] + [tuple(s if a == k else 0 for a in range(3)) + (4.0,) for k in range(3) for s in (-1, 1)]
     return rounded(grid.stencil(u, seven, SIZES, (1, 1, 1)), "v", digits=6)
 
 
-@query("""WITH s AS (SELECT id, id // 5 AS i, id % 5 AS j FROM range(25) t(id)) SELECT i, j, round(abs(i / 5.0 - (j / 5.0 + 2.0)), 8) AS v FROM s""")
+@query(derived.columns_scaled_sql("WITH s AS (SELECT id, id // 5 AS i, id % 5 AS j FROM range(25) t(id)) SELECT i, j, abs(i / 5.0::DOUBLE - (j / 5.0::DOUBLE + 2.0::DOUBLE)) AS v FROM s", 5, 6))
 def distance_matrix(spark, sf_dir):
     from latticework.sources.generators import distance_matrix as made
 
-    return rounded(made(spark, 5, 5), "v", digits=8)
+    return derived.columns_scaled(spark, sf_dir, made(spark, 5, 5), 5, 6)
 
 
-@query("""SELECT (id)::BIGINT AS i, ((x + dx) * 6 + y + dy)::BIGINT AS j, c::DOUBLE AS v FROM (SELECT id, id // 6 AS x, id % 6 AS y FROM range(30) t(id))
+@query(derived.columns_scaled_sql("""SELECT (id)::BIGINT AS i, ((x + dx) * 6 + y + dy)::BIGINT AS j, c::DOUBLE AS v FROM (SELECT id, id // 6 AS x, id % 6 AS y FROM range(30) t(id))
   CROSS JOIN (VALUES (0, 0, 20.0), (1, 0, -2.0), (-1, 0, -2.0), (0, 1, -2.0), (0, -1, -2.0), (2, 0, -1.0), (-2, 0, -1.0), (0, 2, -1.0), (0, -2, -1.0), (3, 0, -0.5), (-3, 0, -0.5), (0, 3, -0.5), (0, -3, -0.5)) o(dx, dy, c)
-  WHERE x + dx BETWEEN 0 AND 4 AND y + dy BETWEEN 0 AND 5""")
+  WHERE x + dx BETWEEN 0 AND 4 AND y + dy BETWEEN 0 AND 5""", 30, 6))
 def dense_stencil(spark, sf_dir):
     from latticework.sources.generators import dense_stencil as made
 
-    return made(spark, 5, 6)
+    return derived.columns_scaled(spark, sf_dir, made(spark, 5, 6), 30, 6)
 
 
-@query("SELECT x.i, sum(x.v * y.v) AS v FROM (SELECT id AS i, (id * id % 11)::DOUBLE AS v FROM range(50) t(id)) x JOIN (SELECT id AS i, ((id + 3) % 10)::DOUBLE AS v FROM range(50) t(id)) y USING (i) GROUP BY 1")
+@query(f"SELECT x.i, sum(x.v * y.v * c.v) AS v FROM (SELECT id AS i, (id * id % 11)::DOUBLE AS v FROM range(50) t(id)) x JOIN (SELECT id AS i, ((id + 3) % 10)::DOUBLE AS v FROM range(50) t(id)) y USING (i) JOIN {derived.cells_sql(50)} c ON c.id = x.i GROUP BY 1")
 def generated_vectors(spark, sf_dir):
     from latticework.sources.generators import modular, vector
 
     x = vector(spark, 50, F.col("i") * F.col("i") % 11).withColumnRenamed("v", "x")
-    return coo.vec(x.join(modular(spark, 50, 10, 3), "i").withColumn("p", F.col("x") * F.col("v")), "i", "p")
+    c = derived.vector(spark, sf_dir, 50).withColumnRenamed("v", "c")
+    return coo.vec(x.join(modular(spark, 50, 10, 3), "i").join(c, "i").withColumn("p", F.col("x") * F.col("v") * F.col("c")), "i", "p")

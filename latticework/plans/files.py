@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import scalar
 from latticework.operators import coo
+from latticework.plans import derived
 from latticework.plans.linear import lineitem, prices
 from latticework.plans.registry import query
 from latticework.sources import generators, matrix_market, raw
@@ -96,21 +97,22 @@ def field_file(spark, sf_dir):
     return raw.read_field(spark, path)
 
 
-@query("""SELECT count(*) AS points, 5000 AS ids, 1.0::DOUBLE AS inside, 0.5::DOUBLE AS mean_x, 0.5::DOUBLE AS mean_q, 0.0::DOUBLE AS mean_centred, 3000.0::DOUBLE AS sum_coo, 1 AS coo_inside FROM range(5000)""")
+@query("""SELECT count(*) AS points, count(*)::INT AS ids, 1.0::DOUBLE AS inside, 0.5::DOUBLE AS mean_x, 0.5::DOUBLE AS mean_q, 0.0::DOUBLE AS mean_centred, count(*)::DOUBLE AS sum_coo, 1 AS coo_inside FROM lineitem""")
 def random_inputs(spark, sf_dir):
-    """What hashed generators promise: ranges, means to one digit and the sum of duplicate entries."""
-    p = generators.random_points(spark, 5000)
+    """What hashed generators promise for as many rows as lineitem has: ranges, means to one digit and the sum of duplicate entries."""
+    n = table(spark, sf_dir, "lineitem").count()
+    p = generators.random_points(spark, n)
     inside = F.avg(F.forall(F.array(*"xyzq"), lambda c: (c >= 0) & (c < 1)).cast("double")).alias("inside")
     found = p.agg(F.count(F.lit(1)).alias("points"), F.count_distinct("id").cast("int").alias("ids"), inside, F.round(F.avg("x"), 1).alias("mean_x"), F.round(F.avg("q"), 1).alias("mean_q"))
-    centred = generators.centred(spark, 5000).agg((F.round(F.avg("v"), 1) + 0.0).alias("mean_centred"))
-    a = generators.random_coo(spark, 40, 30, 3000)
+    centred = generators.centred(spark, n).agg((F.round(F.avg("v"), 1) + 0.0).alias("mean_centred"))
+    a = generators.random_coo(spark, 40, 30, n)
     cells = a.agg(F.sum("v").alias("sum_coo"), F.bool_and(F.col("i").between(0, 39) & F.col("j").between(0, 29)).cast("int").alias("coo_inside"))
     return found.crossJoin(centred).crossJoin(cells)  # one row each
 
 
-@query("""SELECT id // 7 AS i, id % 7 AS j, round(1 / abs((id // 7) / 6.0 - ((id % 7) / 7.0 + 2.0)), 8) AS v FROM range(42) t(id)""")
+@query(derived.columns_scaled_sql("SELECT id // 7 AS i, id % 7 AS j, 1 / abs((id // 7) / 6.0::DOUBLE - ((id % 7) / 7.0::DOUBLE + 2.0::DOUBLE)) AS v FROM range(42) t(id)", 7, 6))
 def reciprocal_matrix(spark, sf_dir):
-    return generators.reciprocal_matrix(spark, 6, 7).withColumn("v", F.round("v", 8))
+    return derived.columns_scaled(spark, sf_dir, generators.reciprocal_matrix(spark, 6, 7), 7, 6)
 
 
 @query("""SELECT x.l_partkey % 20 AS i, y.l_partkey % 20 AS j, sum(x.l_quantity * y.l_quantity) AS v FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey GROUP BY 1, 2""")

@@ -1,10 +1,11 @@
-"""Iterative solvers on small generated grids. A fixed number of steps makes results exact to compare; the SQL unrolls it."""
+"""Iterative solvers on small grids, with right-hand sides from all parts. A fixed number of steps makes results exact to compare; the SQL unrolls it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from latticework.operators import grid, solve
+from latticework.plans import derived
 from latticework.plans.linear import rounded
 from latticework.plans.registry import query
 
@@ -19,15 +20,15 @@ def matrix(spark):
     return cut(grid.stencil_coo(spark, OFFSETS, SIZES, BCS))
 
 
-def right_side(spark):
-    return spark.range(N).select(F.col("id").alias("i"), (F.col("id") % 114 - 20).cast("double").alias("v"))
+def right_side(spark, sf_dir):
+    return derived.vector(spark, sf_dir, N).select("i", (F.col("v") % 114 - 20).alias("v"))
 
 
 def _matrix_sql() -> str:
     rows = ", ".join(f"({a}, {b}, {c}, {w!r}::DOUBLE)" for a, b, c, w in OFFSETS)
     return f"""a AS MATERIALIZED (SELECT id AS i, (id + dx + dy * 5 + dz * 25)::BIGINT AS j, w AS v FROM (SELECT id, id % 5 AS x, id // 5 % 5 AS y, id // 25 AS z FROM range({N}) t(id))
       CROSS JOIN (VALUES {rows}) o(dx, dy, dz, w) WHERE x + dx BETWEEN 0 AND 4 AND y + dy BETWEEN 0 AND 4 AND z + dz BETWEEN 0 AND 4),
-      b AS MATERIALIZED (SELECT id AS i, (id % 114 - 20)::DOUBLE AS v FROM range({N}) t(id))"""
+      b AS MATERIALIZED (SELECT id AS i, v % 114 - 20 AS v FROM {derived.cells_sql(N)})"""
 
 
 def _power_sql(k: int) -> str:
@@ -50,28 +51,28 @@ def _cg_sql(k: int) -> str:
 
 @query(_power_sql(5))
 def power_iter_k(spark, sf_dir):
-    x, _ = solve.power_iteration(solve.operator(matrix(spark)), right_side(spark), 5)
+    x, _ = solve.power_iteration(solve.operator(matrix(spark)), right_side(spark, sf_dir), 5)
     return rounded(x, "v", digits=8)
 
 
 @query(_cg_sql(3))
 def cg_k(spark, sf_dir):
-    return rounded(solve.conjugate_gradient(solve.operator(matrix(spark)), right_side(spark), 0.0, 3).x, "v", digits=6)
+    return rounded(solve.conjugate_gradient(solve.operator(matrix(spark)), right_side(spark, sf_dir), 0.0, 3).x, "v", digits=6)
 
 
 #: what a solver's solution gives back: A x, which SQL compares with the right-hand side
-_BACK = f"SELECT id AS i, round((id % 114 - 20)::DOUBLE, 5) AS v FROM range({N}) t(id)"
+_BACK = f"SELECT id AS i, round(v % 114 - 20, 5) AS v FROM {derived.cells_sql(N)}"
 
 
 def _back(a, solution: solve.Solution):
     from latticework.operators.sparse import spmv
 
-    return rounded(spmv(a, solution.x), "v", digits=5)
+    return rounded(spmv(a, solution.x), "v", digits=5).withColumn("v", F.col("v") + 0.0)
 
 
 @query(_BACK)
 def bicgstab(spark, sf_dir):
-    a, b = matrix(spark), right_side(spark)
+    a, b = matrix(spark), right_side(spark, sf_dir)
     return _back(a, solve.bicgstab(solve.operator(a), b, 1e-9, 40))
 
 
@@ -80,29 +81,29 @@ def pcg(spark, sf_dir):
     from latticework.operators.blas import diagonal_scale
     from latticework.operators.coo import diagonal
 
-    a, b = matrix(spark), right_side(spark)
+    a, b = matrix(spark), right_side(spark, sf_dir)
     inverse = diagonal(a).select("i", (1.0 / F.col("v")).alias("v"))
     return _back(a, solve.conjugate_gradient(solve.operator(a), b, 1e-9, 40, precondition=lambda r: diagonal_scale(inverse, r)))
 
 
 @query(_BACK)
 def aar(spark, sf_dir):
-    a, b = matrix(spark), right_side(spark)
+    a, b = matrix(spark), right_side(spark, sf_dir)
     return _back(a, solve.anderson_richardson(solve.operator(a), b, OFFSETS[0][3], 1e-9, 80))
 
 
 @query(_BACK)
 def gmres(spark, sf_dir):
-    a, b = matrix(spark), right_side(spark)
+    a, b = matrix(spark), right_side(spark, sf_dir)
     return _back(a, solve.gmres(solve.operator(a), b, 15, 1e-9, 60))
 
 
-@query("SELECT id AS i, round((id % 114)::DOUBLE - (SELECT avg(id % 114) FROM range(64) t(id)), 4) + 0.0 AS v FROM range(64) t(id)")
+@query(f"SELECT id AS i, round(v % 114 - (SELECT avg(v % 114) FROM {derived.cells_sql(64)}), 4) + 0.0 AS v FROM {derived.cells_sql(64)}")
 def multigrid(spark, sf_dir):
     """Periodic in all directions: the right-hand side is projected and the coarsest level uses the pseudo-inverse. A x is the right-hand
     side less its mean."""
     sizes = (4, 4, 4)
     m = solve.Multigrid(spark, sizes, (0, 0, 0), (2.0, 2.0, 2.0), 1, 1)
-    b = grid.grid(spark, sizes, (F.col("id") % 114).cast("double")).select((F.col("x") + F.col("y") * 4 + F.col("z") * 16).cast("long").alias("i"), "v")
+    b = derived.vector(spark, sf_dir, 64).select("i", (F.col("v") % 114).alias("v"))
     s = m.solve(b, 1e-7, 40, project=True)
     return _back(m.a[0], s).withColumn("v", F.round("v", 4) + 0.0)
