@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.operators.rows import by_row
 from latticework.operators.sparse import gram_rows
 
 
@@ -80,9 +81,68 @@ def tsqr_r(rows: DataFrame) -> np.ndarray:
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
-def tall_qr(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    r = tsqr_r(rows)
-    return solve_right(rows, r), r
+def tall_qr(rows: DataFrame, block: int = 1024, fan: int = 8) -> tuple[DataFrame, np.ndarray]:
+    """Q (rows) and R with A = Q R by a tree of Householder factorizations; R has a positive diagonal.
+
+    Blocks of rows are factored where they are and keep their Q; the R of ``fan`` blocks are stacked and factored, level by level, and what
+    each child has of the Q of that is multiplied back down. Q is never A R^-1, so it is orthogonal to rounding whatever the
+    condition of A; nothing is stacked on the driver, which gets one R."""
+    from latticework.operators.blas import running_total
+    from latticework.tables import cut
+
+    width = rows.select(F.max(F.size("v"))).first()[0] or 0
+
+    def local(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        k, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                some = batch.slice(at, block)
+                q, r = np.linalg.qr(np.array(some.column(1).to_pylist(), float))
+                yield pa.RecordBatch.from_pylist([{"key": part << 32 | k, "ids": some.column(0).to_pylist(), "q": q.tobytes(), "r": r.tobytes()}], schema=pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("q", pa.binary()), ("r", pa.binary())]))
+                k += 1
+
+    blocks = cut(rows.select("i", "v").mapInArrow(local, "key long, ids array<long>, q binary, r binary"))
+    numbers = running_total(blocks.select("key").withColumn("one", F.lit(1).cast("long")), ["key"], "one", "node").select("key", (F.col("node") - 1).alias("node"))
+    blocks = cut(blocks.join(numbers, "key").drop("key"))
+    n, level, shares = blocks.count(), blocks.select("node", "r"), []
+    if not n:
+        return rows, np.zeros((0, 0))
+
+    def array(raw) -> np.ndarray:
+        return np.frombuffer(raw, np.float64).reshape(-1, width)
+
+    def stack(row):
+        parts = [array(c["r"]) for c in row["children"]]
+        q, r = np.linalg.qr(np.vstack(parts))
+        ends = np.cumsum([len(p) for p in parts])
+        return [{"parent": row["node"], "node": c["node"], "share": q[e - len(p) : e].tobytes(), "r": r.tobytes()} for c, p, e in zip(row["children"], parts, ends)]
+
+    while n > 1:
+        above = level.groupBy(F.expr(f"node div {fan}L").alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "r"))).alias("children"))
+        made = cut(by_row(above, stack, "parent long, node long, share binary, r binary"))
+        shares.append(made.drop("r"))
+        level, n = made.groupBy(F.col("parent").alias("node")).agg(F.first("r").alias("r")), -(-n // fan)
+    r = array(level.first()["r"])
+    sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+    turn = rows.sparkSession.createDataFrame([(0, bytearray(np.diag(sign).tobytes()))], "node long, turn binary")
+    k = len(sign)  # rows of the last R: the width, or all rows where they are fewer
+
+    def down(row):
+        t = np.frombuffer(row["turn"], np.float64).reshape(-1, k)
+        return [{"node": row["node"], "turn": (np.frombuffer(row["share"], np.float64).reshape(-1, len(t)) @ t).tobytes()}]
+
+    for share in reversed(shares):
+        turn = by_row(share.join(turn.withColumnRenamed("node", "parent"), "parent"), down, "node long, turn binary")
+
+    def apply(row):
+        t = np.frombuffer(row["turn"], np.float64).reshape(-1, k)
+        q = np.frombuffer(row["q"], np.float64).reshape(len(row["ids"]), -1) @ t
+        return [{"i": i, "v": v} for i, v in zip(row["ids"], q.tolist())]
+
+    return by_row(blocks.join(turn, "node").select("ids", "q", "turn"), apply, "i long, v array<double>"), r * sign[:, None]
 
 
 def randomized_xr(rows: DataFrame, width: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:

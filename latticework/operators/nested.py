@@ -19,11 +19,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.coo import sample_rows
+from latticework.operators.rows import by_row
 from latticework.operators.trees import kd_tree
 from latticework.tables import cut
 
@@ -67,23 +67,6 @@ def _matrices(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return w, _floats(row["m"], row["size"])
 
 
-def _by_row(df: DataFrame, step: Callable[[dict], list[dict]], schema: str) -> DataFrame:
-    """``step`` on each row, a node's, a few at a time."""
-    arrow = DataFrame.mapInArrow
-    fields = [c.split(" ") for c in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "boolean": pa.bool_()}
-    out = pa.schema([(name, types[kind]) for name, kind in fields])
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                made = [x for row in batch.slice(at, 16).to_pylist() for x in step(row)]
-                if made:
-                    yield pa.RecordBatch.from_pylist(made, schema=out)
-
-    return arrow(df, run, schema)
-
-
 def _pairs(children: DataFrame, *columns: str) -> DataFrame:
     """Two children's columns side by side, left first: (node, both)."""
     side = F.struct((F.col("node") % 2).alias("side"), *columns)
@@ -121,7 +104,7 @@ class Nested:
 
         below, vectors = bottom, []
         for k in range(len(self.levels) - 1, -1, -1):
-            vectors.insert(0, cut(_by_row(below, up, "node long, x binary, h binary")))
+            vectors.insert(0, cut(by_row(below, up, "node long, x binary, h binary")))
             if k:
                 below = self.levels[k - 1].join(_pairs(vectors[0], "h"), "node")
 
@@ -144,7 +127,7 @@ class Nested:
                 met = met.join(ranks, "node").withColumn("ids", F.lit(None).cast("array<long>"))
             else:
                 met = met.join(self.members, "node").withColumn("left", F.lit(0))
-            above = _by_row(met, down, "node long, g binary") if k + 1 < len(self.levels) else _by_row(met, lambda row: [{"i": r["node"], "v": float(np.frombuffer(r["g"])[0])} for r in down(row)], "i long, v double")
+            above = by_row(met, down, "node long, g binary") if k + 1 < len(self.levels) else by_row(met, lambda row: [{"i": r["node"], "v": float(np.frombuffer(r["g"])[0])} for r in down(row)], "i long, v double")
         return above
 
     def inverse(self) -> Nested:
@@ -171,7 +154,7 @@ class Nested:
         out, below = [], None
         for level in reversed(self.levels):
             met = level.join(below, "node") if below is not None else level.withColumn("both", F.lit(None).cast("array<struct<side:long,c:binary>>"))
-            made = cut(_by_row(met, step, f"{_LEVEL}, c binary"))
+            made = cut(by_row(met, step, f"{_LEVEL}, c binary"))
             out.insert(0, made.drop("c"))
             below = _pairs(made, "c")
         return Nested(out, self.members, self.error)
@@ -237,7 +220,7 @@ def _nested(tree: DataFrame, depth: int, kernel, mu: float, tolerance: float, pr
         return [_level_row(row["node"], w, d) | {"ids": [m["id"] for m in row["members"]], "skeleton": skeleton.tobytes(), "error": error}]
 
     grouped = tree.groupBy(F.col("leaf").alias("node")).agg(F.array_sort(F.collect_list(F.struct("id", "p"))).alias("members"))
-    built = cut(_by_row(grouped, leaf, _BUILT))
+    built = cut(by_row(grouped, leaf, _BUILT))
     members, tables = built.select("node", "ids"), [built]
     for level in range(depth - 1, -1, -1):
 
@@ -249,7 +232,7 @@ def _nested(tree: DataFrame, depth: int, kernel, mu: float, tolerance: float, pr
             w, skeleton, error = basis(row["node"], level, p)
             return [_level_row(row["node"], w, m) | {"ids": None, "skeleton": skeleton.tobytes(), "error": error}]
 
-        built = cut(_by_row(_pairs(built, "skeleton"), parent, _BUILT))
+        built = cut(by_row(_pairs(built, "skeleton"), parent, _BUILT))
         tables.insert(0, built)
     errors = [t.agg(F.max("error")).first()[0] or 0.0 for t in tables]
     return Nested([t.drop("ids", "skeleton", "error") for t in tables], members, max(errors))

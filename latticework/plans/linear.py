@@ -34,6 +34,28 @@ def spmv(spark, sf_dir):
     return rounded(sparse.spmv(lineitem(spark, sf_dir), prices(spark, sf_dir)), "v")
 
 
+#: a third of all entries in row 0
+_SKEWED = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS i, l_partkey AS j, l_quantity AS v FROM lineitem"
+
+
+def _skewed(spark, sf_dir):
+    return lineitem(spark, sf_dir).withColumn("i", F.when(F.col("i") % 3 == 0, 0).otherwise(F.col("i")))
+
+
+@query(f"SELECT i, round(sum(v * p_retailprice), 4) AS v FROM ({_SKEWED}) JOIN part ON j = p_partkey GROUP BY 1")
+def spmv_blocked(spark, sf_dir):
+    """By equal runs of entries, of which the long row has a third."""
+    return rounded(sparse.spmv_blocked(sparse.blocked(_skewed(spark, sf_dir), 32), prices(spark, sf_dir)), "v")
+
+
+@query(f"""WITH a AS (SELECT i, j % 16 AS j, sum(v) AS v FROM ({_SKEWED}) GROUP BY 1, 2)
+  SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v), 4) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2""")
+def gram_tiled(spark, sf_dir):
+    """A'A in sixteen classes of parts, rows of more than eight entries by tiles."""
+    a = coo.merge(_skewed(spark, sf_dir).withColumn("j", F.col("j") % 16))
+    return rounded(sparse.gram(a, 8), "v")
+
+
 @query("""SELECT o_orderkey AS i, coalesce(round(y, 4), 0.0) AS v FROM orders LEFT JOIN
   (SELECT l_orderkey, sum(l_quantity * p_retailprice) AS y FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey""")
 def spmv_zero_rows(spark, sf_dir):

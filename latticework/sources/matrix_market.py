@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.sources import lines
+
 OBJECTS, FORMATS = ("matrix", "vector"), ("coordinate", "array")
 FIELDS, SYMMETRIES = ("real", "complex", "pattern", "integer"), ("general", "symmetric", "hermitian", "skew-symmetric")
 
@@ -38,17 +40,14 @@ def parse_banner(line: str) -> Banner:
     return Banner(form, field, symmetry)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("line"))
-
-
 def header(spark: SparkSession, path: str) -> tuple[Banner, tuple[int, ...]]:
     """Banner and sizes (rows, columns and, for coordinate files, entries)."""
-    first = spark.read.text(path).first()
+    begin = spark.read.text(lines.first_file(spark, path)).select(F.trim("value").alias("line"))
+    first = begin.first()
     if first is None:
         raise ValueError("an empty file")
     banner = parse_banner(first[0])
-    sizes = _lines(spark, path).where("line not like '\\%%' and line <> ''").first()
+    sizes = begin.where("line not like '\\%%' and line <> ''").first()
     numbers = tuple(map(int, sizes["line"].split()))
     if len(numbers) != (3 if banner.format == "coordinate" else 2):
         raise ValueError(f"bad size line: {sizes['line']!r}")
@@ -61,16 +60,15 @@ def read(spark: SparkSession, path: str, expand: bool = True, fields: tuple[str,
     banner, sizes = header(spark, path)
     if banner.field not in fields:
         raise ValueError(f"{banner.field} matrices are not accepted here")
-    lines = _lines(spark, path).where("line not like '\\%%' and line <> ''")
+    text = lines.placed(spark, path).where("line not like '\\%%' and line <> ''")
     parts = F.split("line", r"\s+")
     if banner.format == "array":
-        return _read_array(spark, lines, sizes, banner, expand)
+        return _read_array(spark, text, sizes, banner, expand)
     # the size line is the one that equals it and comes first; an entry has 2 to 4 numbers, the size line 3 whole ones
     size_line = " ".join(map(str, sizes))
-    numbered = lines.select(parts.alias("p"), F.monotonically_increasing_id().alias("n"))
-    is_size = F.array_join("p", " ") == size_line
-    first = numbered.where(is_size).agg(F.min("n")).first()[0]
-    body = numbered.where(F.col("n") != first)
+    with_parts = text.select(parts.alias("p"), F.struct(*lines.PLACE).alias("n"))
+    first = with_parts.where(F.array_join("p", " ") == size_line).agg(F.min("n").alias("n")).first()["n"]
+    body = with_parts.where(~((F.col("n._file") == first["_file"]) & (F.col("n._block") == first["_block"]) & (F.col("n._n") == first["_n"])))
     value = F.lit(1.0) if banner.field == "pattern" else F.col("p")[2].cast("double")
     entries = body.select((F.col("p")[0].cast("long") - 1).alias("i"), (F.col("p")[1].cast("long") - 1).alias("j"), value.alias("v"))
     return _expanded(entries, banner) if expand else entries
@@ -83,13 +81,10 @@ def _expanded(entries: DataFrame, banner: Banner) -> DataFrame:
     return entries.unionByName(entries.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
 
 
-def _read_array(spark: SparkSession, lines: DataFrame, sizes: tuple[int, ...], banner: Banner, expand: bool) -> DataFrame:
-    """Column-major values, one a line; their order is the file's, kept by position within partitions."""
+def _read_array(spark: SparkSession, text: DataFrame, sizes: tuple[int, ...], banner: Banner, expand: bool) -> DataFrame:
+    """Column-major values, one a line; their order is the text's."""
     rows, cols = sizes
-    from latticework.operators.coo import prefix_sum
-
-    numbered = lines.select("line", F.monotonically_increasing_id().alias("n")).withColumn("one", F.lit(1))
-    placed = prefix_sum(numbered, "n", "one", "at", inclusive=False, chunk=1 << 33).where("at > 0").select((F.col("at") - 1).alias("k"), F.split("line", r"\s+")[0].cast("double").alias("v"))
+    placed = lines.numbered(text).where("at > 0").select((F.col("at") - 1).alias("k"), F.split("line", r"\s+")[0].cast("double").alias("v"))
     if banner.symmetry == "general":
         return placed.select((F.col("k") % rows).alias("i"), F.floor(F.col("k") / rows).alias("j"), "v")
     # the lower triangle only: column j starts at j * rows - j (j - 1) / 2 (one later each time without a diagonal); the
@@ -104,9 +99,8 @@ def _read_array(spark: SparkSession, lines: DataFrame, sizes: tuple[int, ...], b
 
 
 def write(a: DataFrame, path: str, rows: int, cols: int, banner: Banner | None = None) -> None:
-    """One text file, as the format asks: banner, sizes, and by row and column the entries counted from 1 or, for the array format, all
-    values down the columns (no entry is 0). Of a symmetric kind the lower triangle is written (without the diagonal if skew). One
-    task writes."""
+    """Text files that follow each other by name, together what the format asks: banner, sizes, and by row and column the entries counted from 1 or, for the array format, all
+    values down the columns (no entry is 0). Of a symmetric kind the lower triangle is written (without the diagonal if skew)."""
     banner = banner or Banner()
     spark = a.sparkSession
     if banner.symmetry != "general":
@@ -119,9 +113,8 @@ def write(a: DataFrame, path: str, rows: int, cols: int, banner: Banner | None =
         if banner.symmetry != "general":
             every = every.where("i > j" if banner.symmetry == "skew-symmetric" else "i >= j")
         cells = every.join(a.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-        sizes, body = f"{rows} {cols}", cells.select(F.lit(2).alias("o"), F.col("j").alias("x"), F.col("i").alias("y"), number.alias("value"))
+        sizes, body = f"{rows} {cols}", cells.select(F.col("j").alias("x"), F.col("i").alias("y"), number.alias("value"))
     else:
         text = F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), *([] if banner.field == "pattern" else [number]))
-        sizes, body = f"{rows} {cols} {a.count()}", a.select(F.lit(2).alias("o"), F.col("i").alias("x"), F.col("j").alias("y"), text.alias("value"))
-    head = spark.createDataFrame([(0, 0, 0, banner.line()), (1, 0, 0, sizes)], "o int, x long, y long, value string")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("o", "x", "y").select("value").write.mode("overwrite").text(path)
+        sizes, body = f"{rows} {cols} {a.count()}", a.select(F.col("i").alias("x"), F.col("j").alias("y"), text.alias("value"))
+    lines.write([banner.line(), sizes], body, ["x", "y"], path)

@@ -259,3 +259,44 @@ def test_inverse_of_a_stencil_on_its_own_cells():
             full[i, j] = c[d] if all(0 <= k < 3 for k in d) else 0.0
     want = np.linalg.inv(full)[:, cells.index((1, 1, 1))]
     assert np.allclose([got[p] for p in cells], want) and (got != 0).sum() == 7
+
+
+def test_text_in_many_files_and_blocks(spark, tmp_path):
+    """Written by many tasks, read by many tasks in any order: the order of lines is kept."""
+    a = coo.coo(spark.range(4000).selectExpr("id * 7 % 500 as r", "id % 83 as c", "cast(id % 91 as double) as v"), "r", "c", "v").repartition(5)
+    a = coo.merge(a)
+    n = a.count()
+    matrix_market.write(a, str(tmp_path / "out"), 500, 83)
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    text = [line for p in parts for line in p.read_text().splitlines()]
+    assert len(parts) > 1 and text[:2] == ["%%MatrixMarket matrix coordinate real general", f"500 83 {n}"]
+    places = [tuple(map(int, line.split()[:2])) for line in text[2:]]
+    assert places == sorted(places)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        assert entries(matrix_market.read(spark, str(tmp_path / "out"))) == entries(a)
+        x = coo.vec(spark.range(3000).selectExpr("id as k", "cast(id * 31 % 997 as double) as w"), "k", "w").repartition(6)
+        raw.write_field(x, str(tmp_path / "field"))
+        assert sorted(map(tuple, raw.read_field(spark, str(tmp_path / "field")).collect())) == sorted(map(tuple, x.collect()))
+        (tmp_path / "one.txt").write_text("".join(f"{k * 31 % 997}.0\n" for k in range(3000)))
+        assert sorted(map(tuple, raw.read_field(spark, str(tmp_path / "one.txt")).collect())) == sorted(map(tuple, x.collect()))
+        raw.write_points(spark.range(700).selectExpr("id", "array(cast(id as double), 1.5D) as p").repartition(4), str(tmp_path / "points"))
+        assert {r["id"]: list(r["p"]) for r in raw.read_points(spark, str(tmp_path / "points")).collect()} == {k: [float(k), 1.5] for k in range(700)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_raw_values_by_blocks(spark, tmp_path):
+    v = np.random.default_rng(0).normal(size=10_000)
+    (tmp_path / "x").mkdir()
+    v[:9000].astype("<f8").tofile(tmp_path / "x" / "a.bin")
+    v[9000:].astype("<f8").tofile(tmp_path / "x" / "b.bin")
+    got = raw.read_doubles(spark, str(tmp_path / "x"))
+    found = {(r["path"].rsplit("/")[-1], r["i"]): r["v"] for r in got.collect()}
+    assert found == {("a.bin", k): x for k, x in enumerate(v[:9000])} | {("b.bin", k): x for k, x in enumerate(v[9000:])}
+    v.astype("<f4").tofile(tmp_path / "y.bin")
+    assert raw.read_doubles(spark, str(tmp_path / "y.bin"), "<f4").count() == 10_000
+    (tmp_path / "odd.bin").write_bytes(b"123456789")
+    with pytest.raises(ValueError):
+        raw.read_doubles(spark, str(tmp_path / "odd.bin"))

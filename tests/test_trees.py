@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import kernels
-from latticework.operators import nbody, nested, sparse, trees
+from latticework.operators import factor, nbody, nested, sparse, trees
 
 KERNEL = kernels.gauss_array(2.0)
 
@@ -127,3 +127,19 @@ def test_tiles_share_out_a_heavy_index(spark):
     dealt = sparse._dealt(side, heavy, "ta", "tb", 100)
     most = dealt.groupBy("k", "ta", "tb").count().agg(F.max("count")).first()[0]
     assert most < 200 < (i == 5).sum()  # tiles of about 100, where the index has a third of all entries
+
+
+@pytest.mark.parametrize("rows,block", [(2000, 64), (300, 1024), (7, 3)])
+def test_orthogonal_factor_by_a_tree(spark, rows, block):
+    """Condition 1e14, where A R^-1 loses three digits in a thousand: Q'Q is the identity to rounding."""
+    rng = np.random.default_rng(6)
+    u, _ = np.linalg.qr(rng.normal(size=(rows, 12)))
+    v, _ = np.linalg.qr(rng.normal(size=(12, 12)))
+    k = u.shape[1]
+    a = (u * np.logspace(0, -14, k)) @ v[:k]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)], "i long, v array<double>").repartition(5)
+    q, r = factor.tall_qr(df, block=block, fan=3)
+    found = {x["i"]: x["v"] for x in q.collect()}
+    q = np.array([found[i] for i in range(rows)])
+    assert np.abs(q.T @ q - np.eye(q.shape[1])).max() < 1e-13
+    assert np.abs(q @ r - a).max() < 1e-14 and (np.diag(r) >= 0).all() and np.abs(np.tril(r, -1)).max() == 0
