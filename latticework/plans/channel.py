@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from latticework.plans.linear import rounded
 from latticework.plans.registry import query
 from latticework.streaming import channel
-from latticework.tables import shared_dir, table
+from latticework.tables import scratch, table
 
 
 def messages(spark, sf_dir):
@@ -30,7 +30,7 @@ def channel_sum(spark, sf_dir):
 @query("SELECT count(*) AS n, round(sum(value), 4) AS total, max(event_id) AS last_idx FROM events")
 def channel_stream(spark, sf_dir):
     """The same totals by Structured Streaming over the messages written as files."""
-    base = f"{shared_dir(spark)}/channel-{uuid.uuid4().hex}"
+    base = scratch(spark, "channel")
     messages(spark, sf_dir).repartition(4).write.parquet(f"{base}/in")
     stream = channel.totals(channel.file_source(spark, f"{base}/in", 2))
     return rounded(channel.run_to_table(stream, f"channel_{uuid.uuid4().hex}", f"{base}/state"), "total")
@@ -44,7 +44,7 @@ def channel_ring(spark, sf_dir):
 @query("SELECT (event_id // 1000)::BIGINT AS thousand, count(*) AS n, true AS in_order FROM events GROUP BY 1")
 def channel_drain(spark, sf_dir):
     """Batches drained until none is left: what the consumer was given, by thousands, and whether each batch came in order."""
-    base = f"{shared_dir(spark)}/channel-{uuid.uuid4().hex}"
+    base = scratch(spark, "channel")
     messages(spark, sf_dir).repartitionByRange(4, "issue_idx").write.parquet(f"{base}/in")
 
     def consume(batch, k):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from latticework.functions import scalar
@@ -12,15 +10,11 @@ from latticework.plans import derived
 from latticework.plans.linear import lineitem, prices
 from latticework.plans.registry import query
 from latticework.sources import generators, matrix_market, raw
-from latticework.tables import shared_dir, table
-
-
-def _file(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from latticework.tables import scratch, table
 
 
 def _through(spark, a, rows: int, cols: int, banner: matrix_market.Banner):
-    path = _file(spark, "matrix")
+    path = scratch(spark, "matrix")
     matrix_market.write(a, path, rows, cols, banner)
     return matrix_market.read(spark, path)
 
@@ -78,21 +72,21 @@ def matrix_market_array_symmetric(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_retailprice AS v FROM part")
 def raw_doubles(spark, sf_dir):
-    path = _file(spark, "doubles")
+    path = scratch(spark, "doubles")
     raw.write_doubles(prices(spark, sf_dir), path)
     return raw.read_doubles(spark, path).select("i", "v")
 
 
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings")
 def point_file(spark, sf_dir):
-    path = _file(spark, "points")
+    path = scratch(spark, "points")
     raw.write_points(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("p")), path)
     return raw.read_points(spark, path).select("id", F.posexplode("p").alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), "v")
 
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_retailprice AS v FROM part")
 def field_file(spark, sf_dir):
-    path = _file(spark, "field")
+    path = scratch(spark, "field")
     raw.write_field(prices(spark, sf_dir), path)
     return raw.read_field(spark, path)
 

@@ -159,10 +159,20 @@ def nested_solve(spark, sf_dir):
     return rounded(exact(found.x), "v", digits=5).select(F.col("i").alias("id"), F.col("v") + 0.0, F.lit(found.converged and found.iterations <= 8).alias("few")).toDF("id", "v", "few")
 
 
-@query()
+def _stokes_rows() -> str:
+    """Row 3 a + k of the matrix: over all b and l, t2 e_k e_l and, where l is k, t1; added up plainly and times the column 3 b + l."""
+    one = lambda k, c: f"SELECT a * 3 + {k} AS i, sum(t * e{c} * (ex + ey + ez) + t) AS total, sum(t * e{c} * (3 * b * (ex + ey + ez) + ey + 2 * ez) + t * (3 * b + {k})) AS weighted FROM e GROUP BY 1"
+    rows = " UNION ALL ".join(one(k, c) for k, c in enumerate("xyz"))
+    return f"""WITH p AS ({_P}), w AS (SELECT a, b, {_R2} AS r2 FROM p a CROSS JOIN p b), u AS (SELECT a, b, r2, CASE WHEN r2 = 0 THEN 0 ELSE 1 / sqrt(r2) END AS i FROM w),
+      e AS (SELECT a.id AS a, b.id AS b, {_ST} AS t, (a.x - b.x) * i AS ex, (a.y - b.y) * i AS ey, (a.z - b.z) * i AS ez FROM u)
+      SELECT i, round(total, 5) AS total, round(weighted, 2) AS weighted FROM ({rows})"""
+
+
+@query(_stokes_rows())
 def stokes_matrix_whole(spark, sf_dir):
-    """The kernel matrix of all points."""
-    return rounded(nbody.stokes_matrix(points(spark, sf_dir)), "v", digits=8)
+    """The kernel matrix of all points: each row's entries added up, and added up times their columns."""
+    rows = nbody.stokes_matrix(points(spark, sf_dir)).groupBy("i").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("j")).alias("weighted"))
+    return rows.select("i", F.round("total", 5).alias("total"), F.round("weighted", 2).alias("weighted"))
 
 
 def _symmetric_vectors(spark, sf_dir, kernel):

@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is dropped when the interpreter ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: iterations keep a plan of constant size, and a lost
     executor costs a read."""
