@@ -42,12 +42,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def audited(graph: Hnsw, exact: np.ndarray, queries: np.ndarray, least: float, beam: int, audit: int, tally: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def audited(graph: Hnsw, exact: np.ndarray, queries: np.ndarray, least: float, beam: int, audit: int, tally: np.ndarray | None = None, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (query, node) of cosine >= least; ``exact`` are the shard's unit vectors in double precision. ``tally`` counts
-    queries by the graph, queries by a scan, audited links, and those of them that the first beam found."""
+    queries by the graph, queries by a scan, audited links, and those of them that the first beam found. Where the queries are the shard's
+    ``own`` vectors, a vector's match with itself is no link and isn't audited."""
     q = queries.astype(np.float32)
     picked = np.arange(0, len(q), max(1, len(q) // max(1, audit)))
     true = queries[picked] @ exact.T >= least
+    if own:
+        true[np.arange(len(picked)), picked] = False
     tally = np.zeros(4, np.int64) if tally is None else tally
     tally[2] += true.sum()
     first = True
@@ -94,7 +97,7 @@ class Pair:
                 own = ids is ids2
                 if not self.same and block == block2:
                     continue  # searched where the block meets itself
-                a, b = audited(graph2, x2, x, self.least, self.beam, self.audit, tally)
+                a, b = audited(graph2, x2, x, self.least, self.beam, self.audit, tally, own)
                 if own:
                     a, b = mirrored(a, b, len(ids))
                     a, b = a[a != b], b[a != b]
@@ -114,7 +117,8 @@ class Pair:
 
 def near_duplicates(vectors: DataFrame, min_cosine: float = 0.98, shard_rows: int = SHARD_ROWS, beam: int = 32, audit: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: dict | None = None) -> DataFrame:
     """Per vector: id, n_links, component_id, kept (id = component_id). ``report`` is given what the audits found (it is logged, too):
-    graph_queries, scan_queries, audited links, found (by the first beam) and recall."""
+    graph_queries, scan_queries, audited links (without a vector's own match), found (by the first beam) and recall (None where no audited vector
+    has a link)."""
     spark = vectors.sparkSession
     n = n_partitions(spark, vectors.select(vector_col))
     v = F.col("v")
@@ -169,7 +173,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.98, shard_rows: in
     found, _ = written(near, "links")
     said = {r["v"]: r["n"] for r in found.where("v < -1").groupBy("v").agg(F.sum("n").alias("n")).collect()}  # four rows
     told = dict(zip(("graph_queries", "scan_queries", "audited", "found"), (said.get(-2 - k, 0) for k in range(4))))
-    told["recall"] = told["found"] / told["audited"] if told["audited"] else 1.0
+    told["recall"] = told["found"] / told["audited"] if told["audited"] else None
     LOG.info("audits of embedding near-duplicates: %s", told)
     if report is not None:
         report.update(told)

@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("latticework.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from latticework.llm import conversations, packing  # noqa: E402
+from latticework.llm import conversations, embedding_dedup, packing  # noqa: E402
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 CONV = "conv_id long, turn long, role string, text string, audit string, copies string, again string, digest string, c string, r string, first string, n string"
@@ -324,3 +324,19 @@ def test_split_of_the_basic_plane_is_the_same():
         text = "".join(f"a{c}b {c}1{c}  {c}.{c}\n{c}{c} 's{c}'t {c}" for c in some)
         assert quick.findall(text) == whole.findall(text)
     assert basic_plane(r"\w+") is None and basic_plane(r"[\S]") is None
+
+
+def test_audits_count_links_only(spark):
+    """With every query audited, the audited links are those of a brute count, both ways, without any vector's own match."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 16))
+    x[200:] = x[:100] + rng.normal(size=(100, 16)) * 0.02  # near copies
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = int((unit @ unit.T >= 0.98).sum()) - 300
+    report = {}
+    table = lambda v: spark.createDataFrame([(k, r.tolist(), 1) for k, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(table(x), shard_rows=90, audit=1000, report=report).collect()
+    assert sum(r["n_links"] for r in got) == links == report["audited"] > 150
+    assert 0.9 <= report["recall"] <= 1.0
+    embedding_dedup.near_duplicates(table(rng.normal(size=(50, 16))), report=report).collect()
+    assert report["audited"] == 0 and report["recall"] is None
