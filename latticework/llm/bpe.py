@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from latticework.llm.common import kept, text_or_empty
 
-CACHE_WORDS = 1_500_000  # some 200 bytes each
+CACHE_WORDS = 1_000_000  # some 200 bytes each
 WIDE = 128  # longer pre-tokens are merged one at a time
 NONE = np.iinfo(np.int64).max
 
