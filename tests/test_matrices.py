@@ -124,7 +124,7 @@ def test_whole_tables_meet(spark, tmp_path):
     vectors = [(k, [float(x) for x in rng.uniform(-1, 1, 6)], k % 5) for k in range(9)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     m = np.zeros((27, 27))
-    for r in points.stokes_matrix_whole(spark, str(tmp_path)).collect():
+    for r in nbody.stokes_matrix(points.points(spark, str(tmp_path))).collect():
         m[r["i"], r["j"]] = r["v"]
     x = np.array([v[:3] for _, v, _ in vectors], np.float32).astype(float)
     c = 1 / (6 * np.pi * 0.25 * 0.5)
