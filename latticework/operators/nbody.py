@@ -1,8 +1,9 @@
 """All-pairs sums over point sets (id, x, y, z, q or qx, qy, qz; or id and an array of coordinates).
 
 Every target meets every source: that is the operator. Targets and sources are dealt into blocks and meet by an
-equality join on the pair of block numbers, so the work spreads over blocks^2 tasks without broadcasting a side, and
-sums are combined before the shuffle. There are as many blocks as keep one at ``BLOCK_ROWS`` points. Products with kernels of coordinate arrays
+key on the pair of block numbers, so the work spreads over blocks^2 steps of tasks without broadcasting a side. A step goes over tiles of its
+pair of blocks and gives one part of a sum for each point: no pair of points is ever a row. Points are sent once for each block, of which there
+are few: what is sent grows with the points. Products with kernels of coordinate arrays
 take a pair of blocks as three matrix products in one task; with a tolerance, blocks that are far apart become products
 of two thin factors.
 """
@@ -21,11 +22,19 @@ from latticework.operators.trees import kd_tree
 from latticework.tables import n_partitions
 
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, MOST_ROWS = 4096, 1 << 16
+FEW_BLOCKS = 32
+TILE = 16, 960  # an array of a tile is below what the C library maps anew each time, and stays in a core's cache
+
+
+def blocks_of(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    """As many blocks as keep one at ``block_rows``; no more than ``FEW_BLOCKS`` while they then stay within ``MOST_ROWS``, as a row is sent once
+    for each block."""
+    return max(min(FEW_BLOCKS, -(-rows // block_rows)), -(-rows // max(block_rows, MOST_ROWS)))
 
 
 def block_count(targets: DataFrame, sources: DataFrame) -> int:
-    return max(4, -(-max(targets.count(), sources.count()) // BLOCK_ROWS))
+    return max(4, blocks_of(max(targets.count(), sources.count())))
 
 
 def pairs(targets: DataFrame, sources: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -42,54 +51,156 @@ def _position(p: str) -> list[Column]:
     return [F.col(f"{p}.{c}") for c in "xyz"]
 
 
-def scalar_sum(targets: DataFrame, sources: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
-    """Per target the sum of kernel(r^2) q over all sources: rows (id, v)."""
-    _, r2 = kernels.separation(_position("a"), _position("b"))
-    return pairs(targets, sources, blocks).groupBy(F.col("a.id").alias("id")).agg(F.sum(kernel(r2) * F.col("b.q")).alias("v"))
+def _sums(targets: DataFrame, sources: DataFrame, given: tuple[list[str], list[str]], step: Callable, out: list[str], blocks: int | None) -> DataFrame:
+    """Rows (side, id, *out) with parts of sums, for the targets (side 0) and, where ``step`` gives them, the sources (side 1).
 
+    ``given``: the columns of both sides, x, y, z first. A pair of blocks is a step of one task, over tiles of it: ``step(a, b, va, vb)``
+    adds to va (targets x out) and vb (sources x out) what a tile gives, a and b being its columns. What has a null counts as SQL's
+    sums count it: a point without a place gets null, one without a charge gives nothing."""
+    spark = targets.sparkSession
+    blocks = blocks or block_count(targets, sources)
+    width = max(map(len, given))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def side(d: DataFrame, k: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(*d.columns), F.lit(blocks)).cast("int")
+        held = d.select(own.alias("own"), every.alias("other"), F.col("id").cast("long").alias("id"), *[(F.col(given[k][c]) if c < len(given[k]) else F.lit(None)).cast("double").alias(f"c{c}") for c in range(width)])
+        at = F.col("own") * blocks + F.col("other") if k == 0 else F.col("other") * blocks + F.col("own")
+        return held.select(at.alias("key"), F.lit(k).alias("side"), "id", *[f"c{c}" for c in range(width)])
+
+    def products(held: list[pa.RecordBatch]):
+        met = pa.Table.from_batches(held)
+        sides = met.column("side").to_numpy()
+        cut = int(np.searchsorted(sides, 1))
+        ids, columns, placed, charged, sums = [], [], [], [], []
+        for k, (lo, hi) in enumerate(((0, cut), (cut, len(sides)))):
+            part = met.slice(lo, hi - lo).combine_chunks()
+            whole = [part.column(f"c{c}").is_valid().to_numpy() for c in range(len(given[k]))]
+            placed.append(np.logical_and.reduce(whole[:3]))
+            charged.append(np.logical_and.reduce(whole))
+            ids.append(part.column("id").combine_chunks())
+            columns.append([part.column(f"c{c}").to_numpy(zero_copy_only=False) for c in range(len(given[k]))])
+            sums.append(np.zeros((hi - lo, len(out))))
+        two = len(given[0]) > 3  # the targets have charges, too
+        a, b = [c[placed[0]] for c in columns[0]], [c[placed[1]] for c in columns[1]]
+        if two:  # nothing from a point that has no whole charge
+            a[3:] = [np.where(charged[0][placed[0]], c, 0.0) for c in a[3:]]
+        b[3:] = [np.where(charged[1][placed[1]], c, 0.0) for c in b[3:]]
+        va, vb = np.zeros((len(a[0]), len(out))), np.zeros((len(b[0]), len(out)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for n in range(0, len(va), TILE[0]):
+                for m in range(0, len(vb), TILE[1]):
+                    n2, m2 = n + TILE[0], m + TILE[1]
+                    step([c[n:n2] for c in a], [c[m:m2] for c in b], va[n:n2], vb[m:m2])
+        for k, (v, other) in enumerate(((va, charged[1]), (vb, charged[0]))[: 1 + two]):
+            if len(ids[k]):
+                sums[k][placed[k]] = v
+                none = ~placed[k] | ~other.any() if len(other) else None
+                if none is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(none), k, np.int32)), ids[k], *[pa.array(sums[k][:, c], mask=none) for c in range(len(out))]], names=["side", "id", *out])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if keys[lo] != key:
+                    if held:
+                        yield from products(held)
+                    key, held = keys[lo], []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from products(held)
+
+    tasks = min(blocks * blocks, max(n_partitions(spark, targets), 4 * spark.sparkContext.defaultParallelism))
+    met = side(targets, 0).unionByName(side(sources, 1)).repartitionById(tasks, F.col("key")).sortWithinPartitions("key", "side")
+    return met.mapInArrow(run, ", ".join(["side int, id long", *(f"{c} double" for c in out)]))
+
+
+def _tile(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Separations and their squared length, targets x sources."""
+    return kernels.separation([x[:, None] for x in a[:3]], [y[None, :] for y in b[:3]])
+
+
+def _vector_tile(a: list[np.ndarray], b: list[np.ndarray], kernel) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Separations, t1, and t2 over the squared length (0 where points coincide)."""
+    d, r2 = _tile(a, b)
+    inv = kernels.reciprocal(r2)
+    t1, t2 = kernel(r2, np.sqrt(r2), inv)
+    inv *= inv
+    inv *= t2
+    return d, t1, inv
 
-def _met(targets: DataFrame, sources: DataFrame, kernel, blocks: int | None) -> DataFrame:
-    """Pairs with the kernel's t1 and t2 and the unit separation e0, e1, e2, each a column of its own: inlined into the
-    products, they would outgrow a generated method."""
-    met = pairs(targets, sources, blocks)
-    met = met.select("a", "b", *[(x - y).alias(f"d{k}") for k, (x, y) in enumerate(zip(_position("a"), _position("b")))])
-    d = [F.col(f"d{k}") for k in range(3)]
-    met = met.withColumn("r2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).withColumn("r", F.sqrt("r2")).withColumn("inv", kernels.reciprocal(F.col("r2")))
-    t1, t2 = kernel(F.col("r2"), F.col("r"), F.col("inv"))
-    return met.select("a", "b", t1.alias("t1"), t2.alias("t2"), *[(x * F.col("inv")).alias(f"e{k}") for k, x in enumerate(d)])
 
+def _act(d: list[np.ndarray], t1: np.ndarray, t2: np.ndarray, q: list[np.ndarray], v: np.ndarray, sources: bool) -> None:
+    """Adds the kernel times (qx, qy, qz) of one side to the other's sums."""
+    along = sum((x * c for x, c in zip(d[1:], q[1:])), d[0] * q[0])
+    along *= t2
+    for k in range(3):
+        line = q[k].ravel()
+        v[:, k] += line @ t1 + np.einsum("ij,ij->j", along, d[k]) if sources else t1 @ line + np.einsum("ij,ij->i", along, d[k])
 
-def _acts(met: DataFrame, side: str, out: str) -> DataFrame:
-    """Columns ``out``0, 1, 2: the kernel times the other side's (qx, qy, qz)."""
-    q = [F.col(f"{side}.q{c}") for c in "xyz"]
-    met = met.withColumn(f"{out}_along", F.col("t2") * (F.col("e0") * q[0] + F.col("e1") * q[1] + F.col("e2") * q[2]))
-    return met.withColumns({f"{out}{k}": F.col("t1") * q[k] + F.col(f"{out}_along") * F.col(f"e{k}") for k in range(3)})
+
+def _side() -> Column:
+    return F.when(F.col("side") == 0, "left").otherwise("right").alias("side")
+
+
+def scalar_sum(targets: DataFrame, sources: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
+    """Per target the sum of kernel(r^2) q over all sources: rows (id, v). ``kernel`` takes and gives numpy arrays."""
+
+    def step(a, b, va, vb):
+        va[:, 0] += kernel(_tile(a, b)[1]) @ b[3]
+
+    return _sums(targets, sources, ([*"xyz"], [*"xyzq"]), step, ["v"], blocks).groupBy("id").agg(F.sum("v").alias("v"))
 
 
 def vector_sum(targets: DataFrame, sources: DataFrame, kernel=kernels.rpy, blocks: int | None = None) -> DataFrame:
     """Per target the sum of a 3 x 3 kernel times (qx, qy, qz): rows (id, vx, vy, vz)."""
-    met = _acts(_met(targets, sources, kernel, blocks), "b", "u")
-    return met.groupBy(F.col("a.id").alias("id")).agg(*[F.sum(f"u{k}").alias(f"v{c}") for k, c in enumerate("xyz")])
 
+    def step(a, b, va, vb):
+        _act(*_vector_tile(a, b, kernel), [q[None, :] for q in b[3:]], va, False)
+
+    out = ["vx", "vy", "vz"]
+    return _sums(targets, sources, ([*"xyz"], [*"xyz", "qx", "qy", "qz"]), step, out, blocks).groupBy("id").agg(*[F.sum(c).alias(c) for c in out])
 
-def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[Column], Column] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
-    """K q(right) at the left points and K' q(left) at the right points from one sweep: rows (side, id, v). Each pair emits
-    its two contributions; the kernel is evaluated once for both."""
-    _, r2 = kernels.separation(_position("a"), _position("b"))
-    swept = pairs(left, right, blocks).select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib"), kernel(r2).alias("k"), F.col("a.q").alias("qa"), F.col("b.q").alias("qb"))
-    both = F.array(
-        F.struct(F.lit("left").alias("side"), F.col("ia").alias("id"), (F.col("k") * F.col("qb")).alias("v")),
-        F.struct(F.lit("right").alias("side"), F.col("ib").alias("id"), (F.col("k") * F.col("qa")).alias("v")),
-    )
-    return swept.select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(F.sum("c.v").alias("v"))
+
+def symmetric_sum(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = kernels.reciprocal, blocks: int | None = None) -> DataFrame:
+    """K q(right) at the left points and K' q(left) at the right points from one sweep: rows (side, id, v). The kernel is evaluated
+    once for both."""
+
+    def step(a, b, va, vb):
+        k = kernel(_tile(a, b)[1])
+        va[:, 0] += k @ b[3]
+        vb[:, 0] += a[3] @ k
+
+    return _sums(left, right, ([*"xyzq"], [*"xyzq"]), step, ["v"], blocks).groupBy(_side(), "id").agg(F.sum("v").alias("v"))
 
 
 def symmetric_vector_sum(left: DataFrame, right: DataFrame, kernel=kernels.rpy, blocks: int | None = None) -> DataFrame:
     """As symmetric_sum for a symmetric 3 x 3 kernel, which is even in the separation: rows (side, id, vx, vy, vz). The kernel's terms are
     evaluated once for both."""
-    met = _acts(_acts(_met(left, right, kernel, blocks), "b", "u"), "a", "w")
-    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{p}.id").alias("id"), *[F.col(f"{v}{k}").alias(f"v{c}") for k, c in enumerate("xyz")]) for side, p, v in (("left", "a", "u"), ("right", "b", "w"))])
-    return met.select(F.explode(both).alias("c")).groupBy("c.side", "c.id").agg(*[F.sum(f"c.v{c}").alias(f"v{c}") for c in "xyz"])
+
+    def step(a, b, va, vb):
+        d, t1, t2 = _vector_tile(a, b, kernel)
+        _act(d, t1, t2, [q[None, :] for q in b[3:]], va, False)
+        _act(d, t1, t2, [q[:, None] for q in a[3:]], vb, True)
+
+    given, out = [*"xyz", "qx", "qy", "qz"], ["vx", "vy", "vz"]
+    return _sums(left, right, (given, given), step, out, blocks).groupBy(_side(), "id").agg(*[F.sum(c).alias(c) for c in out])
+
+
+def _met(targets: DataFrame, sources: DataFrame, kernel, blocks: int | None) -> DataFrame:
+    """Pairs with the kernel's t1 and t2 and the unit separation e0, e1, e2, each a column of its own: inlined into the
+    products, they would outgrow a generated method."""
+    met = pairs(targets, sources, blocks)
+    met = met.select("a", "b", *[(x - y).alias(f"d{k}") for k, (x, y) in enumerate(zip(_position("a"), _position("b")))])
+    d = [F.col(f"d{k}") for k in range(3)]
+    met = met.withColumn("r2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).withColumn("r", F.sqrt("r2")).withColumn("inv", kernels.reciprocal(F.col("r2")))
+    t1, t2 = kernel(F.col("r2"), F.col("r"), F.col("inv"))
+    return met.select("a", "b", t1.alias("t1"), t2.alias("t2"), *[(x * F.col("inv")).alias(f"e{k}") for k, x in enumerate(d)])
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -201,6 +312,31 @@ def kernel_matrix(points: DataFrame, kernel: Callable[[Column], Column], mu: flo
     return pairs(points, points, blocks).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), entry.alias("v"))
 
 
+def stokes_rows(points: DataFrame, blocks: int | None = None) -> DataFrame:
+    """The rows of the same matrix, each added up, and added up times the columns: (i, total, weighted). Entries are made a tile at a time, in tasks,
+    and none leaves its task."""
+
+    def step(a, b, va, vb):
+        d, t1, t2 = _vector_tile(a, b, kernels.stokes)
+        once = np.ones(len(b[3]))
+        for k in range(3):
+            for c in range(3):
+                if k <= c:
+                    entries = d[k] * d[c]
+                    entries *= t2
+                    if k == c:
+                        entries += t1
+                    va[:, 2 * k : 2 * k + 2] += entries @ np.stack([once, 3 * b[3] + c], 1)
+                    if k < c:  # the entry of c and k is the same
+                        va[:, 2 * c : 2 * c + 2] += entries @ np.stack([once, 3 * b[3] + k], 1)
+
+    given = points.select("id", *"xyz", F.col("id").alias("column"))
+    out = [f"{s}{k}" for k in range(3) for s in ("total", "weighted")]
+    sums = _sums(given, given, ([*"xyz"], [*"xyz", "column"]), step, out, blocks).groupBy("id").agg(*[F.sum(c).alias(c) for c in out])
+    rows = F.array(*[F.struct((F.col("id") * 3 + k).alias("i"), F.col(f"total{k}").alias("total"), F.col(f"weighted{k}").alias("weighted")) for k in range(3)])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def stokes_matrix(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """The 3n x 3n Stokes kernel matrix as (i, j, v): row 3 id + k, column 3 id + l."""
     met = _met(points, points, kernels.stokes, blocks)
