@@ -209,15 +209,30 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def _block_pairs(points: DataFrame, rows: int, apart: bool) -> DataFrame:
-    """(i, j, block, id, p, q): each point with each block. Where blocks are to be ``apart`` they are leaves of a k-d tree, else any even ones."""
+    """(i, j, block, leaf, id, p, q): each point with each block. Where they are to be ``apart`` points are in leaves of a k-d tree of at most ``rows``,
+    and a block is a subtree; else blocks are any even ones."""
     if apart:
         dealt, levels = kd_tree(points, rows)
-        dealt, blocks = dealt.withColumnRenamed("leaf", "block"), 1 << levels
+        below = max(0, levels - (blocks_of(rows << levels, rows) - 1).bit_length())
+        dealt, blocks = dealt.withColumn("block", F.shiftright("leaf", below)), 1 << (levels - below)
     else:
-        blocks = max(1, -(-points.count() // rows))
-        dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    dealt = dealt.select("block", "id", "p", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
-    return dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "p", "q")
+        blocks = max(1, blocks_of(points.count(), rows))
+        dealt = points.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "leaf": F.lit(0).cast("long")})
+    dealt = dealt.select("block", "leaf", "id", "p", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    return dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "leaf", "id", "p", "q")
+
+
+PROBE = 16
+
+
+def may_be_thin(a: np.ndarray, b: np.ndarray, entry, tolerance: float) -> bool:
+    """Whether a few rows and columns let a rank of a third of the smaller side be hoped for; where not, making thin factors would only take time."""
+    most = min(len(a), len(b)) // 3
+    if most <= PROBE:
+        return most > 0
+    some = lambda x: x[np.linspace(0, len(x) - 1, PROBE).astype(np.int64)]
+    s = np.linalg.svd(entry(some(a), some(b)), compute_uv=False)
+    return s[-1] <= s[0] * tolerance ** (PROBE / most)
 
 
 def thin_factors(a: np.ndarray, b: np.ndarray, entry, tolerance: float) -> tuple[np.ndarray, np.ndarray] | None:
@@ -247,10 +262,11 @@ def thin_factors(a: np.ndarray, b: np.ndarray, entry, tolerance: float) -> tuple
 
 def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], mu: float = 0.0, rows: int = 2048, tolerance: float = 0.0) -> DataFrame:
     """Per point of (id, p, q) the sum of kernel(r^2) q over all, the diagonal being 1 + mu: rows (id, v, thin). ``kernel`` takes and
-    gives numpy arrays; ids are unique. A pair of blocks is one task's step and serves both: memory is that of one tile.
+    gives numpy arrays; ids are unique. A pair of blocks is one task's step and serves both: memory is that of two blocks and a tile. Blocks have
+    ``rows`` points, or more where there would be more than a few of them.
 
-    With a positive ``tolerance`` blocks are leaves of a k-d tree, and a pair of different ones is compressed to two thin factors first,
-    where their rank allows; ``thin`` counts the blocks that a point met so."""
+    With a positive ``tolerance`` blocks are subtrees of a k-d tree with leaves of at most ``rows``, and a pair of different leaves is compressed to two
+    thin factors first, where their rank allows; ``thin`` counts the leaves that a point met so."""
     spark = points.sparkSession
     given = points.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"), F.col("q").cast("double").alias("q"))
 
@@ -258,32 +274,41 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
         r2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
         return kernel(np.maximum(r2, 0.0))
 
+    def dense(x, y, p, q, v):
+        """Adds what two ranges of points give each other, or one itself (the diagonal is set, not computed), a bounded tile at a time."""
+        for at in range(x.start, x.stop, 1024):
+            n = slice(at, min(at + 1024, x.stop))
+            for to in range(y.start, y.stop, 2048):
+                m = slice(to, min(to + 2048, y.stop))
+                tile = entry(p[n], p[m])
+                if x == y:
+                    both = np.arange(max(n.start, m.start), min(n.stop, m.stop))
+                    tile[both - n.start, both - m.start] = 1.0 + mu
+                else:
+                    v[m] += q[n] @ tile
+                v[n] += tile @ q[m]
+
     def products(key, held):
-        block, ids, p, q = (np.concatenate(x) for x in held)
-        first = block == key[0]
-        a, b = np.flatnonzero(first), np.flatnonzero(~first)
-        if key[0] == key[1]:
-            for at in range(0, len(ids), 1024):  # the diagonal is set, not computed
-                tile = entry(p[at : at + 1024], p)
-                tile[np.arange(len(tile)), np.arange(at, at + len(tile))] = 1.0 + mu
-                yield ids[at : at + 1024], tile @ q, 0
-            return
-        thin = thin_factors(p[a], p[b], entry, tolerance) if tolerance > 0 else None
-        if thin is not None:
-            u, v = thin
-            yield ids[a], u @ (v.T @ q[b]), 1
-            yield ids[b], v @ (u.T @ q[a]), 1
-            return
-        back = np.zeros(len(b))
-        for at in range(0, len(a), 1024):
-            part = a[at : at + 1024]
-            tile = entry(p[part], p[b])
-            yield ids[part], tile @ q[b], 0
-            back += tile.T @ q[part]
-        yield ids[b], back, 0
+        block, leaf, ids, p, q = (np.concatenate(x) for x in held)
+        v, thin = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        cuts = [0, *(np.flatnonzero((leaf[1:] != leaf[:-1]) | (block[1:] != block[:-1])) + 1), len(ids)]
+        leaves = [(block[lo], slice(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        for k, (own, x) in enumerate(leaves):
+            for other, y in leaves[k if key[0] == key[1] else k + 1 :]:
+                if key[0] != key[1] and own == other:
+                    continue  # met where the block meets itself
+                made = thin_factors(p[x], p[y], entry, tolerance) if tolerance > 0 and x != y and may_be_thin(p[x], p[y], entry, tolerance) else None
+                if made is None:
+                    dense(x, y, p, q, v)
+                    continue
+                v[x] += made[0] @ (made[1].T @ q[y])
+                v[y] += made[1] @ (made[0].T @ q[x])
+                thin[x] += 1
+                thin[y] += 1
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v), pa.array(thin)], names=["id", "v", "thin"])
 
     def run(batches):
-        key, held = None, ([], [], [], [])
+        key, held = None, ([], [], [], [], [])
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -292,17 +317,17 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if key != (i[lo], j[lo]):
                     if held[0]:
-                        yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v), pa.array([thin] * len(x), pa.int64())], names=["id", "v", "thin"]) for x, v, thin in products(key, held))
-                    key, held = (i[lo], j[lo]), ([], [], [], [])
+                        yield products(key, held)
+                    key, held = (i[lo], j[lo]), ([], [], [], [], [])
                 part = batch.slice(lo, hi - lo)
-                for h, c in zip(held, ("block", "id", "p", "q")):
+                for h, c in zip(held, ("block", "leaf", "id", "p", "q")):
                     column = part.column(c)
                     h.append((column.flatten() if c == "p" else column).to_numpy(zero_copy_only=False).copy())
-                held[2][-1] = held[2][-1].reshape(hi - lo, -1)
+                held[3][-1] = held[3][-1].reshape(hi - lo, -1)
         if held[0]:
-            yield from (pa.RecordBatch.from_arrays([pa.array(x), pa.array(v), pa.array([thin] * len(x), pa.int64())], names=["id", "v", "thin"]) for x, v, thin in products(key, held))
+            yield products(key, held)
 
-    met = _block_pairs(given, rows, tolerance > 0).repartition(n_partitions(spark, points), "i", "j").sortWithinPartitions("i", "j", "block")
+    met = _block_pairs(given, rows, tolerance > 0).repartition(n_partitions(spark, points), "i", "j").sortWithinPartitions("i", "j", "block", "leaf")
     return met.mapInArrow(run, "id long, v double, thin long").groupBy("id").agg(F.sum("v").alias("v"), F.sum("thin").alias("thin"))
 
 
