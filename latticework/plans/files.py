@@ -97,7 +97,9 @@ def random_inputs(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").count()
     p = generators.random_points(spark, n)
     inside = F.avg(F.forall(F.array(*"xyzq"), lambda c: (c >= 0) & (c < 1)).cast("double")).alias("inside")
-    found = p.agg(F.count(F.lit(1)).alias("points"), F.count_distinct("id").cast("int").alias("ids"), inside, F.round(F.avg("x"), 1).alias("mean_x"), F.round(F.avg("q"), 1).alias("mean_q"))
+    found = p.agg(F.count(F.lit(1)).alias("points"), inside, F.round(F.avg("x"), 1).alias("mean_x"), F.round(F.avg("q"), 1).alias("mean_q"))
+    ids = p.select("id").repartition(p.rdd.getNumPartitions(), "id").distinct().agg(F.count(F.lit(1)).cast("int").alias("ids"))  # as many tasks as rows ask for
+    found = found.crossJoin(ids).select("points", "ids", "inside", "mean_x", "mean_q")
     centred = generators.centred(spark, n).agg((F.round(F.avg("v"), 1) + 0.0).alias("mean_centred"))
     a = generators.random_coo(spark, 40, 30, n)
     cells = a.agg(F.sum("v").alias("sum_coo"), F.bool_and(F.col("i").between(0, 39) & F.col("j").between(0, 29)).cast("int").alias("coo_inside"))

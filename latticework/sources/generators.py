@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TASK_ROWS = 1 << 20
+
+
+def numbers(spark: SparkSession, n: int) -> DataFrame:
+    """0 to n - 1 in tasks of at most ``TASK_ROWS``: what a task that groups them holds does not grow with n."""
+    return spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+
+
 def vector(spark: SparkSession, n: int, value: Column) -> DataFrame:
     """(i, v) with v an expression of i."""
-    return spark.range(n).withColumnRenamed("id", "i").select("i", value.cast("double").alias("v"))
+    return numbers(spark, n).withColumnRenamed("id", "i").select("i", value.cast("double").alias("v"))
 
 
 def modular(spark: SparkSession, n: int, modulus: int, shift: int = 0) -> DataFrame:
@@ -28,16 +36,16 @@ def centred(spark: SparkSession, n: int, seed: int = 19241112) -> DataFrame:
 def random_coo(spark: SparkSession, rows: int, cols: int, entries: int, seed: int = 114514) -> DataFrame:
     """Entries at hashed places, duplicates included, of value 1."""
     u = lambda k: F.floor(uniform(F.lit(seed + k), F.col("id")) * (rows if k == 0 else cols)).cast("long")
-    return spark.range(entries).select(u(0).alias("i"), u(1).alias("j"), F.lit(1.0).alias("v"))
+    return numbers(spark, entries).select(u(0).alias("i"), u(1).alias("j"), F.lit(1.0).alias("v"))
 
 
 def random_points(spark: SparkSession, n: int, seed: int = 114514) -> DataFrame:
     """(id, x, y, z, q) in the unit cube."""
-    return spark.range(n).select("id", *[uniform(F.lit(seed + k), F.col("id")).alias(c) for k, c in enumerate("xyzq")])
+    return numbers(spark, n).select("id", *[uniform(F.lit(seed + k), F.col("id")).alias(c) for k, c in enumerate("xyzq")])
 
 
 def _square(spark: SparkSession, n: int, m: int) -> DataFrame:
-    return spark.range(n * m).select(F.floor(F.col("id") / m).alias("i"), (F.col("id") % m).alias("j"))
+    return numbers(spark, n * m).select(F.floor(F.col("id") / m).alias("i"), (F.col("id") % m).alias("j"))
 
 
 def distance_matrix(spark: SparkSession, n: int, m: int, gap: float = 1.0) -> DataFrame:
