@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.blas import equal_split
+from latticework.tables import cut, n_partitions
+
+TASK_ENTRIES = 1 << 20
 
 
 def spmv(a: DataFrame, x: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -40,8 +43,11 @@ def triple_product(r: DataFrame, a: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def gram(a: DataFrame, bound: int = 1 << 13) -> DataFrame:
-    """A' A of a coordinate matrix: a self-join on the row; rows of many entries by tiles, see ``meet``."""
-    met = meet(a.select(F.col("i").alias("k"), F.col("j").alias("p"), F.col("v").alias("x")), a.select(F.col("i").alias("k"), F.col("j").alias("q"), F.col("v").alias("y")), bound)
+    """A' A of a coordinate matrix: a self-join on the row; rows of many entries by tiles, see ``meet``. The matrix is written once, and joined in
+    as many tasks as keep one at ``TASK_ENTRIES`` of it, so a task's memory does not grow with the matrix."""
+    a = cut(a.select("i", "j", "v"))
+    tasks = max(n_partitions(a.sparkSession, a), -(-a.count() // TASK_ENTRIES))
+    met = meet(a.select(F.col("i").alias("k"), F.col("j").alias("p"), F.col("v").alias("x")), a.select(F.col("i").alias("k"), F.col("j").alias("q"), F.col("v").alias("y")), bound, tasks)
     return met.groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("v")).select(F.col("p").alias("i"), F.col("q").alias("j"), "v")
 
 
@@ -88,13 +94,15 @@ def _dealt(side: DataFrame, heavy: DataFrame, own: str, other: str, bound: int)
     return met.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), tile(F.col("_other")) - 1))).drop("_own", "_other")
 
 
-def meet(left: DataFrame, right: DataFrame, bound: int = 1 << 13) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, bound: int = 1 << 13, tasks: int | None = None) -> DataFrame:
     """All (p, x, q, y) of (k, p, x) and (k, q, y) with equal k. An index with more than ``bound`` entries on a side is cut into tiles of
     about so many on both sides, and every pair of tiles is a key of its own: a task joins a tile with a tile, never a whole index with
-    itself. Of the indices only those over the bound, at most entries / bound of them, are joined to the entries."""
+    itself. Of the indices only those over the bound, at most entries / bound of them, are joined to the entries. ``tasks``: in how many the pairs are made, where Spark is not to say."""
     l, r = left.select("k", F.col("p").alias("at"), F.col("x").alias("v")), right.select("k", F.col("q").alias("at"), F.col("y").alias("v"))  # noqa: E741
     sides = l.select("k", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(r.select("k", F.lit(0).alias("a"), F.lit(1).alias("b")))
     heavy = sides.groupBy(F.col("k").alias("_k")).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")).where((F.col("ta") > bound) | (F.col("tb") > bound))
     a = _dealt(l, heavy, "ta", "tb", bound).select("k", "ta", "tb", F.col("at").alias("p"), F.col("v").alias("x"))
     b = _dealt(r, heavy, "tb", "ta", bound).select("k", "ta", "tb", F.col("at").alias("q"), F.col("v").alias("y"))
+    if tasks is not None:
+        a, b = (d.repartition(tasks, "k", "ta", "tb") for d in (a, b))
     return a.join(b, ["k", "ta", "tb"]).select("p", "x", "q", "y")
