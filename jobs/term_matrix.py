@@ -19,18 +19,21 @@ run that was cut off is simply repeated.
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from jobs.common import main
 from latticework.operators import blas, sparse
-from latticework.tables import drop_path, written
+from latticework.tables import drop_path, n_partitions, scratch, written
 
 log = logging.getLogger("term_matrix")
 DEFAULTS = {"languages": None, "blocks": 64}
 ROWS = "doc_id long, i long, n long, row_end long, words long, first_j long, last_j long, y long, lang string"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PART_BYTES = 8 << 20  # of the text table's files
 
 
 def _numbered(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -51,40 +54,62 @@ def run(spark: SparkSession, documents: str, out: str, config: dict | None = Non
     docs = spark.read.parquet(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.nullif(F.col("lang").cast("string"), F.lit("")), F.lit("unknown")).alias("lang"), "text")
     if config["languages"] is not None:
         docs = docs.where(F.col("lang").isin(list(config["languages"])))
-    steps: list[str] = []
+    named = docs.where("doc_id is not null")
+    parts = n_partitions(spark, docs, PART_BYTES)
+    steps: list[tuple[str, str | None]] = []
 
     def step(df: DataFrame, name: str) -> DataFrame:
         table, path = written(df, f"term-matrix-{name}")
-        steps.append(path)
+        steps.append((path, None))
         return table
 
+    def by_part(df: DataFrame, name: str) -> DataFrame:
+        """A step's table in buckets: what joins or groups by ``part`` and more reads a part's rows where they are."""
+        table, path = f"term_matrix_{name}_{uuid.uuid4().hex}", scratch(spark, f"term-matrix-{name}")
+        steps.append((path, table))
+        df.write.format("parquet").bucketBy(parts, "part").option("path", path).saveAsTable(table)
+        return spark.table(table)
+
+    keys = "spark.sql.requireAllClusterKeysForCoPartition"
+    asked = spark.conf.get(keys)
+    spark.conf.set(keys, "false")  # joins by ``part`` and more leave the entries where they are
     try:
+        # a part is a range of documents: its words are counted, met with their numbers and written in one task, and only the words that
+        # differ in it are sent on
+        dealt = named.repartitionByRange(parts, "lang", "doc_id").sortWithinPartitions("lang", "doc_id").withColumn("part", F.spark_partition_id())
         word = F.explode(F.split(F.translate("text", UPPER, LOWER), "[ \t-\r]+")).alias("term")
-        counts = docs.where("doc_id is not null").select("lang", "doc_id", word).where("term <> ''").groupBy("lang", "doc_id", "term").agg(F.count(F.lit(1)).alias("v"))
-        counts = step(counts, "counts")
-        terms = counts.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("v").alias("total"))
+        counts = by_part(dealt.select("part", "lang", "doc_id", word).where("term <> ''").groupBy("part", "lang", "doc_id", "term").agg(F.count(F.lit(1)).alias("v")), "counts")
+        own = by_part(counts.groupBy("part", "lang", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("v").alias("total")), "own")
+        terms = own.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("total").alias("total"))
         terms = step(_numbered(terms, "term", "j"), "terms")
-        sizes = counts.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("words"))
-        every = docs.where("doc_id is not null").select("lang", "doc_id").distinct().join(sizes, ["lang", "doc_id"], "left").fillna(0, ["n", "words"])
-        rows = step(_numbered(every, "doc_id", "i"), "rows")
-        entries = counts.join(terms.select("lang", "term", "all_j"), ["lang", "term"]).join(rows.select("lang", "doc_id", "all_i"), ["lang", "doc_id"])
-        blocked = step(sparse.blocked(entries.select(F.col("all_i").alias("i"), F.col("all_j").alias("j"), "v"), config["blocks"]), "entries")
-        product = sparse.spmv_blocked(blocked, terms.select(F.col("all_j").alias("i"), F.col("documents").alias("v")))
-        spans = blocked.groupBy("i").agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
-        ended = blas.running_total(rows, ["all_i"], "n", "end")
-        starts = rows.groupBy("lang").agg(F.min("all_i").alias("row0"))
-        starts = ended.join(starts, "lang").where("all_i = row0").select("lang", (F.col("end") - F.col("n")).alias("end0"))
-        col0 = terms.groupBy("lang").agg(F.min("all_j").alias("col0"))
-        done = ended.join(starts, "lang").join(col0, "lang", "left").join(product.withColumnRenamed("i", "all_i"), "all_i", "left").join(spans.withColumnRenamed("i", "all_i"), "all_i", "left")
-        table = done.select("doc_id", "i", "n", (F.col("end") - F.col("end0")).alias("row_end"), "words", (F.col("lo") - F.col("col0")).alias("first_j"), (F.col("hi") - F.col("col0")).alias("last_j"), F.coalesce("v", F.lit(0)).cast("long").alias("y"), "lang")
-        placed = rows.select("lang", F.col("all_i"), F.col("i").alias("row")).join(blocked.withColumnRenamed("i", "all_i"), "all_i").join(col0, "lang")
+        numbers = own.select("part", "lang", "term").join(terms.select("lang", "term", "j", "documents"), ["lang", "term"])
+        numbers = by_part(numbers.repartition(parts, "part"), "numbers").hint("shuffle_hash")
+        sizes = counts.groupBy("part", "lang", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("words"))
+        every = named.select("lang", "doc_id").distinct().join(sizes, ["lang", "doc_id"], "left").fillna(0, ["n", "words"])
+        ended = blas.running_total(_numbered(every, "doc_id", "i"), ["all_i"], "n", "end")
+        size = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        block = lambda at: sparse.block_of(at, size, config["blocks"])
+        rows = step(ended.withColumn("first", block(F.col("end") - F.col("n"))).withColumn("last", block(F.col("end") - 1)), "rows")
+        # y = A x is summed where a part's entries are; the few rows that lie in several blocks are put in order for their entries' blocks
+        met = counts.join(numbers, ["part", "lang", "term"])
+        sums = met.groupBy("part", "lang", "doc_id").agg(F.min("j").alias("first_j"), F.max("j").alias("last_j"), F.sum(F.col("v") * F.col("documents")).alias("y")).drop("part")
+        starts = rows.groupBy("lang").agg(F.min(F.col("end") - F.col("n")).alias("end0"))
+        table = rows.join(starts, "lang").join(sums, ["lang", "doc_id"], "left").withColumn("row_end", F.col("end") - F.col("end0")).withColumn("y", F.coalesce("y", F.lit(0)).cast("long"))
+        filled = rows.where("n > 0").select("part", "lang", "doc_id", "i", "end", "n", "first", "last")
+        whole = met.join(filled.where("first = last").repartition(parts, "part").hint("shuffle_hash"), ["part", "lang", "doc_id"]).withColumnRenamed("first", "block")
+        cut_up = counts.join(F.broadcast(filled.where("first < last")), ["part", "lang", "doc_id"]).join(numbers, ["part", "lang", "term"])
+        at = F.col("end") - F.col("n") + F.row_number().over(W.partitionBy("lang", "doc_id").orderBy("j")) - 1
+        placed = whole.select("i", "j", "v", "block", "lang").unionByName(cut_up.withColumn("block", block(at)).select("i", "j", "v", "block", "lang"))
         _save(terms.select("term", "j", "documents", "total", "lang"), out, "terms")
-        _save(placed.select(F.col("row").alias("i"), (F.col("j") - F.col("col0")).alias("j"), "v", "block", "lang").sortWithinPartitions("lang", "i", "j"), out, "entries")
-        _save(table, out, "rows")
+        _save(placed.sortWithinPartitions("lang", "i", "j"), out, "entries")
+        _save(table.select("doc_id", "i", "n", "row_end", "words", "first_j", "last_j", "y", "lang"), out, "rows")
         read, left_out = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
-        log.info("read %d documents of %s, %d of them without an id; wrote %d rows, %d terms, %d entries", read, documents, left_out, rows.count(), terms.count(), blocked.count())
+        log.info("read %d documents of %s, %d of them without an id; wrote %d rows, %d terms, %d entries", read, documents, left_out, rows.count(), terms.count(), size)
     finally:
-        for path in steps:
+        spark.conf.set(keys, asked)
+        for path, name in steps:
+            if name is not None:
+                spark.sql(f"drop table if exists {name}")
             drop_path(spark, path)
     return spark.read.schema(ROWS).parquet(f"{out}/rows")
 

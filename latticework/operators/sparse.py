@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.blas import equal_split
@@ -77,6 +77,14 @@ def blocked(a: DataFrame, blocks: int) -> DataFrame:
     return ordered.select("i", "j", "v", (F.col("part") - 1).alias("block"))
 
 
+def block_of(at: Column, entries: int, blocks: int) -> Column:
+    """The block of ``blocked`` in which the entry at a place in row order, from 0, is."""
+    size, rest = divmod(entries, blocks)
+    long = F.greatest(at - (size + 1) * rest, F.lit(0))  # past the blocks that have one of the remainder
+    of = lambda place, each: ((place - place % each) / each).cast("long")
+    return F.when(at < (size + 1) * rest, of(at, size + 1)).otherwise(rest + of(long, max(1, size))).cast("int")
+
+
 def spmv_blocked(entries: DataFrame, x: DataFrame) -> DataFrame:
     """y = A x for entries from ``blocked``: a partial sum for each block and row, which only rows in two blocks have more of than one,
     and one sum of those. No task sums more entries than a block has, whatever the rows' sizes, and a row reaches the last

@@ -69,6 +69,28 @@ def test_term_matrix_of_one_language_leaves_the_others(spark, tmp_path):
     assert {(r["lang"], r["words"]) for r in got.collect()} == {("en", 3), ("de", 1)}
 
 
+def shuffled_records(spark):
+    """What all stages so far have written to shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_term_matrix_sends_no_entries_and_its_blocks_are_equal_runs(spark, tmp_path):
+    """Words of a part are numbered where they are: what is sent is documents and the words that differ in a part."""
+    stored(spark, [(k, " ".join(f"w{(k + m) % 97}" for m in range(90)), "en" if k % 3 else "de") for k in range(500)], f"{tmp_path}/documents.parquet")
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, asked = shuffled_records(spark), spark.conf.get(key)
+    term_matrix.run(spark, f"{tmp_path}/documents.parquet", f"{tmp_path}/out", {"blocks": 7})
+    assert shuffled_records(spark) - before < 500 * 90 / 2
+    assert spark.conf.get(key) == asked and not [t for t in spark.catalog.listTables() if t.name.startswith("term_matrix")]
+    entries = spark.read.parquet(f"{tmp_path}/out/entries").select("lang", "i", "j", "block").collect()
+    blocks = [r["block"] for r in sorted(entries)]
+    size, rest = divmod(500 * 90, 7)
+    assert blocks == [k for k in range(7) for _ in range(size + (k < rest))]
+
+
 # ---- the drain ----
 
 
