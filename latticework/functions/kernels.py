@@ -46,7 +46,11 @@ def matern32(r2: Column, length: float) -> Column:
 
 def gauss_array(length: float):
     """The same over a numpy array of squared distances."""
-    return lambda r2: np.exp(-r2 / (length * length))
+    def kernel(r2: np.ndarray) -> np.ndarray:
+        t = np.asarray(r2 * (-1.0 / (length * length)))
+        return np.exp(t, out=t)
+
+    return kernel
 
 
 def matern32_array(length: float):

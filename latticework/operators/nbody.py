@@ -24,6 +24,7 @@ from latticework.tables import n_partitions
 
 BLOCK_ROWS, MOST_ROWS = 4096, 1 << 16
 FEW_BLOCKS = 32
+KERNEL_TILE = 256, 512  # of products with coordinate arrays: a megabyte, which a core's cache holds
 TILE = 16, 960  # an array of a tile is below what the C library maps anew each time, and stays in a core's cache
 
 
@@ -276,11 +277,15 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
 
     def dense(x, y, p, q, v):
         """Adds what two ranges of points give each other, or one itself (the diagonal is set, not computed), a bounded tile at a time."""
-        for at in range(x.start, x.stop, 1024):
-            n = slice(at, min(at + 1024, x.stop))
-            for to in range(y.start, y.stop, 2048):
-                m = slice(to, min(to + 2048, y.stop))
-                tile = entry(p[n], p[m])
+        # one matrix product gives a tile's squared distances: (a, a a, 1) times (-2 b, 1, b b)
+        left = np.column_stack([p[x], (p[x] * p[x]).sum(1), np.ones(x.stop - x.start)])
+        right = np.column_stack([-2.0 * p[y], np.ones(y.stop - y.start), (p[y] * p[y]).sum(1)]).T
+        for at in range(x.start, x.stop, KERNEL_TILE[0]):
+            n = slice(at, min(at + KERNEL_TILE[0], x.stop))
+            for to in range(y.start, y.stop, KERNEL_TILE[1]):
+                m = slice(to, min(to + KERNEL_TILE[1], y.stop))
+                r2 = left[n.start - x.start : n.stop - x.start] @ right[:, m.start - y.start : m.stop - y.start]
+                tile = kernel(np.maximum(r2, 0.0, out=r2))
                 if x == y:
                     both = np.arange(max(n.start, m.start), min(n.stop, m.stop))
                     tile[both - n.start, both - m.start] = 1.0 + mu

@@ -33,3 +33,19 @@ def test_leaves_within_blocks_meet_once(spark, monkeypatch):
         assert sent.count() == 4 * 900  # a point is sent for each block, not for each leaf
         got = {r["id"]: r["v"] for r in nbody.kernel_matvec(df, kernels.gauss_array(2.0), 0.1, rows=rows, tolerance=tolerance).collect()}
         assert np.allclose([got[k] for k in range(900)], a @ q, atol=1e-7)
+
+
+def test_kernel_tiles_stay_in_a_cache(spark):
+    """A kernel sees a megabyte at a time, whatever the blocks: larger tiles took twice the time of a pair."""
+    rng = np.random.default_rng(9)
+    p, q = rng.normal(size=(2600, 3)), rng.normal(size=2600)
+
+    def kernel(r2):
+        assert r2.nbytes <= 1 << 20
+        return np.exp(-r2 / 4.0)
+
+    df = spark.createDataFrame([(k, p[k].tolist(), float(q[k])) for k in range(len(p))], "id long, p array<double>, q double")
+    k = np.exp(-((p[:, None] - p[None]) ** 2).sum(2) / 4.0)
+    np.fill_diagonal(k, 1.01)
+    got = {r["id"]: r["v"] for r in nbody.kernel_matvec(df, kernel, 0.01).collect()}
+    assert np.allclose([got[i] for i in range(len(p))], k @ q, rtol=0, atol=1e-9)
