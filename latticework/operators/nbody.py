@@ -10,6 +10,7 @@ of two thin factors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -336,6 +337,91 @@ def kernel_matvec(points: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
     return met.mapInArrow(run, "id long, v double, thin long").groupBy("id").agg(F.sum("v").alias("v"), F.sum("thin").alias("thin"))
 
 
+MOST_TERMS = 1 << 13
+MOMENT_TILE = 1 << 20  # entries of the terms of some points at a time
+
+
+def gauss_degree(reach: float) -> int:
+    """The least m for which exp(-|u - v|^2 / 2) over points no farther than ``reach`` from the origin is its terms of total degree m at most, to
+    2^-60: what is left out is below reach^(2 m + 2) / (m + 1)!, and a double keeps 2^-53."""
+    m, rest = 0, reach * reach
+    while rest > 2.0**-60:
+        m += 1
+        rest *= reach * reach / (m + 1)
+    return m
+
+
+def gauss_terms(dims: int, degree: int) -> np.ndarray:
+    """Exponents (terms x dims) of total degree ``degree`` at most."""
+    out = np.zeros((1, 0), np.int64)
+    for _ in range(dims):
+        each = [np.column_stack([out, np.full(len(out), k)]) for k in range(degree + 1)]
+        out = np.concatenate(each)
+        out = out[out.sum(1) <= degree]
+    return out
+
+
+def gauss_matvec(points: DataFrame, length: float, mu: float = 0.0) -> DataFrame:
+    """``kernel_matvec`` with the kernel exp(-r^2 / length^2), all pairs to a double's rounding: rows (id, v).
+
+    With u = (x - centre) sqrt(2) / length, the kernel is the sum over exponents a of f_a(u) f_a(v), f_a(u) = exp(-|u|^2 / 2) u^a / sqrt(a!). The points' sums of q f_a are
+    made once and each point takes its value from them, so work is the points times the terms. The terms go so far that those left out are below
+    a double's rounding (``gauss_degree``), and none is greater than the kernel's one, so nothing cancels. Where that takes over ``MOST_TERMS`` terms (points far
+    apart for the length, many coordinates) or a place is not finite, all pairs are summed one by one."""
+    given = points.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"), F.col("q").cast("double").alias("q"))
+    sides = given.agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("held"), F.min(F.size("p")).alias("least"), F.max(F.size("p")).alias("most")).first()
+    every = lambda: kernel_matvec(points, kernels.gauss_array(length), mu).select("id", "v")
+    if not sides["n"] or sides["held"] < sides["n"] or not 0 < sides["least"] == sides["most"] <= 8:
+        return every()
+    dims = sides["most"]
+    box = given.agg(*[f(F.col("p")[k]).alias(f"{name}{k}") for k in range(dims) for name, f in (("lo", F.min), ("hi", F.max))], *[F.count(F.col("p")[k]).alias(f"n{k}") for k in range(dims)]).first()
+    lo, hi = (np.array([np.nan if box[f"{name}{k}"] is None else box[f"{name}{k}"] for k in range(dims)]) for name in ("lo", "hi"))
+    scale = np.sqrt(2.0) / length
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = (lo + hi) / 2
+        reach = float(np.sqrt((((hi - lo) / 2) ** 2).sum()) * scale)
+    if min(box[f"n{k}"] for k in range(dims)) < sides["n"] or not reach <= 8.0 or math.comb((degree := gauss_degree(reach)) + dims, dims) > MOST_TERMS:
+        return every()
+    terms = gauss_terms(dims, degree)
+    rows = max(1, MOMENT_TILE // len(terms))
+
+    def tiles(batch: pa.RecordBatch):
+        """Some points at a time: their place in the batch and the terms of each."""
+        p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        for at in range(0, len(p), rows):
+            u = (p[at : at + rows] - centre) * scale
+            out = np.exp(-(u * u).sum(1) / 2)[:, None]
+            for k in range(dims):
+                power = np.ones((len(u), degree + 1))
+                for m in range(1, degree + 1):
+                    power[:, m] = power[:, m - 1] * u[:, k] / math.sqrt(m)
+                out = out * power[:, terms[:, k]]
+            yield slice(at, at + len(u)), out
+
+    def charges(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("q").to_numpy(zero_copy_only=False)
+
+    def moments(batches):
+        sums = np.zeros(len(terms))
+        for batch in batches:
+            for these, out in tiles(batch):
+                sums += charges(batch)[these] @ out
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(sums)], names=["term", "v"])
+
+    # as many rows as there are terms
+    found = given.select("p", "q").mapInArrow(moments, "term long, v double").groupBy("term").agg(F.sum("v").alias("v")).orderBy("term").collect()
+    of = np.array([r["v"] for r in found])
+
+    def values(batches):
+        for batch in batches:
+            v = mu * charges(batch)
+            for these, out in tiles(batch):
+                v[these] += out @ of
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(v)], names=["id", "v"])
+
+    return given.mapInArrow(values, "id long, v double")
+
+
 def kernel_matrix(points: DataFrame, kernel: Callable[[Column], Column], mu: float = 0.0, blocks: int | None = None) -> DataFrame:
     """The kernel matrix itself as (i, j, v)."""
     entry = F.when(F.col("a.id") == F.col("b.id"), F.lit(1.0 + mu)).otherwise(kernel(squared_distance(F.col("a.p"), F.col("b.p"))))
